@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semirix.runtime import table, work_dir
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where it is unset, a temporary one, on a local master only."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="semirix-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def table(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/semirix/{uuid.uuid4().hex}-{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bucket", "sampled", "table", "work_dir"]
 
 
 def bucket(column: str | Column, n: int) -> Column:

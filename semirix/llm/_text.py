@@ -50,10 +50,12 @@ def buffers(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a block of texts: ``starts``/``ends`` are byte offsets, ``first`` has n + 1 word offsets."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, ink: np.ndarray | None = None):
+        """``ink``: which of the 256 bytes are in words, all but white space by default."""
         self.data, self.offs = buffers(texts)
         self.n = len(self.offs) - 1
-        ink = ~_SPACE[self.data]
+        self.ink = ~_SPACE if ink is None else ink
+        ink = self.ink[self.data]
         begin, end = ink.copy(), ink.copy()
         begin[1:] &= ~ink[:-1]
         end[:-1] &= ~ink[1:]
@@ -66,7 +68,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; with ``lower``, A-Z count as a-z. Memory is bounded by SEGMENT."""
-        table, out, i, m = _LOWER if lower else _BYTE, np.empty(len(self.starts), U64), 0, len(self.starts)
+        table, out, i, m = np.where(self.ink, _LOWER if lower else _BYTE, U64(0)), np.empty(len(self.starts), U64), 0, len(self.starts)
         while i < m:
             j = max(i + 1, int(np.searchsorted(self.starts, self.starts[i] + SEGMENT)))
             s = self.starts[i:j] - self.starts[i]

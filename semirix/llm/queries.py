@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from semirix.llm import (
+    decontamination,
     language_id,
     lexical_packing,
+    license_scan,
     minhash_dedup,
     quality_classifier,
     quality_rules,
+    secret_scan,
     token_output,
     toxicity,
 )
@@ -45,6 +49,11 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents leak: windows of the item's length, five-word shingles, similarity 0.8."""
+    return decontamination.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels outside fold 0 of 5."""
     docs = _read(spark, sf_dir, "documents")
@@ -62,5 +71,17 @@ def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_quality_classifier, op4_token_output, op6_toxicity, op7_minhash_dedup, op8_lexical_packing)}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, as a file below its source: source / thousands / tens / id.txt."""
+    docs = _read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), (F.floor(F.col("doc_id") / 10) % 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan(docs.select("doc_id", "text", path.alias("path")))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate strings of all documents, and which of them are secrets."""
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_quality_classifier, op4_token_output, op5_decontamination, op6_toxicity, op7_minhash_dedup, op8_lexical_packing, op9_license_scan, op10_secret_scan)}
 ORACLE = {"op2_quality_rules": quality_rules.SQL, "op7_minhash_dedup": minhash_dedup.SQL}

@@ -270,3 +270,17 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, id_col:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score below the threshold, in one pass; all columns as they are."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches):
+        for b in blocks(batches, f"c{at}"):
+            s = model.score(pc.fill_null(b.column(at), "").to_pylist())
+            yield b.filter(pa.array(s < threshold))
+
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
