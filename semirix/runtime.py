@@ -1,12 +1,13 @@
-"""Sends this package to the executors, so that Python workers can import it wherever the driver found it."""
+"""Runs on a cluster: sends this package to the executors, and keeps intermediate tables in the folder that all share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
 
@@ -23,3 +24,22 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(archive))
         _SENT.add(app)
     return spark
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a temporary one, on a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="semirix-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def table(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/semirix/{uuid.uuid4().hex}-{tag}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
