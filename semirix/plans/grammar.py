@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semirix.functions.semiring import Semiring, get
@@ -156,6 +156,44 @@ class GrammarMatrix:
         size = engine_bytes("alpha_used", "total_rules", "n_values", F.lit(self.cols), F.lit(self.rows), "max_width", "emissions", "terminal_emissions")
         return row.withColumn("total_rules", total).withColumn("engine_bytes", size).select("depth", "max_width", "total_rules", "raw_rules", "pass_throughs", "emissions", "terminal_emissions", "alpha_used", "engine_bytes")
 
+    # physical layout
+
+    def slots(self) -> DataFrame:
+        """(lvl, slot, sym, own): each level's symbols in a device's order: its own rules as they are numbered, then those kept from
+        the level below in that level's order. So a level goes by falling level of origin, then by symbol."""
+        alive = self.schedule().select("sym", F.col("lvl").alias("born"), F.explode(F.sequence("lvl", "maxref")).alias("lvl"))
+        slot = F.row_number().over(Window.partitionBy("lvl").orderBy(F.desc("born"), "sym")) - 1
+        return alive.select("lvl", slot.cast("long").alias("slot"), "sym", (F.col("born") == F.col("lvl")).alias("own"))
+
+    def layered(self) -> DataFrame:
+        """(lvl, slot, left, right, coeff): rules between neighbouring levels. A child >= 0 is a slot of the level below, one below 0 the
+        compact terminal -child - 1, of which 0 is the identity; a kept symbol is its own left child."""
+        slots = table(self.slots(), "slots")
+        below = slots.select((F.col("lvl") + 1).alias("lvl"), F.col("sym").alias("child"), F.col("slot").alias("at"))
+        codes = self.compaction().select(F.col("code").alias("child"), (-F.col("id") - 1).alias("at"))
+        own = slots.filter("own").join(self.rules, "sym").select("lvl", "slot", "left", "right", F.col("rep").alias("coeff"))
+        kept = slots.filter("not own").select("lvl", "slot", F.col("sym").alias("left"), F.lit(None).cast("long").alias("right"), F.lit(1).alias("coeff"))
+        nodes = own.unionAll(kept)
+        for side in ("left", "right"):
+            inner = below.select("lvl", F.col("child").alias(side), F.col("at").alias(f"{side}_slot"))
+            outer = codes.select(F.col("child").alias(side), F.col("at").alias(f"{side}_code"))
+            nodes = nodes.join(inner, ["lvl", side], "left").join(outer, side, "left").withColumn(f"{side}_at", F.coalesce(f"{side}_slot", f"{side}_code", F.lit(-1).cast("long")))
+        return nodes.select("lvl", "slot", F.col("left_at").alias("left"), F.col("right_at").alias("right"), "coeff")
+
+    def emissions(self) -> DataFrame:
+        """(lvl, slot, row): where each top symbol's value is added, at its own level; codes at level 0 with their compact number as slot."""
+        inner = self.top.join(self.slots().filter("own").select("sym", "lvl", "slot"), "sym").select("lvl", "slot", "row")
+        codes = self.top.join(self.compaction().withColumnRenamed("code", "sym"), "sym").select(F.lit(0).alias("lvl"), F.col("id").alias("slot"), "row")
+        return inner.unionAll(codes)
+
+    def level_offsets(self) -> DataFrame:
+        """(lvl, nodes, node_offset, emissions, emission_offset): exclusive sums over the levels, a row for each."""
+        nodes = self.widths().select("lvl", F.col("width").alias("nodes"))
+        emit = self.emissions().filter("lvl > 0").groupBy("lvl").agg(F.count(F.lit(1)).alias("emissions"))
+        rows = nodes.join(emit, "lvl", "left").select("lvl", "nodes", F.coalesce("emissions", F.lit(0)).cast("long").alias("emissions"))
+        w = Window.orderBy("lvl").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row for each level
+        return rows.select("lvl", "nodes", (F.sum("nodes").over(w) - F.col("nodes")).alias("node_offset"), "emissions", (F.sum("emissions").over(w) - F.col("emissions")).alias("emission_offset"))
+
     # expansion
 
     def csrv(self) -> DataFrame:

@@ -270,6 +270,22 @@ def grammar_stats(spark: SparkSession, d: str) -> DataFrame:
     return _fixture(spark).stats()
 
 
+@_query("select * from (values (1, 0::bigint, -2::bigint, -3::bigint, 1), (2, 0, -4, 0, 1), (2, 1, 0, -1, 1), (3, 0, 0, -1, 3), (3, 1, 0, -1, 1), (3, 2, 1, -1, 1), (4, 0, 0, 2, 1), (4, 1, 0, -1, 1), (4, 2, 2, -1, 1)) v(lvl, slot, \"left\", \"right\", coeff)")
+def grammar_layered(spark: SparkSession, d: str) -> DataFrame:
+    """Rules between neighbouring levels, as a device lays them out."""
+    return _fixture(spark).layered()
+
+
+@_query("select 4::int as lvl, 0::bigint as slot, 0::bigint as row")
+def grammar_emissions(spark: SparkSession, d: str) -> DataFrame:
+    return _fixture(spark).emissions()
+
+
+@_query("select * from (values (1, 1::bigint, 0::bigint, 0::bigint, 0::bigint), (2, 2, 1, 0, 0), (3, 3, 3, 0, 0), (4, 3, 6, 1, 0)) v(lvl, nodes, node_offset, emissions, emission_offset)")
+def grammar_level_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return _fixture(spark).level_offsets()
+
+
 @_query("select 0::bigint as row, 4.5::double as y union all select 1, 0.0")
 def runlen_eval(spark: SparkSession, d: str) -> DataFrame:
     x = spark.createDataFrame([(0, 0.5), (1, -0.5), (2, 1.0)], "col long, x double")

@@ -10,10 +10,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
+#: Greatest size of an Arrow batch; a smaller setting of the session stays.
+BATCH_BYTES = 8 << 20
+
+
+def _bytes(text: str) -> int:
+    """Of a setting like 64m; what can't be read, or is negative, is unbounded."""
+    digits = "".join(c for c in text if c.isdigit() or c == "-")
+    unit = text.lower().lstrip("-0123456789")[:1]
+    size = int(digits or -1) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(unit, 1)
+    return size if size >= 0 else 1 << 62
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds the package to the session's Python files once for each application."""
+    """Adds the package to the session's Python files once for each application, and bounds the bytes of a batch for Python."""
+    if _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _SENT:
         top = Path(__file__).resolve().parent
