@@ -79,6 +79,17 @@ class Words:
             i = j
         return mix(out + (self.ends - self.starts).astype(U64))
 
+    def words(self, at: np.ndarray) -> list[str]:
+        """The words with these numbers: they hold no space, so one joined text is decoded and split."""
+        if not len(at):
+            return []
+        size = self.ends[at] - self.starts[at]
+        end = np.cumsum(size + 1)
+        flat = np.arange(end[-1]) + np.repeat(self.starts[at] - end + size + 1, size + 1)
+        text = self.data[np.minimum(flat, len(self.data) - 1)]
+        text[end - 1] = 32
+        return text[:-1].tobytes().decode("utf-8", "replace").split(" ")
+
     def word(self, i: int) -> str:
         return self.data[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace")
 

@@ -6,10 +6,13 @@ each chunk and each choice of ERRORS symbols left open, and every pair within RA
 signature distance. At a similarity s a symbol differs with probability 1 - s, so at 0.8 a pair is beyond RADIUS of 25 out of
 65 with probability 1e-4, and at 0.85 with 1e-7. Candidates are confirmed on their full shingle sets.
 
-The join emits no pairs within a group. Equal sets are one class first. Then each key links its members to a centre, in
-rounds with different centres, and a member whose group is already known to be the centre's is not linked again, so a large
-group costs rows in proportion to its size. What is left after these rounds, members that share a key but not a component, is
-compared in full, which loses no link. A shingle set is built only for documents that are in a candidate, from their whole text.
+The join emits no pairs within a group. Equal sets are one class first. Then each key links its members to a centre, for a
+few rounds with other centres, and a member whose component is already the centre's is not linked again, so a large group costs
+rows in proportion to its size. What is left, members that share a key but not a component, is compared in full, which loses no
+link: in blocks of at most BLOCK members by numpy, where a row is a member with the list of those within RADIUS. Sets are built
+from whole texts, only for documents that share a key. Where the lists are long, as in a large group near the threshold, the sets
+are laid out in blocks and each two blocks meet in a task, which tries only pairs that it hasn't connected; else each pair is joined with
+its two sets. Either way all pairs within RADIUS are decided on their full sets.
 
 Defined results: a null or blank text has no shingle, is linked with nothing and is kept. A null id is kept, without a
 component. Rows with the same id and text are one document; each row is returned. Ids are integers.
@@ -29,7 +32,8 @@ from semirix.llm.components import connected
 CHUNKS, WIDTH, ERRORS = 13, 5, 1
 SYMBOLS = CHUNKS * WIDTH
 RADIUS = CHUNKS * (ERRORS + 1) - 1
-ROUNDS = 3
+ROUNDS, FEW, BLOCK = 4, 200, 512
+SETS_MB, LEAST_PARTS = 16, 4
 _RNG = np.random.default_rng(977)
 _XOR = _RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint32)[:, None]
 _MUL = (_RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -84,7 +88,7 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
 
 
 def _buckets(distinct: DataFrame) -> DataFrame:
-    """(key, id, n) of all keys that two or more sets have."""
+    """(id, key, n, sig) of all keys that two or more sets have; sig has the low byte of each symbol."""
 
     def run(batches):
         for b in batches:
@@ -95,46 +99,168 @@ def _buckets(distinct: DataFrame) -> DataFrame:
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(part.num_rows, SYMBOLS)
                 keys = _keys(sig)
                 offs = pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n"), pa.ListArray.from_arrays(offs, pa.array(keys.ravel()))], ["id", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(offs, pa.array(keys.ravel()))], ["id", "keys"])
 
-    rows = distinct.select("id", "n", "sig").mapInArrow(run, "id long, n long, keys array<long>").select(F.explode("keys").alias("key"), "id", "n")
+    def short(batches):
+        for b in batches:
+            low = [np.frombuffer(x.as_buffer(), np.uint16).astype(np.uint8).tobytes() for x in b.column("sig")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(low, pa.binary())], ["id", "n", "sig"])
+
+    rows = distinct.select("id", "sig").mapInArrow(run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    return table(rows.join(shared, "key", "left_semi"), "buckets")
+    found = rows.join(shared, "key", "left_semi")
+    return table(found.join(distinct.select("id", "n", "sig").mapInArrow(short, "id long, n long, sig binary"), "id"), "buckets")
+
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SYMBOLS)
 
-def _confirmed(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The (a, b) of ``pairs`` within RADIUS whose full sets reach ``percent``; written."""
-    sig = distinct.select("id", "sig")
-    near = pairs.select("a", "b").distinct().join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+
+def _starred(rows: DataFrame, rank, percent: int) -> DataFrame:
+    """(a, bs): each member of a key of several components with the key's centre, if that is within RADIUS and in another."""
+    centre = rows.groupBy("key").agg(F.min_by(F.struct("id", "n", "root", "sig"), rank).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    centre = centre.select("key", *[F.col(f"c.{x}").alias(f"{x}2") for x in ("id", "n", "root", "sig")])
+    pairs = rows.join(centre, "key").filter(f"root <> root2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)")
 
     def close(batches):
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, SYMBOLS) for c in ("sa", "sb"))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= RADIUS))
+                far = (_matrix(b.column("sig")) != _matrix(b.column("sig2"))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(far <= RADIUS))
+
+    found = pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"), "sig", "sig2").mapInArrow(close, "a long, b long")
+    return found.distinct().select("a", F.array("b").alias("bs"))
+
+
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, bs): all pairs within RADIUS that share a key but not a component, as lists."""
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    size = size.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    own = rows.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id", "n", "root", "sig")
+
+    def group(key, x, y, mine, ids, n, root, sig):
+        left = np.arange(len(ids)) if x == y else np.flatnonzero(mine == x)
+        right = left if x == y else np.flatnonzero(mine == y)
+        for i in range(0, len(left), 64):
+            l = left[i : i + 64]
+            ok = (root[l, None] != root[None, right]) & (100 * np.minimum(n[l, None], n[None, right]) >= percent * np.maximum(n[l, None], n[None, right]))
+            if x == y:
+                ok &= ids[l, None] > ids[None, right]
+            for p in np.flatnonzero(ok.any(axis=1)):
+                q = right[ok[p]]
+                q = q[(sig[l[p]] != sig[q]).sum(axis=1) <= RADIUS]
+                if len(q):
+                    yield int(ids[l[p]]), ids[q]
+
+    names = ("key", "x", "y", "mine", "id", "n", "root")
+
+    def run(batches):
+        held = None  # the last group of a batch may go on in the next
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            held = yield from groups_of(held, False)
+        if held is not None and held.num_rows:
+            yield from groups_of(held, True)
+
+    def groups_of(t, last):
+        cols = [t.column(c).to_numpy() for c in names]
+        cut = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+        edges = [0, *cut.tolist()]
+        stop = t.num_rows if last else edges[-1]
+        if stop:
+            sig = _matrix(t.column("sig").slice(0, stop).combine_chunks())
+            found = [r for i, j in zip(edges, [*edges[1:], t.num_rows], strict=True) if j <= stop for r in group(cols[0][i], cols[1][i], cols[2][i], *[c[i:j] for c in cols[3:]], sig[i:j])]
+            if found:
+                offs = np.concatenate([[0], np.cumsum([len(q) for _, q in found])])
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate([q for _, q in found])))], ["a", "bs"])
+        return t.slice(stop)
+
+    return own.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, bs array<long>")
+
+
+def _shares(x: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of ``sets`` reach ``percent`` with x."""
+    sizes = np.array([len(y) for y in sets])
+    flat = np.concatenate(sets)
+    at = np.searchsorted(x, flat)
+    at[at == len(x)] = 0
+    both = np.add.reduceat((x[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+    return 100 * both >= percent * (len(x) + sizes - both)
+
+
+def _by_pairs(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the lists ``near``: a join of each pair with both sets."""
+    pairs = near.select("a", F.explode("bs").alias("b"))
+    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
+
+    def verify(batches):
+        for b in batches:
+            ok = [bool(_shares(np.frombuffer(x.as_buffer(), U64), [np.frombuffer(y.as_buffer(), U64)], percent)[0]) for x, y in zip(b.column("xa"), b.column("xb"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return full.select("a", "b", "xa", "xb").mapInArrow(verify, "a long, b long")
 
-    near = table(near.select("a", "b", "sa", "sb").mapInArrow(close, "a long, b long"), "near")
-    wanted = near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).distinct()
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+def _by_blocks(near: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links of the lists ``near`` that connect what isn't yet: the sets in ``parts`` blocks, each two of which meet in a task."""
+    every = F.sequence(F.lit(0), F.lit(parts - 1))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    own = sets.select(block(F.col("id")).alias("m"), "id", "set", F.explode(every).alias("o"))
+    own = own.select(F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), F.lit(0).alias("kind"), "id", "set", F.lit(None).cast("array<long>").alias("bs"))
+    lists = near.select("a", "bs", block(F.col("a")).alias("m"), F.explode(every).alias("o")).withColumn("bs", F.filter("bs", lambda b: block(b) == F.col("o"))).filter(F.size("bs") > 0)
+    lists = lists.select(F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), F.lit(1).alias("kind"), F.col("a").alias("id"), F.lit(None).cast("binary").alias("set"), "bs")
+
+    def run(batches):
+        cell, held, root = None, {}, {}
+
+        def find(i):
+            while root.get(i, i) != i:
+                root[i] = root.get(root[i], root[i])
+                i = root[i]
+            return i
+
+        for b in batches:
+            out = []
+            for x, y, kind, i, s, bs in zip(*(b.column(c) for c in ("x", "y", "kind", "id", "set", "bs")), strict=True):
+                if (x.as_py(), y.as_py()) != cell:
+                    cell, held, root = (x.as_py(), y.as_py()), {}, {}
+                i = i.as_py()
+                if kind.as_py() == 0:
+                    held[i] = np.frombuffer(s.as_py(), U64)
+                    continue
+                todo = [j for j in set(bs.values.to_numpy().tolist()) if find(j) != find(i)]
+                for at in range(0, len(todo), 256):
+                    some = [j for j in todo[at : at + 256] if find(j) != find(i)]
+                    if some:
+                        for j in np.array(some)[_shares(held[i], [held[j] for j in some], percent)].tolist():
+                            if find(j) != find(i):
+                                root[find(j)] = find(i)
+                                out.append((i, j))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return own.unionAll(lists).repartition("x", "y").sortWithinPartitions("x", "y", "kind").mapInArrow(run, "a long, b long")
+
+
+def _confirmed(near: DataFrame, wanted: DataFrame | None, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): the pairs of the lists ``near`` whose full sets reach ``percent``, or such that connect all of them; written."""
+    near = table(near, "near")
+    if wanted is None:
+        wanted = near.select(F.col("a").alias("id")).unionAll(near.select(F.explode("bs").alias("id")))
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.distinct(), "id", "left_semi").dropDuplicates(["id"])
 
     def build(batches):
         for b in blocks(batches):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in _sets(b.column("text"), k)], pa.binary())], ["id", "set"])
 
     sets = table(text.mapInArrow(build, "id long, set binary"), "sets")
-    full = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
-
-    def verify(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("xa"), b.column("xb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return table(full.select("a", "b", "xa", "xb").mapInArrow(verify, "a long, b long"), "confirmed")
+    pairs = near.agg(F.sum(F.size("bs"))).first()[0] or 0
+    count, size = sets.agg(F.count(F.lit(1)), F.sum(F.length("set"))).first()
+    parts = max(LEAST_PARTS, -(-(size or 0) // (SETS_MB << 20)))
+    cheap = 2 * pairs * (size or 0) <= parts * (size or 0) * max(1, count)  # bytes moved by either way
+    return table(_by_pairs(near, sets, percent) if cheap else _by_blocks(near, sets, percent, parts), "confirmed")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,28 +270,25 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     classes = with_id.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     distinct = table(with_id.dropDuplicates(["id"]).join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "distinct")
     buckets = _buckets(distinct)
-    fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    comp, links = None, None
+    comp = links = None
     for turn in range(ROUNDS + 1):
-        open_ = buckets.withColumn("root", F.col("id"))
-        if comp is not None:
-            open_ = buckets.join(comp.withColumnRenamed("root", "known"), "id", "left").withColumn("root", F.coalesce("known", "id")).drop("known")
-            mixed = open_.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-            open_ = table(open_.join(mixed, "key", "left_semi"), "open")
-        if turn < ROUNDS:
-            rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-            centre = open_.groupBy("key").agg(F.min_by(F.struct("id", "n", "root"), rank).alias("c")).select("key", F.col("c.id").alias("id2"), F.col("c.n").alias("n2"), F.col("c.root").alias("root2"))
-            pairs = open_.join(centre, "key").filter("root <> root2").filter(fits)
-        else:  # in full, but for the largest known group of a key with itself
-            size = open_.groupBy("key", "root").count()
-            major = size.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("major"))
-            minor = open_.join(major, "key").filter("root <> major").select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.lit(True).alias("minor"))
-            pairs = open_.join(minor, "key").filter("root <> root2").filter(fits)
-        pairs = pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"))
-        found = _confirmed(pairs, distinct, docs, k, percent, id_col, text_col)
+        if comp is None:
+            rows = buckets.withColumn("root", F.col("id"))
+        else:
+            rows = table(buckets.join(comp.withColumnRenamed("root", "known"), "id", "left").withColumn("root", F.coalesce("known", "id")).drop("known"), "open")
+        rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        full = turn == ROUNDS or turn > 0 and new < FEW
+        if full:
+            mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+            found = _confirmed(_compared(rows, percent), rows.join(mixed, "key", "left_semi").select("id"), docs, k, percent, id_col, text_col)
+        else:
+            found = _confirmed(_starred(rows, rank, percent), None, docs, k, percent, id_col, text_col)
+        new = found.count()
         links = found if links is None else links.unionAll(found)
-        if turn == 0 or found.limit(1).count():
+        if new or comp is None:
             comp = table(connected(links), "components")
+        if full:
+            break
     names = classes.join(comp, F.col("rep") == F.col("id"), "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("component_id"))
     out = own.join(names, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
