@@ -1,0 +1,374 @@
+"""Near copies, leaks, packing, licences, secrets and the pipeline: against brute force and round trips."""
+
+import re
+import zlib
+from collections import defaultdict
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from semirix.llm import decontamination, lexical_packing, license_scan, minhash_dedup, queries, secret_scan, token_output, tokens
+
+SMALL = "/root/testdata/sf0.001"
+WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+EXTRA = "id long, text2 string, n int, key string, path string, score double"
+
+
+def words(rng, n):
+    return [f"{a}{b}" for a, b in zip(rng.choice(list("bcdfgklm"), n), rng.integers(0, 400, n), strict=True)]
+
+
+def corpus():
+    """Originals, exact and near copies, chains, texts with a shared passage, and odd texts."""
+    rng = np.random.default_rng(9)
+    out, passage = [], words(rng, 60)
+    for i in range(30):
+        base = words(rng, int(rng.integers(30, 160)))
+        out.append(base)
+        for _ in range(int(rng.integers(0, 4))):
+            own = list(base)
+            for p in rng.choice(len(own), max(0, len(own) // int(rng.integers(25, 60))), replace=False):
+                own[p] = "zz"
+            out.append(own)
+        if i % 4 == 0:
+            out.append(list(base))
+        if i % 3 == 0:
+            out.append(words(rng, 50) + passage + words(rng, 40))
+    chain = words(rng, 200)
+    for i in range(12):  # neighbours are close, ends are not
+        chain = chain[:]
+        chain[i * 15 : i * 15 + 6] = words(rng, 6)
+        out.append(chain)
+    texts = [" ".join(w) for w in out]
+    return texts + [None, "", " \n ", "one", "ONE", "two words", "Two  Words", "x" * 70_000, "a b c d", "a b c d e"]
+
+
+def frame(spark, texts, extra=True):
+    rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or ""), *((7, "z", 1, None, "p", 0.5) if extra else ())) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long" + (", " + EXTRA if extra else ""))
+
+
+def slow_groups(texts, k, percent):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c < "\x80" else c for c in t or ""))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [(len(s), find(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_copies_equal_brute_force(spark, k):
+    texts = corpus()
+    got = {r["doc_id"]: r for r in minhash_dedup.groups(frame(spark, texts), k).collect()}
+    expected = slow_groups(texts, k, 80)
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == expected
+    assert all(got[i]["kept"] == (root == i) for i, (_, root) in enumerate(expected))
+    assert len({r for _, r in expected}) < len(texts) - 40
+
+
+def test_near_copies_edges(spark):
+    docs = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (9, None)], "doc_id int, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.groups(docs, 4).collect()]
+    assert sorted(got, key=str) == sorted([(5, 3, False), (5, 3, False), (None, None, True), (3, 3, True), (9, 9, True)], key=str)
+    assert minhash_dedup.groups(docs.filter("false"), 4).count() == 0
+    assert [r["kept"] for r in minhash_dedup.groups(docs.filter("text is null"), 4).collect()] == [True]
+
+
+def test_large_group_makes_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    base = words(rng, 300)
+    texts = []
+    for _ in range(300):
+        own = list(base)
+        for p in rng.choice(300, 4, replace=False):
+            own[p] = str(rng.integers(0, 10**6))
+        texts.append(" ".join(own))
+    seen, inner = [], minhash_dedup._confirmed
+
+    def counted(pairs, *a):
+        pairs = pairs.distinct()
+        seen.append(pairs.count())
+        return inner(pairs, *a)
+
+    monkeypatch.setattr(minhash_dedup, "_confirmed", counted)
+    got = minhash_dedup.groups(frame(spark, texts, False), 4).collect()
+    assert {r["component_id"] for r in got} == {0} and sum(seen) < 300 * 40  # of 44,850 pairs
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(0, minhash_dedup.RADIUS))
+def test_keys_find_all_within_the_radius(seed, errors):
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 1 << 16, minhash_dedup.SYMBOLS).astype(np.uint16)
+    b = a.copy()
+    at = rng.choice(minhash_dedup.SYMBOLS, errors, replace=False)
+    b[at] ^= rng.integers(1, 1 << 16, errors).astype(np.uint16)
+    ka, kb = minhash_dedup._keys(np.stack([a, b]))
+    assert set(ka.tolist()) & set(kb.tolist())
+
+
+def test_components(spark):
+    from semirix.llm.components import connected
+
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, j) for j in range(101, 140)] + [(200, 150), (7, 7)]
+    got = {r["id"]: r["root"] for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}, 150: 150, 200: 150}
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    items = [words(rng, int(n)) for n in (15, 15, 22, 30, 41, 60)] + [["few", "words"], ["the", "the", "the", "the", "the", "the", "the"]]
+    texts = []
+    for i in range(40):
+        w = words(rng, int(rng.integers(0, 120)))
+        if i % 2:
+            item = list(items[i % len(items)])
+            if i % 6 == 1 and len(item) > 30:
+                item[0] = "changed"
+            if i % 10 == 5 and len(item) > 20:
+                item[len(item) // 2] = "broken"
+            at = int(rng.integers(0, len(w) + 1))
+            w = w[:at] + item + w[at:]
+        texts.append(" ".join(x.upper() if i % 8 == 1 else x for x in w))
+    texts += [None, "", "few", "FEW words", "the " * 50]
+    items = [" ".join(x) for x in items] + [None, "  "]
+    got = decontamination.leaks(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id int, text string"), chunk=3)
+    found = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["first_word"]) for r in got.collect()}
+    expected = {}
+    bag = lambda w, k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    for d, t in enumerate(texts):
+        w = (t or "").lower().split()
+        for j, item in enumerate(items):
+            x = (item or "").lower().split()
+            k = min(5, len(x))
+            for at in range(len(w) - len(x) + 1) if x else ():
+                a, b = bag(w[at : at + len(x)], k), bag(x, k)
+                both = sum(min(a.count(g), b.count(g)) for g in set(a) & set(b))
+                s = both / (len(a) + len(b) - both)
+                if s >= 0.8 and s > expected.get((d, j), (0, 0))[0]:
+                    expected[d, j] = (round(s, 9), at)
+    assert found == expected and len(found) > 20
+    assert decontamination.leaks(frame(spark, texts), spark.createDataFrame([], "item_id int, text string")).count() == 0
+    assert decontamination.leaks(frame(spark, texts).filter("false"), spark.createDataFrame([(1, "a b")], "item_id int, text string")).count() == 0
+
+
+def test_block_lists_hold_all_within_the_radius():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 2**63, 20, dtype=np.uint64)
+    own = decontamination.ItemIndex(list(range(20)), np.full(20, 7), [np.array([i], np.uint64) for i in range(20)], prints, 5)
+    queries_, truth = [], set()
+    for w in range(300):
+        i = int(rng.integers(0, 20))
+        flips = rng.choice(64, int(rng.integers(0, 26)), replace=False)
+        queries_.append(int(prints[i]) ^ sum(1 << int(b) for b in flips))
+        truth |= {(w, j) for j in range(20) if bin(queries_[-1] ^ int(prints[j])).count("1") <= decontamination.RADIUS}
+    assert set(zip(*map(np.ndarray.tolist, own.near(np.array(queries_, np.uint64), 7)), strict=True)) == truth
+
+
+def reference_ids(text):
+    return [*tokens.tokenizer(WORD).tool.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def test_lexical_packing(spark):
+    texts = [t for t in corpus() if t is None or len(t) < 5000] + ["alpha beta gamma " * 900]
+    got = lexical_packing.pack(frame(spark, texts).repartition(2), WORD, 2, length=256, shard=4000).collect()
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"]].append(r)
+        windows[r["sequence_id"]].append(r)
+    for i, t in enumerate(texts):
+        ids, at = reference_ids(t), 0
+        for r in sorted(pieces[i], key=lambda r: r["start"]):
+            part = np.array(ids[at : at + r["length"]], "<u4").tobytes()
+            assert (r["start"], r["ids_crc32"], r["doc_tokens"]) == (at, zlib.crc32(part), len(ids)) and r["length"] > 0
+            at += r["length"]
+        assert at == len(ids)
+    for rows in windows.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 256 and (at == 256 or at & (at - 1) == 0)
+    assert lexical_packing.pack(frame(spark, texts).filter("false"), WORD, 2).count() == 0
+    null = lexical_packing.pack(spark.createDataFrame([(None, None)], "doc_id long, text string"), WORD, 2).collect()
+    assert [(r["doc_id"], r["length"]) for r in null] == [(None, 1)]
+
+
+def test_neighbours_share_windows():
+    rng = np.random.default_rng(8)
+    topics = [rng.integers(1000 * t, 1000 * t + 60, (12, 90)) for t in range(6)]
+    ids = [x.astype(np.uint16) for t in topics for x in t]
+    order = rng.permutation(len(ids))
+    df = np.zeros(7000, np.int64)
+    for x in ids:
+        df[np.unique(x)] += 1
+    plan = lexical_packing._plan([ids[i] for i in order], df, len(ids), 90.0, 360)
+    same = [len({order[d] // 12 for d, _, _ in w}) for w in plan]
+    assert np.mean(same) < 1.5
+
+
+def test_token_output_round_trip(spark):
+    texts = [t for t in corpus() if t is None or len(t) < 5000] + ["alpha beta gamma " * 900]
+    out = token_output.pack(frame(spark, texts), BYTE, public_tokenizers.PATTERN, 50256, length=300, shard=5000).collect()
+    parts = defaultdict(dict)
+    for r in out:
+        ids, cu = np.frombuffer(r["ids"], np.uint16), r["cu_seqlens"]
+        assert len(ids) == 300 and cu[0] == 0 and cu[-1] == r["n_tokens"] and cu[:-1] == r["position_resets"] and not ids[cu[-1] :].any()
+        for d, s, a, b in zip(r["doc_ids"], r["starts"], cu, cu[1:], strict=False):
+            parts[d][s] = ids[a:b].tolist()
+    tool = tokens.tokenizer(BYTE, public_tokenizers.PATTERN).tool
+    for i, t in enumerate(texts):
+        assert [x for s in sorted(parts[i]) for x in parts[i][s]] == [*tool.encode_ordinary(t or ""), 50256]
+    total = sum(r["n_tokens"] for r in out)
+    assert len({r["sequence_id"] for r in out}) == len(out) < 1.15 * total / 300 + 2
+    assert token_output.pack(frame(spark, texts).filter("false"), BYTE, public_tokenizers.PATTERN, 50256).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=60))
+def test_best_fit_decreasing(sizes):
+    bins, order = [], sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    for i in order:  # the definition: the fullest bin that holds the piece
+        fits = [b for b in bins if sum(sizes[j] for j in b) + sizes[i] <= 50]
+        (max(fits, key=lambda b: sum(sizes[j] for j in b)) if fits else bins.append([]) or bins[-1]).append(i)
+    got = token_output.best_fit_decreasing(sizes, 50)
+    assert sorted(i for b in got for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 50 for b in got)
+    assert sorted(sum(sizes[i] for i in b) for b in got) == sorted(sum(sizes[i] for i in b) for b in bins)
+
+
+def test_licenses(spark):
+    apache = "Licensed under the Apache License, Version 2.0."
+    files = [
+        ("a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+        ("a/x.py", "print(1)"), ("a/b/c/y.py", "nothing here"), ("a/b/z.py", f"code\n# {apache}\nmore code of other words"), ("a/b/COPYING", apache), ("a/b/d/e/w.py", None), ("q/r.py", "plain"),
+        (None, "All rights reserved."), (None, "nothing"), ("top.py", ""), ("a/mention.md", "we talked about the license of the new version under the tree with many other words that follow here"),
+    ]
+    df = spark.createDataFrame([(i, p, t, 1.0, "u") for i, (p, t) in enumerate(files)], "doc_id long, path string, text string, score double, directory string")
+    got = {r["doc_id"]: (r["license"], r["via"], r["from_directory"]) for r in license_scan.scan(df).collect()}
+    assert got == {
+        0: ("MIT", "header", None), 1: ("MIT", "inherited", "a"), 2: ("Apache-2.0", "inherited", "a/b"), 3: ("Apache-2.0", "header", None), 4: ("Apache-2.0", "header", None), 5: ("Apache-2.0", "inherited", "a/b"),
+        6: (None, None, None), 7: ("all-rights-reserved", "header", None), 8: (None, None, None), 9: (None, None, None), 10: ("MIT", "inherited", "a"),
+    }
+    assert license_scan.scan(df.filter("false")).count() == 0
+
+
+def test_license_cosine_from_the_definition(spark):
+    texts = ["Licensed under the MIT License", "the the under license words", "Released under CC0 1.0"]
+    own = license_scan.index()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts, n = license_scan.frequencies(df, own, "text")
+    own.weigh(counts, n)
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    known = {w for _, t in license_scan.TEMPLATES for w in split(t)}
+    idf = lambda w: np.log((n + 1) / (sum(w in split(t) for t in texts) + 1)) + 1 if w in known else np.log(n + 1) + 1
+    found = license_scan.own_licenses(df.withColumn("path", F.lit("p")), own, "doc_id", "text", "path", 0.0, 0.0)
+    for r in found.collect():
+        v = {w: split(texts[r["id"]]).count(w) * idf(w) for w in split(texts[r["id"]])}
+        best = 0.0
+        for _, t in license_scan.TEMPLATES:
+            u = {w: split(t).count(w) * idf(w) for w in split(t)}
+            best = max(best, sum(v[w] * u.get(w, 0) for w in v) / np.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in u.values())))
+        assert abs(r["score"] - best) < 1e-9
+
+
+def test_secrets(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [f'we set token = "{key}" here', f"see commit {key} for it", "call 4785380592391139 now", None, "", "ciónciónasllta " * 40, f"öö token = \"{key}\" and api_key = 'Zk3vXq9LmP2sT7wB4nR8yH6jD1fG5cA0eU' ö", "x" * 70_000 + "1"]
+    docs = frame(spark, texts)
+    got = [r for r in secret_scan.scan(docs).collect() if r["is_secret"]]
+    assert sorted((r["doc_id"], r["value"][:4]) for r in got) == [(0, "9f86"), (6, "9f86"), (6, "Zk3v")]
+    for r in got:
+        assert texts[r["doc_id"]].encode()[r["start"] : r["start"] + r["length"]].decode() == r["value"]
+    clean = secret_scan.redact(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    after = {r["doc_id"]: r for r in clean.collect()}
+    assert after[6]["text"] == "öö token = \"<secret>\" and api_key = '<secret>' ö" and after[1]["text"] == texts[1] and after[3]["text"] is None and after[0]["key"] is None
+    assert secret_scan.scan(docs.filter("false")).count() == 0 and secret_scan.redact(docs.filter("false")).count() == 0
+
+
+def test_forest_on_findings_that_it_has_not_seen():
+    forest = secret_scan.default_forest()
+    rows = secret_scan.findings(1000, seed=99)
+    p = forest.score(np.array([secret_scan.features(*r[:4]) for r in rows])) >= 0.5
+    y = np.array([r[4] for r in rows], bool)
+    assert (p == y).mean() > 0.95 and p[y].mean() > 0.95
+
+
+def tables(spark, path, texts, items, extra=False):
+    frame(spark, texts, extra).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_pipeline(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    item = words(rng, 30)
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [*corpus(), " ".join(words(rng, 40) + item + words(rng, 10)), f'{" ".join(words(rng, 30))} token = "{key}"']
+    d = tables(spark, str(tmp_path), texts, [" ".join(item)])
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    expected = {i for i, (_, root) in enumerate(slow_groups(texts, 5, 80)) if root == i}
+    sizes = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, d)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        docs.write.parquet(f"{d}/{name}")
+        docs = spark.read.parquet(f"{d}/{name}")
+        sizes[name] = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert sizes["toxicity"] == set(range(len(texts))) and sizes["near_duplicates"] == expected
+    assert sizes["decontamination"] == expected - {len(texts) - 2} == sizes["secrets"]
+    last = docs.filter(F.col("doc_id") == len(texts) - 1).first()
+    assert key not in last["text"] and last["n_chars"] == len(last["text"])
+    out = corpus_pipeline.run(spark, d).collect()
+    assert {r["doc_id"] for r in out} == sizes["secrets"]
+    for i in sizes["secrets"] - {len(texts) - 1}:
+        own = [r for r in out if r["doc_id"] == i]
+        assert sum(r["length"] for r in own) == own[0]["doc_tokens"] == len(reference_ids(texts[i]))
+
+
+def test_pipeline_repeated_rows_and_empty_tables(spark, tmp_path):
+    a = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "p q", None, None, None), (None, "x y", "en", "s", 3), (None, "x y", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(str(r["doc_id"]) for r in corpus_pipeline.drop_near_copies(spark, a, "").collect()) == ["1", "2", "None", "None"]
+    d = tables(spark, str(tmp_path), ["x"], [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, a.filter("false"), d).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_sql(spark, name):
+    if not Path(SMALL).is_dir():
+        pytest.skip("no tables")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    a, b = queries.QUERIES[name](spark, SMALL).toPandas(), c.sql(queries.ORACLE[name]).df()
+    assert sorted(a.columns) == sorted(b.columns)
+    norm = lambda df: sorted((tuple(None if v != v or v is None else v for v in r) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
+    assert norm(a) == norm(b)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_run(spark, name):
+    if not Path(SMALL).is_dir():
+        pytest.skip("no tables")
+    assert queries.QUERIES[name](spark, SMALL).count() > 0
