@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from semirix import views
 from semirix.functions.semiring import INF
-from semirix.operators import genotype, graph, report, triples, verify
+from semirix.operators import genotype, graph, measure, report, triples, verify
 from semirix.plans import csrv
 from semirix.plans.grammar import GrammarMatrix, csr_bytes, engine_bytes, grammar_bytes, stream_bytes
 from semirix.plans.matrix import Matrix, extent, replicate
@@ -483,6 +483,16 @@ def xvec_length_check(spark: SparkSession, d: str) -> DataFrame:
     return checked_vector(x, views._size(views.read(spark, d, "part"), "p_partkey")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@_query()
+def measure_products(spark: SparkSession, d: str) -> DataFrame:
+    """Milliseconds of a vector, single and in a batch of eight, beside the grammar's figures."""
+    g = _hot(spark, d)
+    one = _line(spark, "id")
+    single = measure.timed(spark, "customers/1", lambda: g.multiply(one))
+    eight = measure.timed(spark, "customers/8", lambda: g.multiply_batch(replicate(one, 8), 8), batch=8)
+    return measure.with_sizes(single.unionByName(eight), g.stats())
+
+
 # reports over inline logs
 
 _LOG = [

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from semirix.plans.grammar import GrammarMatrix
 from semirix.plans.prefix import running
 
-KINDS = {"i32": ("<i4", "long"), "f32": ("<f4", "double"), "f64": ("<f8", "double")}
+KINDS = {"bool": ("u1", "long"), "i32": ("<i4", "long"), "f32": ("<f4", "double"), "f64": ("<f8", "double")}
 
 
 def read_array(spark: SparkSession, path: str, kind: str) -> DataFrame:

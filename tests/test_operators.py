@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semirix import queries as catalogue
-from semirix.operators import genotype, graph, report, triples
+from semirix.operators import genotype, graph, measure, report, triples
 from semirix.plans.matrix import Matrix
 from semirix.plans.prefix import ranked, running
 from semirix.sources import text
@@ -85,6 +85,22 @@ def test_report_nulls(spark):
     assert v.select(report.abbreviated("v"), report.grouped("v"), report.fixed("v", 1), report.grab("line", r"(\d+)")).first() == ("--", "--", "--", None)
 
 
+def test_measure(spark):
+    rows = measure.timed(spark, "m/4", lambda: spark.range(3), 2, 4).unionByName(spark.createDataFrame([("m/8", 8, 1.0, 1.0, 1e-9)], measure.METRICS))
+    first = rows.filter("label = 'm/4'").first()
+    assert first["vectors"] == 8 and abs(first["ms_per_batch"] - 4 * first["ms_per_vector"]) < 1e-9
+    assert tuple(measure.best_batch(rows).first()) == ("m", 8, 1e-9)
+
+
+def test_command_line(spark, tmp_path):
+    from semirix.__main__ import main
+
+    (tmp_path / "t.dat").write_text("10 1 7\n11 1 9\n")
+    assert main(["build", str(tmp_path / "t.dat"), str(tmp_path / "out"), "1"]) == 0
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 0, 1.0), (1, 1, 1.0)]
+    assert main([]) == 2
+
+
 def test_stream_follows_batch(spark, tmp_path):
     x = spark.createDataFrame([(0, 2.0), (1, 3.0)], "col long, x double")
     source, schema = str(tmp_path / "in"), "row long, col long, val double"
