@@ -15,7 +15,7 @@ are laid out in blocks and each two blocks meet in a task, which tries only pair
 its two sets. Either way all pairs within RADIUS are decided on their full sets.
 
 Defined results: a null or blank text has no shingle, is linked with nothing and is kept. A null id is kept, without a
-component. Rows with the same id and text are one document; each row is returned. Ids are integers.
+component. Rows with the same id and text are one document; each row is returned. Of one id with several texts any one stands for it. Ids are integers.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ SYMBOLS = CHUNKS * WIDTH
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 ROUNDS, FEW, BLOCK = 4, 200, 512
 SETS_MB, LEAST_PARTS = 16, 4
+#: Ids up to this many, 8 MB, go to all executors.
+BROADCAST_ROWS = 1_000_000
 _RNG = np.random.default_rng(977)
 _XOR = _RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint32)[:, None]
 _MUL = (_RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -244,12 +246,24 @@ def _by_blocks(near: DataFrame, sets: DataFrame, percent: int, parts: int) -> Da
     return own.unionAll(lists).repartition("x", "y").sortWithinPartitions("x", "y", "kind").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(near: DataFrame, wanted: DataFrame | None, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _members(near: DataFrame) -> DataFrame:
+    """(id): who is in the lists; repeats go batch by batch, so long lists make few rows."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                both = np.concatenate([b.column("a").to_numpy(), b.column("bs").flatten().to_numpy()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(both))], ["id"])
+
+    return near.mapInArrow(run, "id long").distinct()
+
+
+def _confirmed(near: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b): the pairs of the lists ``near`` whose full sets reach ``percent``, or such that connect all of them; written."""
     near = table(near, "near")
-    if wanted is None:
-        wanted = near.select(F.col("a").alias("id")).unionAll(near.select(F.explode("bs").alias("id")))
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.distinct(), "id", "left_semi").dropDuplicates(["id"])
+    wanted = table(_members(near), "members")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # else the texts are shuffled
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
 
     def build(batches):
         for b in blocks(batches):
@@ -278,11 +292,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
             rows = table(buckets.join(comp.withColumnRenamed("root", "known"), "id", "left").withColumn("root", F.coalesce("known", "id")).drop("known"), "open")
         rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
         full = turn == ROUNDS or turn > 0 and new < FEW
-        if full:
-            mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-            found = _confirmed(_compared(rows, percent), rows.join(mixed, "key", "left_semi").select("id"), docs, k, percent, id_col, text_col)
-        else:
-            found = _confirmed(_starred(rows, rank, percent), None, docs, k, percent, id_col, text_col)
+        found = _confirmed(_compared(rows, percent) if full else _starred(rows, rank, percent), docs, k, percent, id_col, text_col)
         new = found.count()
         links = found if links is None else links.unionAll(found)
         if new or comp is None:
