@@ -30,17 +30,42 @@ class WordTokenizer:
         self.tool, self.most = Tokenizer.from_file(path), most
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = np.uint16 if self.tool.get_vocab_size() <= 1 << 16 else np.uint32
+        vocabulary = self.tool.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece of a word
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.keys, self.at, self.size, self.ids = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.width)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        got = [e.ids for e in self.tool.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        at = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), self.width, int(size.sum()))])
-        place = np.searchsorted(self.keys, keys)  # both are sorted
+        """Encodes new words, whose keys are sorted.
+
+        A word of letters, with or without one mark behind, has one or two pieces at least, and a piece's last id says that it
+        is the last. So many of them are encoded as one text and told apart by their pieces. Only if a text has more pieces than
+        these, and for all other words, each word is encoded by itself.
+        """
+        pieces = np.fromiter((1 if w.isalpha() else 2 if w[-1] in ".,;:!?" and w[:-1].isalpha() else 0 for w in words), np.int64, len(words))
+        plain, alone = np.flatnonzero(pieces), np.flatnonzero(pieces == 0).tolist()
+        size, order, ids = np.zeros(len(words), np.int64), [], []
+        chunks = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        for chunk, e in zip(chunks, self.tool.encode_batch_fast([" ".join([words[i] for i in c.tolist()]) for c in chunks], add_special_tokens=False), strict=True):
+            got = np.array(e.ids, self.width)
+            ends, last = np.flatnonzero(self.final[got]) + 1, np.cumsum(pieces[chunk])
+            if len(ends) != last[-1] or ends[-1] != len(got):
+                alone += chunk.tolist()
+                continue
+            size[chunk] = np.diff(ends[last - 1], prepend=0)
+            order.append(chunk)
+            ids.append(got)
+        for i, e in zip(alone, self.tool.encode_batch_fast([words[i] for i in alone], add_special_tokens=False), strict=True):
+            ids.append(np.array(e.ids, self.width))
+            size[i] = len(ids[-1])
+        order = np.concatenate([*order, np.array(alone, np.int64)]).astype(np.int64)
+        at = np.empty(len(words), np.int64)
+        at[order] = len(self.ids) + np.concatenate([[0], np.cumsum(size[order])[:-1]])
+        self.ids = np.concatenate([self.ids, *ids])
+        place = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +80,7 @@ class WordTokenizer:
             if len(self.keys) + int(new.sum()) > self.most:
                 self._clear()
                 new[:] = True
-            self._learn(u[new], [w.word(i) for i in first[new]])
+            self._learn(u[new], w.words(first[new]))
         row = np.searchsorted(self.keys, u)[inv]
         size = self.size[row]
         end = np.concatenate([[0], np.cumsum(size)])
