@@ -114,7 +114,7 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(out), offs
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``size`` bytes of text each; one row may be larger."""
     for batch in batches:
         if batch.num_rows == 0:

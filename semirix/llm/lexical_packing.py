@@ -36,7 +36,7 @@ def encode(docs: DataFrame, path: str, last: int, pattern: str | None = None, id
 
     def run(batches):
         tool = tokenizer(path, pattern)
-        for b in blocks(batches):
+        for b in blocks(batches, size=4 << 20):
             ids, offs = ended(*tool.encode(b.column("text")), last)
             parts = [ids[x:y].tobytes() for x, y in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offs)), pa.array(parts, pa.binary())], ["id", "n", "ids"])
