@@ -13,16 +13,19 @@ from pyspark.sql import functions as F
 
 from semirix.llm import decontamination, lexical_packing, minhash_dedup, secret_scan, toxicity
 from semirix.llm._store import table
+from semirix.runtime import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, trained on all labels, rejects go."""
+    ship(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least id stays."""
+    ship(spark)
     marked = minhash_dedup.groups(docs, k=5, percent=80)
     rest = docs.join(marked.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     if docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():  # repeated rows
@@ -34,17 +37,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    ship(spark)
     found = decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark, and n_chars follows; all documents stay."""
+    ship(spark)
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 4096 ids, filled with each seed's neighbours."""
+    ship(spark)
     return lexical_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
