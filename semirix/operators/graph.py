@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from semirix.functions.semiring import INF, Semiring, get
 from semirix.plans.matrix import Matrix
-from semirix.runtime import table
+from semirix.runtime import discard, table
 
 
 def bfs(edges: DataFrame, start: int, rounds: int = 1 << 30) -> DataFrame:
@@ -22,10 +22,13 @@ def bfs(edges: DataFrame, start: int, rounds: int = 1 << 30) -> DataFrame:
     while k < rounds:
         k += 1
         reached = frontier.join(edges, F.col("id") == F.col("src")).select(F.col("dst").cast("bigint").alias("id")).distinct()
-        frontier = table(reached.join(seen, "id", "left_anti").select("id", F.lit(k).cast("long").alias("level")), "frontier")
+        new = table(reached.join(seen, "id", "left_anti").select("id", F.lit(k).cast("long").alias("level")), "frontier")
+        discard(frontier)
+        frontier = new
         if not frontier.limit(1).count():
             break
-        seen = table(seen.unionByName(frontier), "seen")
+        old, seen = seen, table(seen.unionByName(frontier), "seen")
+        discard(old)
     return seen
 
 
@@ -39,10 +42,13 @@ def sssp(edges: DataFrame, start: int, weight: str | None = None, rounds: int =
     while k < rounds:
         k += 1
         offers = frontier.join(steps, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("offer"))
-        frontier = table(offers.join(dist, "id", "left").filter("dist is null or offer < dist").select("id", F.col("offer").alias("dist")), "frontier")
+        new = table(offers.join(dist, "id", "left").filter("dist is null or offer < dist").select("id", F.col("offer").alias("dist")), "frontier")
+        discard(frontier)
+        frontier = new
         if not frontier.limit(1).count():
             break
-        dist = table(dist.unionByName(frontier).groupBy("id").agg(F.min("dist").alias("dist")), "dist")
+        old, dist = dist, table(dist.unionByName(frontier).groupBy("id").agg(F.min("dist").alias("dist")), "dist")
+        discard(old)
     return dist
 
 
@@ -56,6 +62,7 @@ def fixpoint(matrix: Matrix, x: DataFrame, semiring: str | Semiring = "boolean",
         step = matrix.multiply(y.select(F.col("row").alias("col"), F.col("y").alias("x")), s)
         new = table(step.unionAll(y).groupBy("row").agg(s.y(F.col("y")).alias("y")), "y")
         changed = new.join(y.withColumnRenamed("y", "old"), "row", "left").filter("old is null or old <> y").limit(1).count()
+        discard(y)
         y = new
         if not changed:
             return y

@@ -54,4 +54,17 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/semirix/{uuid.uuid4().hex}-{tag}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._semirix_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what ``table`` wrote, once nothing reads it any more. Other DataFrames, and None, are left alone."""
+    for df in tables:
+        path = getattr(df, "_semirix_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            df._semirix_path = None
