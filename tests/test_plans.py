@@ -59,3 +59,13 @@ def test_intermediate_tables_lie_in_the_shared_folder(spark):
 def test_transposed_twice(spark, tables):
     m = views.quantities(spark, tables)
     assert isinstance(m.transposed().transposed(), Matrix) and m.transposed().transposed().entries.collect() == m.entries.collect()
+
+
+def test_discarded_tables_are_gone(spark):
+    from pathlib import Path
+
+    df, other = runtime.table(spark.range(3), "t"), spark.range(2)
+    at = Path(df._semirix_path.removeprefix("file:"))
+    assert at.is_dir()
+    runtime.discard(df, None, other, df)
+    assert not at.exists() and other.count() == 2
