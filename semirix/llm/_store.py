@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semirix.runtime import table, work_dir
+from semirix.runtime import discard, table, work_dir
 
-__all__ = ["bucket", "sampled", "table", "work_dir"]
+__all__ = ["bucket", "discard", "sampled", "table", "work_dir"]
 
 
 def bucket(column: str | Column, n: int) -> Column:
@@ -16,13 +16,15 @@ def bucket(column: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sampled(df: DataFrame, stratum: Column, key: str, bound: int, seed: int = 7) -> DataFrame:
+def sampled(df: DataFrame, stratum: Column, key: str, bound: int, seed: int = 7, count_of: DataFrame | None = None) -> DataFrame:
     """About ``bound`` rows of each stratum at most, chosen by a hash of ``key``: the same rows at any partitioning.
 
-    Strata are few (labels, languages): their counts come to the driver.
+    Strata are few (labels, languages): their counts come to the driver. ``count_of`` may hold more rows than ``df``, if it
+    is cheaper to count; the sample is then smaller in proportion.
     """
     df = df.withColumn("_stratum", stratum.cast("string")).filter(F.col("_stratum").isNotNull())
-    counts = {r["_stratum"]: r["count"] for r in df.groupBy("_stratum").count().collect()}
+    counted = df if count_of is None else count_of.select(stratum.cast("string").alias("_stratum")).filter(F.col("_stratum").isNotNull())
+    counts = {r["_stratum"]: r["count"] for r in counted.groupBy("_stratum").count().collect()}
     if not counts:
         return df
     limit = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, float(min(1.0, bound / n)))])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semirix.llm._store import table
+from semirix.llm._store import discard, table
 from semirix.llm._text import U64, Words, blocks, mix, shingles
 from semirix.llm.components import connected
 
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
 
 
 def _buckets(distinct: DataFrame) -> DataFrame:
-    """(id, key, n, sig) of all keys that two or more sets have; sig has the low byte of each symbol."""
+    """(id, key, slot, n, sig) of all keys that two or more sets have; slot says which chunk and which symbol is left open."""
 
     def run(batches):
         for b in batches:
@@ -98,24 +98,27 @@ def _buckets(distinct: DataFrame) -> DataFrame:
                 part = b.slice(i, 4096)
                 if not part.num_rows:
                     continue
-                sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(part.num_rows, SYMBOLS)
-                keys = _keys(sig)
+                keys = _keys(_matrix(part.column("sig")))
                 offs = pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(offs, pa.array(keys.ravel()))], ["id", "keys"])
 
-    def short(batches):
-        for b in batches:
-            low = [np.frombuffer(x.as_buffer(), np.uint16).astype(np.uint8).tobytes() for x in b.column("sig")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(low, pa.binary())], ["id", "n", "sig"])
-
-    rows = distinct.select("id", "sig").mapInArrow(run, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+    rows = distinct.select("id", "sig").mapInArrow(run, "id long, keys array<long>").select("id", F.posexplode("keys").alias("slot", "key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     found = rows.join(shared, "key", "left_semi")
-    return table(found.join(distinct.select("id", "n", "sig").mapInArrow(short, "id long, n long, sig binary"), "id"), "buckets")
+    return table(found.join(distinct.select("id", "n", "sig"), "id"), "buckets")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SYMBOLS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), SYMBOLS)
+
+
+def _first_slots(differ: np.ndarray) -> np.ndarray:
+    """Of pairs, by which symbols differ: the first slot whose key both have, so a pair is reported under one of its keys."""
+    parts = differ.reshape(-1, CHUNKS, WIDTH)
+    wrong = parts.sum(axis=2)
+    chunk = (wrong <= ERRORS).argmax(axis=1)
+    at = np.arange(len(parts))
+    return chunk * WIDTH + np.where(wrong[at, chunk] > 0, parts[at, chunk].argmax(axis=1), 0)
 
 
 def _starred(rows: DataFrame, rank, percent: int) -> DataFrame:
@@ -135,28 +138,37 @@ def _starred(rows: DataFrame, rank, percent: int) -> DataFrame:
 
 
 def _compared(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, bs): all pairs within RADIUS that share a key but not a component, as lists."""
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    size = size.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
-    own = rows.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    own = own.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id", "n", "root", "sig")
-
-    def group(key, x, y, mine, ids, n, root, sig):
-        left = np.arange(len(ids)) if x == y else np.flatnonzero(mine == x)
-        right = left if x == y else np.flatnonzero(mine == y)
-        for i in range(0, len(left), 64):
-            l = left[i : i + 64]
-            ok = (root[l, None] != root[None, right]) & (100 * np.minimum(n[l, None], n[None, right]) >= percent * np.maximum(n[l, None], n[None, right]))
-            if x == y:
-                ok &= ids[l, None] > ids[None, right]
-            for p in np.flatnonzero(ok.any(axis=1)):
-                q = right[ok[p]]
-                q = q[(sig[l[p]] != sig[q]).sum(axis=1) <= RADIUS]
-                if len(q):
-                    yield int(ids[l[p]]), ids[q]
-
-    names = ("key", "x", "y", "mine", "id", "n", "root")
+    """(a, bs): all pairs within RADIUS that share a key but not a component, as lists.
+
+    A key's largest component isn't compared with itself: the members of the others probe all. Both sides go in blocks, a
+    task holds two blocks at a time, and a key whose members are nearly all connected costs rows in proportion to them.
+    """
+    roots = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    size = roots.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("top")).filter(F.col("top.c") < F.col("all"))
+    size = size.select("key", F.col("top.root").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("xs"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("ys"))
+    own = rows.join(size, "key").withColumn("minor", F.col("root") != F.col("major"))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda x, y, probe: F.struct(x.alias("x"), y.alias("y"), F.lit(probe).alias("probe"))
+    own = own.withColumns({"bx": block("xs"), "by": block("ys")})
+    cells = F.concat(F.transform(upto("ys"), lambda y: cell(F.col("bx"), y, False)), F.when(F.col("minor"), F.transform(upto("xs"), lambda x: cell(x, F.col("by"), True))).otherwise(F.array().cast("array<struct<x:int,y:int,probe:boolean>>")))
+    cols = ("key", "x", "y", "probe", "minor", "slot", "id", "n", "root", "sig")
+    own = own.withColumn("cell", F.explode(cells)).select("key", "cell.*", *cols[4:])
+
+    def group(probe, minor, slot, ids, n, root, sig):
+        right = np.flatnonzero(~probe)
+        for p in np.flatnonzero(probe).tolist():
+            q = right[(root[right] != root[p]) & (100 * np.minimum(n[right], n[p]) >= percent * np.maximum(n[right], n[p])) & (~minor[right] | (ids[right] < ids[p]))]
+            for i in range(0, len(q), 1 << 12):
+                some = q[i : i + (1 << 12)]
+                differ = sig[p] != sig[some]
+                near = differ.sum(axis=1) <= RADIUS
+                some = some[near]
+                some = some[_first_slots(differ[near]) == slot[0]] if len(some) else some
+                if len(some):
+                    yield int(ids[p]), ids[some]
+
+    names = cols[:-1]
 
     def run(batches):
         held = None  # the last group of a batch may go on in the next
@@ -173,7 +185,7 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
         stop = t.num_rows if last else edges[-1]
         if stop:
             sig = _matrix(t.column("sig").slice(0, stop).combine_chunks())
-            found = [r for i, j in zip(edges, [*edges[1:], t.num_rows], strict=True) if j <= stop for r in group(cols[0][i], cols[1][i], cols[2][i], *[c[i:j] for c in cols[3:]], sig[i:j])]
+            found = [r for i, j in zip(edges, [*edges[1:], t.num_rows], strict=True) if j <= stop for r in group(*[c[i:j] for c in cols[3:]], sig[i:j])]
             if found:
                 offs = np.concatenate([[0], np.cumsum([len(q) for _, q in found])])
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate([q for _, q in found])))], ["a", "bs"])
@@ -261,7 +273,7 @@ def _members(near: DataFrame) -> DataFrame:
 def _confirmed(near: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b): the pairs of the lists ``near`` whose full sets reach ``percent``, or such that connect all of them; written."""
     near = table(near, "near")
-    wanted = table(_members(near), "members")
+    members = wanted = table(_members(near), "members")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # else the texts are shuffled
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
 
@@ -274,7 +286,9 @@ def _confirmed(near: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
     count, size = sets.agg(F.count(F.lit(1)), F.sum(F.length("set"))).first()
     parts = max(LEAST_PARTS, -(-(size or 0) // (SETS_MB << 20)))
     cheap = 2 * pairs * (size or 0) <= parts * (size or 0) * max(1, count)  # bytes moved by either way
-    return table(_by_pairs(near, sets, percent) if cheap else _by_blocks(near, sets, percent, parts), "confirmed")
+    found = table(_by_pairs(near, sets, percent) if cheap else _by_blocks(near, sets, percent, parts), "confirmed")
+    discard(near, members, sets)
+    return found
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,10 +309,13 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
         found = _confirmed(_compared(rows, percent) if full else _starred(rows, rank, percent), docs, k, percent, id_col, text_col)
         new = found.count()
         links = found if links is None else links.unionAll(found)
+        discard(rows)
         if new or comp is None:
-            comp = table(connected(links), "components")
+            old, comp = comp, table(connected(links), "components")
+            discard(old)
         if full:
             break
+    discard(buckets, distinct)
     names = classes.join(comp, F.col("rep") == F.col("id"), "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("component_id"))
     out = own.join(names, ["f1", "f2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
