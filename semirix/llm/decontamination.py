@@ -6,9 +6,10 @@ listed under every block value within RADIUS // BLOCKS errors of its own, so by
 finds it under one of its own blocks. Found pairs are measured on their bags of shingles: the sum of the least counts over
 the sum of the greatest. Shingles have five words, an item of fewer words is one shingle; a window at 0.8 or more is a leak.
 
-A window that has no shingle of any item has similarity 0 with all; such windows are passed over before their fingerprint is
-taken, which loses nothing. The items are the query set: they are searched in chunks of ``chunk``, whose index of
-bounded size goes to the executors; documents are read where they lie, without a shuffle.
+Window and item are equally long, so at a similarity s they share 2 s / (1 + s) of their shingles. A window in which fewer of the
+shingles are of any item is passed over before its fingerprint is taken, which loses nothing. The items are the query set: they
+are searched in chunks of ``chunk``, whose index of bounded size (about 4 KB an item) goes to the executors; documents are read
+where they lie, without a shuffle.
 
 Defined results: null or blank documents and items have no leak. Of windows with equal similarity the first counts.
 Repeated rows are searched each. A null id is carried.
@@ -16,6 +17,7 @@ Repeated rows are searched each. A null id is carried.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -27,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from semirix.llm._text import U64, Words, blocks, shingles
 
-BITS, BLOCKS, RADIUS = 64, 4, 19
+BITS, BLOCKS, RADIUS = 64, 8, 19
 _SHIFTS = np.arange(BITS, dtype=np.uint64)
 MASK = (1 << 22) - 1
 
@@ -75,7 +77,7 @@ class ItemIndex:
         for i, f in enumerate(self.prints.tolist()):
             for b in range(BLOCKS):
                 own = U64((f >> (b * width)) & ((1 << width) - 1)) ^ flips
-                keys.append(own | U64(b << width | int(self.words[i]) << (width + 2)))
+                keys.append(own | U64(b << width | int(self.words[i]) << (width + 8)))
                 items.append(np.full(len(own), i, np.int32))
         keys = np.concatenate(keys) if keys else np.zeros(0, U64)
         items = np.concatenate(items) if items else np.zeros(0, np.int32)
@@ -91,7 +93,7 @@ class ItemIndex:
         """(window, item) of all pairs of these windows of n words and items of n words within RADIUS."""
         width, at, found = BITS // BLOCKS, [], []
         for b in range(BLOCKS):
-            key = (prints >> U64(b * width)) & U64((1 << width) - 1) | U64(b << width | n << (width + 2))
+            key = (prints >> U64(b * width)) & U64((1 << width) - 1) | U64(b << width | n << (width + 8))
             lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
             size = hi - lo
             w = np.repeat(np.arange(len(key)), size)
@@ -113,13 +115,15 @@ class ItemIndex:
             if k not in sh or len(sh[k]) < span or not hit[k].any():
                 continue
             count = runs[k]
-            starts = np.flatnonzero(count[span:] - count[:-span])
+            least = max(1, math.ceil(2 * threshold / (1 + threshold) * span - 1e-9))
+            starts = np.flatnonzero(count[span:] - count[:-span] >= least)
             if not len(starts):
                 continue
             edges = np.flatnonzero(np.diff(starts) > span)
+            step = min(1 << 15, max(16, (1 << 20) // int((self.words == n).sum())))  # bounds the pairs of a step
             for part in np.split(starts, edges + 1):  # the running sums start anew behind each gap
-                for i in range(0, len(part), 1 << 15):
-                    own = part[i : i + (1 << 15)]
+                for i in range(0, len(part), step):
+                    own = part[i : i + step]
                     first = int(own[0])
                     total = np.zeros((int(own[-1]) - first + span + 1, BITS), np.int32)
                     np.cumsum(_signs(sh[k][first : int(own[-1]) + span]), axis=0, out=total[1:])
@@ -144,7 +148,7 @@ def index(rows: list[tuple], k: int = 5) -> ItemIndex:
     return ItemIndex([rows[i][0] for i in keep], w.counts[keep], bags, np.array([simhash(b) for b in bags], np.uint64), k)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, chunk: int = 500, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, chunk: int = 10_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, item, similarity, first_word, n_words: a row for each document and item that it leaks."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
