@@ -85,6 +85,18 @@ def test_near_copies_equal_brute_force(spark, k):
     assert len({r for _, r in expected}) < len(texts) - 40
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_near_copies_in_small_blocks(spark, monkeypatch, few):
+    """All rounds of stars, or one; blocks of four members; every list decided by blocks of sets."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    monkeypatch.setattr(minhash_dedup, "HOT", 2)
+    monkeypatch.setattr(minhash_dedup, "FEW", few)
+    monkeypatch.setattr(minhash_dedup, "_by_pairs", lambda near, sets, percent: minhash_dedup._by_blocks(near, sets, percent, 3))
+    texts = corpus()
+    got = {r["doc_id"]: r for r in minhash_dedup.groups(frame(spark, texts), 4).collect()}
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == slow_groups(texts, 4, 80)
+
+
 def test_near_copies_edges(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (9, None)], "doc_id int, text string")
     got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.groups(docs, 4).collect()]
