@@ -207,8 +207,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     These bounds hold the sample, and so the model that goes to the executors, to a fixed size at any input.
     """
     rows = labelled.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    rows = rows.filter(F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (F.length("_text") <= max_chars) & F.col("_text").rlike(r"\p{L}"))
-    got = sampled(rows, F.col("_lang"), "_id", per_language).select("_lang", "_text").collect()
+    fit_for = F.col("_text").isNotNull() & (F.length("_text") <= max_chars) & F.col("_text").rlike(r"\p{L}")
+    got = sampled(rows, F.col("_lang"), "_id", per_language, count_of=rows).filter(fit_for).select("_lang", "_text").collect()
     return fit(sorted((r[0], r[1]) for r in got), order)
 
 
