@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semirix.llm._store import sampled, table
@@ -27,7 +27,7 @@ from semirix.llm._text import blocks
 from semirix.llm.language_id import _classes
 from semirix.llm.quality_classifier import logistic
 
-AROUND = 6
+AROUND, SEEDS = 6, 8
 QUOTES = frozenset("\"“”„«»‹›")
 # Fixed word lists: report and address, in the four languages of the data.
 REPORT = frozenset("said says wrote writes called quote quoted quotes term word insult sagte schrieb nannte zitat wort dit écrit appelé cité mot dijo escribió llamó cita palabra".split())
@@ -203,14 +203,14 @@ class ToxicityModel:
 def lexicon(sample: DataFrame, n_toxic: int, n_clean: int, size: int = 400) -> tuple[list[str], list[str]]:
     """Words and stems of the sample's (_y, _text) rows whose share of toxic texts is beyond chance, ``size`` at most.
 
-    Counted by Spark. Copies and near copies count once: of texts with the same smallest hash of a three-word shingle,
-    under any of three hashes, the one with the smallest hash stays.
+    Counted by Spark. Copies and near copies count once: a text stays if it has the smallest hash of all texts that share its
+    smallest three-word shingle, under each of SEEDS hashes.
     """
     grams = F.transform(F.array(F.split(F.lower("_text"), r"\s+")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 3))))[0]
     once = sample.select(F.xxhash64("_text").alias("k"), "_y", "_text", grams.alias("grams")).dropDuplicates(["k"])
-    for seed in (11, 12, 13):
-        low = F.array_min(F.transform("grams", lambda g, seed=seed: F.xxhash64(g, F.lit(seed))))
-        once = once.withColumn("low", low).withColumn("least", F.min("k").over(Window.partitionBy("low"))).filter("k = least").drop("low", "least")
+    lows = F.transform(F.sequence(F.lit(1), F.lit(SEEDS)), lambda seed: F.struct(seed.alias("seed"), F.array_min(F.transform("grams", lambda g: F.xxhash64(g, seed))).alias("low")))
+    least = once.select("k", F.explode(lows).alias("l")).groupBy("l.seed", "l.low").agg(F.min("k").alias("k"))
+    once = once.join(least.groupBy("k").count().filter(F.col("count") == SEEDS), "k", "left_semi")
     once = once.select("k", "_y", "_text")
     words = once.select("k", "_y", F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("w")).filter((F.length("w") >= 3) & (F.length("w") <= 40))
     parts = F.transform(F.sequence(F.lit(4), F.least(F.length("w") - 1, F.lit(8))), lambda n: F.substring("w", F.lit(1), n))
@@ -237,7 +237,7 @@ def lexicon(sample: DataFrame, n_toxic: int, n_clean: int, size: int = 400) -> t
     return words_kept[:size], kept_stems[:size]
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = 1500, clean_rows: int = 6000, max_chars: int = 20_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = 1000, clean_rows: int = 3000, max_chars: int = 20_000) -> ToxicityModel:
     """Fit on at most ``toxic_rows`` and ``clean_rows`` labelled rows, each with a text of ``max_chars`` at most."""
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     parts = sampled(rows.filter("_y = 1"), F.col("_y"), "_id", toxic_rows).select("_id", "_y")
