@@ -36,6 +36,8 @@ ROUNDS, FEW, BLOCK = 4, 200, 512
 SETS_MB, LEAST_PARTS = 16, 4
 #: Ids up to this many, 8 MB, go to all executors.
 BROADCAST_ROWS = 1_000_000
+#: A set with fewer copies isn't hot.
+HOT = 1000
 _RNG = np.random.default_rng(977)
 _XOR = _RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint32)[:, None]
 _MUL = (_RNG.integers(0, 2**32, SYMBOLS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -295,7 +297,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     """id, n_shingles, component_id, kept: a row for each row of ``docs``. Linked: 100 * intersection >= percent * union."""
     own = table(signatures(docs, k, id_col, text_col), "signatures")
     with_id = own.filter("id is not null and n > 0")
-    classes = with_id.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
+    classes = with_id.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     distinct = table(with_id.dropDuplicates(["id"]).join(classes.select(F.col("rep").alias("id")), "id", "left_semi"), "distinct")
     buckets = _buckets(distinct)
     comp = links = None
@@ -316,9 +318,13 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
         if full:
             break
     discard(buckets, distinct)
-    names = classes.join(comp, F.col("rep") == F.col("id"), "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("component_id"))
-    out = own.join(names, ["f1", "f2", "n"], "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
+    names = classes.join(comp, F.col("rep") == F.col("id"), "left").select("f1", "f2", "n", "copies", F.coalesce("root", "rep").alias("component_id"))
+    # sets with very many copies, of which there are BROADCAST_ROWS at most, are named without a shuffle; their rows are then dealt by id
+    many = max(HOT, own.count() // BROADCAST_ROWS + 1)
+    hot = names.filter(F.col("copies") >= many).select("f1", "f2", "n", F.col("component_id").alias("hot"))
+    out = own.drop("sig").join(F.broadcast(hot), ["f1", "f2", "n"], "left").withColumn("f1", F.when(F.col("hot").isNotNull() | (F.col("n") == 0), F.xxhash64("id")).otherwise(F.col("f1")))
+    out = out.join(names.filter(F.col("copies") < many).drop("copies"), ["f1", "f2", "n"], "left")
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("hot", "component_id"))
     kind = docs.schema[id_col].dataType
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
