@@ -72,18 +72,12 @@ class CompressionModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    """Pieces of as many texts as fit, the same length of each, at most ``size`` bytes."""
-    if not texts:
-        return b""
-    share = max(256, size // len(texts))
-    out, total = [], 0
-    for t in texts:
-        if total >= size:
-            break
-        out.append(t[:share])
-        total += len(out[-1])
-    return b"\n".join(out)[:size]
+def _dictionaries(good: list[bytes], bad: list[bytes], size: int) -> tuple[bytes, bytes, bool]:
+    """Both trained by zstandard's cover of the texts; if a class has too little text for that, both are the texts themselves."""
+    try:
+        return *(zstandard.train_dictionary(size, texts, k=256, d=8, level=LEVEL).as_bytes() for texts in (good, bad)), False
+    except zstandard.ZstdError:
+        return *(b"\n".join(texts)[-size:] for texts in (good, bad)), True
 
 
 def fit(rows: list[tuple[int, str]], size: int = 112 << 10) -> CompressionModel:
@@ -93,7 +87,8 @@ def fit(rows: list[tuple[int, str]], size: int = 112 << 10) -> CompressionModel:
     if min(map(len, by.values())) < 4:
         return CompressionModel(b"", b"", None, None, None, prior)
     build, rest = {k: v[::2] for k, v in by.items()}, {k: v[1::2] for k, v in by.items()}
-    model = CompressionModel(_dictionary(build[1], size), _dictionary(build[0], size), None, None, None, prior)
+    good, bad, raw = _dictionaries(build[1], build[0], size)
+    model = CompressionModel(good, bad, None, None, None, prior, raw)
     x = model.features([*rest[1], *rest[0]])
     y = np.r_[np.ones(len(rest[1])), np.zeros(len(rest[0]))]
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
