@@ -72,16 +72,17 @@ def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence of every document, as a file below its source: source / thousands / tens / id.txt.
+    """Licence of every document, as a file below its source: source / thousands / hundreds / id.txt.
 
-    The table has no file names, so the document that opens a directory, the one with a round id, is named as its notice: those of
-    thousands lie in source / thousands, those of tens in source / thousands / tens.
+    The table has no file names, so the documents that open a directory are named as its notices: the first twenty ids of each thousand
+    lie in source / thousands, those of each other hundred in source / thousands / hundreds.
     """
     docs = _read(spark, sf_dir, "documents")
     i, text = F.col("doc_id"), lambda c: c.cast("string")
-    thousands, tens = text(F.floor(i / 1000)), text(F.floor(i / 10) % 100)
-    path = F.when(i % 1000 == 0, F.concat_ws("/", "source", thousands, F.concat(F.lit("NOTICE."), text(i)))).when(i % 10 == 0, F.concat_ws("/", "source", thousands, tens, F.concat(F.lit("NOTICE."), text(i))))
-    path = F.coalesce(path, F.concat_ws("/", "source", thousands, tens, F.concat(text(i), F.lit(".txt"))))
+    thousands, hundreds = text(F.floor(i / 1000)), text(F.floor(i / 100) % 10)
+    notice = F.concat(F.lit("NOTICE."), text(i))
+    path = F.when(i % 1000 < 20, F.concat_ws("/", "source", thousands, notice)).when(i % 100 < 20, F.concat_ws("/", "source", thousands, hundreds, notice))
+    path = F.coalesce(path, F.concat_ws("/", "source", thousands, hundreds, F.concat(text(i), F.lit(".txt"))))
     return license_scan.scan(docs.select("doc_id", "text", path.alias("path")))
 
 
