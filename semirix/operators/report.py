@@ -111,7 +111,7 @@ def relation_table(blocks: DataFrame) -> DataFrame:
     """Keys ``relation_semiring``: the engine's single time, its best batch, and the library's threads."""
     key = F.regexp_extract("key", r"^(.*)_(boolean|tropical)$", 1)
     t = blocks.withColumns({"relation": key, "semiring": F.regexp_extract("key", r"^(.*)_(boolean|tropical)$", 2)}).filter("relation <> ''")
-    lib = r"GraphBLAS \w+ (\d+) thread\(s\): ([0-9.eE+-]+) ms"
+    lib = r"^\w+ \w+ (\d+) thread\(s\): ([0-9.eE+-]+) ms"
     return t.groupBy("relation", "semiring").agg(
         F.max(grab("line", ENGINE_MS)).alias("single_ms"), F.min(grab("line", BATCH, 3)).alias("batch_ms"), F.min(grab("line", lib, 2)).alias("library_ms"), F.max(grab("line", lib, 1, "int")).alias("threads"),
     )
