@@ -2,7 +2,8 @@
 
 The texts are tokenized once into a table of ids. The terms are the token ids, so their document frequencies over all
 documents, summed by Spark, are one vector of the vocabulary's size. Each task then reads its part of the table in shards of about
-``shard`` tokens, builds an inverted index of each shard (postings with BM25 weights from the corpus-wide statistics) and packs it:
+``shard`` tokens, builds an inverted index of each shard (postings with BM25 weights from the corpus-wide statistics) and packs it,
+scoring the shard's documents on all terms of the seed:
 the longest unused document is the seed; it fills windows of its own while it can; its best-ranked unused neighbours follow, whole
 where they fit, and the best of the rest is cut at the window's end and goes on later. So all windows of a shard but the last
 are full; the last tokens of a shard form sequences whose lengths are powers of two, which need no padding.
@@ -26,7 +27,6 @@ from semirix.llm._text import blocks
 from semirix.llm.tokens import ended, shards, tokenizer
 
 K1, B = 1.2, 0.75
-TERMS = 24
 RANKS = 48
 
 
@@ -76,7 +76,7 @@ def _plan(ids: list[np.ndarray], df: np.ndarray, total: int, mean: float, length
         terms.append(u)
         docs.append(np.full(len(u), d, np.int32))
         weights.append(w.astype(np.float32))
-        queries.append(u[np.argsort(-w, kind="stable")[:TERMS]])
+        queries.append(u.astype(np.int64))
     term, doc, weight = np.concatenate(terms).astype(np.int64), np.concatenate(docs), np.concatenate(weights)
     order = np.argsort(term, kind="stable")
     doc, weight = doc[order], weight[order]
@@ -87,6 +87,11 @@ def _plan(ids: list[np.ndarray], df: np.ndarray, total: int, mean: float, length
     out: list[list[tuple[int, int, int]]] = []
     spare = 0  # all before are used
 
+    def scores(d: int) -> np.ndarray:
+        """BM25 of all documents for all terms of ``d``."""
+        lists = [slice(x, y) for x, y in zip(ptr[queries[d]].tolist(), ptr[queries[d] + 1].tolist(), strict=True)]
+        return np.bincount(np.concatenate([doc[x] for x in lists]), np.concatenate([weight[x] for x in lists]), count)
+
     def put(d: int, most: int) -> tuple[int, int, int]:
         n = int(min(most, size[d] - at[d]))
         piece = (d, int(at[d]), n)
@@ -95,14 +100,13 @@ def _plan(ids: list[np.ndarray], df: np.ndarray, total: int, mean: float, length
         return piece
 
     for d in seeds:
+        score = None
         while unused[d]:
             window = [put(d, length)]
             free = length - window[0][2]
             while free:
-                score = np.zeros(count, np.float32)
-                for t in queries[d]:
-                    score[doc[ptr[t] : ptr[t + 1]]] += weight[ptr[t] : ptr[t + 1]]
-                score[~unused] = 0
+                score = scores(d) if score is None else score
+                score[~unused] = 0  # for good: a used document stays used
                 found = np.flatnonzero(score)
                 if len(found) > RANKS:
                     found = np.sort(found[np.argpartition(-score[found], RANKS)[:RANKS]])

@@ -239,6 +239,17 @@ def test_neighbours_share_windows():
     assert np.mean(same) < 1.5
 
 
+def test_neighbours_by_any_term_of_the_seed():
+    """The seed has 40 rare terms of its own; the one document related to it shares only commoner terms, and lies last."""
+    rare, shared = np.arange(1000, 1040), np.arange(2000, 2040)
+    ids = [np.concatenate([rare, shared, rare]), *[np.arange(3000 + 50 * i, 3040 + 50 * i) for i in range(6)], shared]
+    ids = [x.astype(np.uint16) for x in ids]
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=4000)
+    df[2000:2040] += 3  # in documents elsewhere
+    first = lexical_packing._plan(ids, df, 20, 50.0, 160)[0]
+    assert [d for d, _, _ in first] == [0, 7]
+
+
 def test_token_output_round_trip(spark):
     texts = [t for t in corpus() if t is None or len(t) < 5000] + ["alpha beta gamma " * 900]
     out = token_output.pack(frame(spark, texts), BYTE, public_tokenizers.PATTERN, 50256, length=300, shard=5000).collect()
