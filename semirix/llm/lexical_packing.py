@@ -8,6 +8,9 @@ the longest unused document is the seed; it fills windows of its own while it ca
 where they fit, and the best of the rest is cut at the window's end and goes on later. So all windows of a shard but the last
 are full; the last tokens of a shard form sequences whose lengths are powers of two, which need no padding.
 
+Limit: neighbours are searched in the seed's shard only. Shards follow the order of the rows, so the searched share of the corpus
+is about one shard in all, and the result depends on how the rows lie (recall in the README).
+
 Defined results: a null or empty text is its end id alone. Null ids of documents are carried. Repeated rows are packed each.
 Neighbours with equal scores go in the shard's order; a document without any neighbour takes unused ones in that order.
 """
