@@ -1,10 +1,11 @@
 """Secrets: candidate strings by their shape, and a random forest that drops the false positives.
 
-A candidate is a run of 16 or more of ``A-Z a-z 0-9 + / _ = -`` with a digit, found on the bytes of whole texts. Its features:
+A candidate is a run of 16 or more of ``A-Z a-z 0-9 + / _ -``, with up to two ``=`` behind that nothing follows (padding), found
+on the bytes of whole texts. Any other ``=`` parts a key from its value. Its features:
 length, changes of character class, entropy, shares of the classes, surprise under a letter-pair model, coverage by a
 dictionary, words of the path, and the words beside it. The forest is trained here on labelled findings: a seeded generator
 writes findings of known kinds (keys, tokens, hashes of commits, identifiers, numbers, placeholders, words) into
-sentences, 1 where the string is a secret; ``findings`` takes any other labelled rows of the same form.
+sentences, 1 where the string is a secret, which are cut into candidates as texts are; other labelled rows can be given to ``fit``.
 
 Defined results: null or empty texts have no finding. Repeated rows are scanned each; null ids are carried; a null path is
 the empty path.
@@ -34,7 +35,7 @@ EXAMPLES = frozenset("test tests example examples sample samples docs fixture fi
 DICTIONARY = frozenset("your token secret here example changeme password test sample dummy placeholder insert value default string content background transition container button wrapper header footer primary secondary version release config options number letter section this that with from have will would there their about which when make like time just know take people into year good some could them other than then look only come over think also back after work first well even want because these give most image data key user name file path".split())
 ASSIGN = frozenset(b"=:")
 _RUN = np.zeros(256, bool)
-_RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_=-"]] = True
+_RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
 NAMES = ("length", "changes", "entropy", "upper", "lower", "digit", "other", "hex", "surprise", "coverage", "path", "keyword", "harmless", "assigned", "quoted", "repeats")
 
 
@@ -79,14 +80,19 @@ def findings(n: int = 4000, seed: int = 3) -> list[tuple[str, str, str, str, int
     one = lambda seq: seq[rng.integers(0, len(seq))]
     words = sorted(DICTIONARY)
     text = lambda: " ".join(one(words) if rng.random() < 0.5 else pick("abcdefghijklmnopqrstuvwxyz", rng.integers(2, 9)) for _ in range(rng.integers(2, 6)))
+    syllable = lambda: one(["", *"bcdfghjklmnprstvwz", "sch", "tr", "st", "pr", "th"]) + one(["a", "e", "i", "o", "u", "ei", "ie", "ou"]) + one(["", "", "n", "r", "s", "t", "l", "ng", "ck"])
+    word = lambda: one(words) if rng.random() < 0.5 else "".join(syllable() for _ in range(rng.integers(2, 5)))
     secrets = [
         lambda: pick(HEX, one([32, 40, 48, 64])), lambda: "AKIA" + pick(ALNUM[:26] + "234567", 16), lambda: "ghp_" + pick(ALNUM, 36),
         lambda: "sk-" + pick(ALNUM, 48), lambda: pick(ALNUM + "+/", 40), lambda: pick(ALNUM + "_-", int(rng.integers(20, 44))), lambda: pick(ALNUM, 24) + "==",
+        lambda: pick(ALNUM[:52], int(rng.integers(20, 44))), lambda: "AKIA" + pick(ALNUM[:26], 16),
     ]
     others = [
         lambda: f"{pick(HEX, 8)}-{pick(HEX, 4)}-4{pick(HEX, 3)}-a{pick(HEX, 3)}-{pick(HEX, 12)}", lambda: pick(HEX, one([32, 40, 64])), lambda: pick("0123456789", int(rng.integers(16, 22))),
         lambda: "your_" + one(words) + "_token_here" + pick("0123456789", 2), lambda: one(["x", "0", "a", "1"]) * int(rng.integers(16, 40)) + "1", lambda: "-".join(one(words) for _ in range(4)) + pick("0123456789", 1),
         lambda: "".join(w.title() for w in (one(words) for _ in range(4))) + pick("0123456789", 1), lambda: "/".join([one(words), one(words), one(words), pick("0123456789", 4)]), lambda: "example" + pick(ALNUM, 6) + "example" + pick("0123456789", 3),
+        lambda: "".join(syllable() for _ in range(rng.integers(7, 14))), lambda: one(["-", "_", "/"]).join(word() for _ in range(rng.integers(3, 6))), lambda: "".join(word().title() for _ in range(rng.integers(3, 6))),
+        lambda: "_".join(one(words).upper() for _ in range(4)), lambda: one(["_", "-", "x", "A"]) * int(rng.integers(16, 60)),
     ]
     out = []
     for i in range(n):
@@ -174,7 +180,14 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 9, least: in
 @functools.cache
 def default_forest() -> Forest:
     rows = findings()
-    return fit(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows], float))
+    texts = pa.array([before + value + after for value, before, after, _, _ in rows])
+    x, y = [], []
+    for d, i, j, own in located(texts, [r[3] for r in rows]):
+        at = len(rows[d][1].encode())
+        if i < at + len(rows[d][0]) and j > at:  # as it is cut from the sentence
+            x.append(own)
+            y.append(float(rows[d][4]))
+    return fit(np.array(x), np.array(y))
 
 
 def candidates(texts: pa.Array) -> list[tuple[int, int, int]]:
@@ -182,40 +195,49 @@ def candidates(texts: pa.Array) -> list[tuple[int, int, int]]:
     data, offs = buffers(texts)
     if not len(data):
         return []
-    run = _RUN[data]
+    run, run_or_pad = _RUN[data], _RUN.copy()
+    run_or_pad[61] = True
     begin, end = run.copy(), run.copy()
     begin[1:] &= ~run[:-1]
     end[:-1] &= ~run[1:]
     edge = offs[(offs > 0) & (offs < len(run))]
     begin[edge], end[edge - 1] = run[edge], run[edge - 1]
     a, b = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    long = b - a >= LEAST
+    long = b - a >= LEAST - 2
     a, b = a[long], b[long]
-    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-    has = digits[b] > digits[a]
-    a, b = a[has], b[has]
     own = np.searchsorted(offs, a, "right") - 1
+    byte = lambda at: np.where(at < offs[own + 1], data[np.minimum(at, len(data) - 1)], 0)
+    pad = b + (byte(b) == 61)
+    pad += (pad > b) & (byte(pad) == 61)
+    b = np.where(run_or_pad[byte(pad)], b, pad)
+    long = b - a >= LEAST
+    a, b, own = a[long], b[long], own[long]
     return list(zip(own.tolist(), (a - offs[own]).tolist(), (b - offs[own]).tolist(), strict=True))
 
 
-def _scan(b: pa.RecordBatch, forest: Forest, threshold: float):
-    """(row, first byte, last byte, score) of all candidates of a block, with the texts' bytes."""
-    texts = pc.fill_null(b.column("text"), "")
-    found = candidates(texts)
-    raw, rows, x, where = {}, [], [], []
-    for d, i, j in found:
-        t = raw.setdefault(d, texts[d].as_buffer().to_pybytes())
+def located(texts: pa.Array, paths: list[str | None], raw: dict[int, bytes] | None = None) -> list[tuple[int, int, int, list[float]]]:
+    """(text, first byte, byte after the last, features) of all candidates; ``raw`` receives the bytes of their texts."""
+    raw, out = {} if raw is None else raw, []
+    for d, i, j in candidates(texts):
+        if d not in raw:
+            raw[d] = texts[d].as_buffer().to_pybytes()
+        t = raw[d]
         value = t[i:j].decode()
-        lead = len(value) - len(value.lstrip("=/-+"))
+        lead = len(value) - len(value.lstrip("/-+"))
         end = len(value.rstrip("/-+"))
         if end - lead < LEAST:
             continue
         i, j = i + lead, i + end
-        x.append(features(t[i:j].decode(), t[max(0, i - 40) : i].decode("utf-8", "ignore"), t[j : j + 40].decode("utf-8", "ignore"), b.column("path")[d].as_py() or ""))
-        where.append((d, i, j))
-    scores = forest.score(np.array(x)) if x else []
-    rows = [(d, i, j, float(s)) for (d, i, j), s in zip(where, scores, strict=True)]
-    return rows, raw
+        out.append((d, i, j, features(t[i:j].decode(), t[max(0, i - 40) : i].decode("utf-8", "ignore"), t[j : j + 40].decode("utf-8", "ignore"), paths[d] or "")))
+    return out
+
+
+def _scan(b: pa.RecordBatch, forest: Forest, threshold: float):
+    """(row, first byte, last byte, score) of all candidates of a block, with the texts' bytes."""
+    raw: dict[int, bytes] = {}
+    found = located(pc.fill_null(b.column("text"), ""), b.column("path").to_pylist(), raw)
+    scores = forest.score(np.array([x for *_, x in found])) if found else []
+    return [(d, i, j, float(s)) for (d, i, j, _), s in zip(found, scores, strict=True)], raw
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
