@@ -2,8 +2,9 @@
 
 Words are runs of letters and digits, in lower case. The document frequencies of the templates' words are counted over all
 files; a word of no template has the greatest weight there is, so foreign words in a line lower its cosine. Every line of a
-file is a possible header; a file as a whole is a licence file if its name says so, or if its whole text is close to a template. A file's
-own licence is its best line's or its whole text's, at ``threshold`` or more. The other files inherit from the nearest
+file is a possible header, and so is each run of lines that is about as long as a template, as headers are wrapped: from each line
+on, the longest run of at most its words and the shortest of at least its words. A file as a whole is a licence file if its name says so, or if its whole text is close to a template. A file's
+own licence is its best line's, run's or its whole text's, at ``threshold`` or more. The other files inherit from the nearest
 directory above them that has a licence file: each different directory is joined with its ancestors' licences once, and
 the files then with their directory, so a directory that holds a third of the files costs one small row in the first join and
 is split by AQE in the second.
@@ -81,6 +82,39 @@ class TemplateIndex:
         return out / np.sqrt(np.maximum(norm, 1e-12))[:, None]
 
 
+    def runs(self, at: np.ndarray, first: np.ndarray, owner: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of two or more lines that can reach a cosine of ``least`` (of their text): first line, cosine, template.
+
+        at: each word's place; first: the n + 1 offsets of the lines in it; owner: the lines' texts, ascending.
+        """
+        known = at >= 0
+        weight = np.where(known, self.idf[np.maximum(at, 0)], self.top)
+        mass = np.concatenate([[0.0], np.cumsum(weight * weight)])  # of a run: at most its squared norm, as counts are 1 at least
+        n = len(owner)
+        line, last = np.arange(n), np.searchsorted(owner, owner, "right")
+        found = []
+        for t in range(self.unit.shape[1]):
+            size = int(self.counts[:, t].sum())
+            gain = np.where(known, weight * self.unit[np.maximum(at, 0), t], 0.0)
+            dot = np.concatenate([[0.0], np.cumsum(gain)])
+            longest = np.searchsorted(first, first[:-1] + size, "right") - 1  # behind its last line
+            for end in (longest, np.where(first[longest] - first[:-1] < size, longest + 1, longest)):
+                end = np.minimum(end, last)
+                s = line[end - line >= 2]
+                a, b = first[s], first[end[s]]
+                s = s[dot[b] - dot[a] >= least[owner[s]] * np.sqrt(np.maximum(mass[b] - mass[a], 0.0)) - 1e-6]
+                found.append(s * np.int64(n + 1) + end[s])
+        pairs = np.unique(np.concatenate(found))
+        score, which = np.zeros(len(pairs)), np.zeros(len(pairs), np.int64)
+        begin, end = pairs // (n + 1), pairs % (n + 1)
+        for i in range(0, len(pairs), 4096):  # bounds the words of a step
+            a, size = first[begin[i : i + 4096]], first[end[i : i + 4096]] - first[begin[i : i + 4096]]
+            words = np.arange(size.sum()) + np.repeat(a - np.cumsum(size) + size, size)
+            cos = self.cosines(at[words], np.repeat(np.arange(len(a)), size), len(a))
+            score[i : i + 4096], which[i : i + 4096] = cos.max(axis=1), cos.argmax(axis=1)
+        return begin, score, which
+
+
 def index(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> TemplateIndex:
     w = Words(pa.array([t for _, t in templates]), _INK)
     vocabulary, inv = np.unique(w.hashes(lower=True), return_inverse=True)
@@ -109,7 +143,7 @@ def frequencies(files: DataFrame, own: TemplateIndex, text_col: str) -> tuple[np
 
 
 def own_licenses(files: DataFrame, own: TemplateIndex, id_col: str, text_col: str, path_col: str, threshold: float, whole: float) -> DataFrame:
-    """id, path, license, score, line (-1: the whole text; null: none), whole_license, whole_score."""
+    """id, path, license, score, line (the first of a run; -1: the whole text; null: none), whole_license, whole_score."""
     kind = files.schema[id_col].dataType.simpleString()
     names = np.array(own.names, object)
 
@@ -132,6 +166,12 @@ def own_licenses(files: DataFrame, own: TemplateIndex, id_col: str, text_col: st
                 better = top[lead] >= kept[owner[lead]]
                 d = owner[lead][better]
                 kept[d], best[d], where[d] = top[lead][better], which[lead][better], (line[first] - base[owner])[lead][better]
+                s, score, which = own.runs(at, np.append(first, len(unit)), owner, np.maximum(threshold, kept))
+                order = np.lexsort((s, -score, owner[s]))
+                lead = order[np.r_[True, np.diff(owner[s][order]) > 0]] if len(order) else order
+                lead = lead[score[lead] > kept[owner[s[lead]]] + 1e-9]
+                d = owner[s[lead]]
+                kept[d], best[d], where[d] = score[lead], which[lead], (line[first] - base[owner])[s[lead]]
             ok = kept >= threshold
             text_or = lambda v, m: pa.array([x if y else None for x, y in zip(v, m, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(

@@ -1,6 +1,7 @@
 """Near copies, leaks, packing, licences, secrets and the pipeline: against brute force and round trips."""
 
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -295,6 +296,27 @@ def test_licenses(spark):
     assert license_scan.scan(df.filter("false")).count() == 0
 
 
+def test_wrapped_headers_inside_long_files(spark):
+    """Standard notices at several wraps, as comments in files whose body is too long for the whole text's cosine."""
+    rng = np.random.default_rng(4)
+    notices = {
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    }
+    body = lambda: "\n".join(" ".join(words(rng, 8)) + " the of to" for _ in range(120))
+    files = [(name, width, mark) for name in notices for width in (30, 50, 72) for mark in ("# ", " * ", "// ")]
+    rows = []
+    for i, (name, width, mark) in enumerate(files):
+        header = "\n".join(mark + x for x in textwrap.wrap(notices[name], width))
+        rows.append((i, f"p{i}/f.c", f"int x;\n{header}\n{body()}"))
+    rows += [(len(files) + i, f"q{i}/g.c", body()) for i in range(200)]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [(got[i]["license"], got[i]["via"]) for i in range(len(files))] == [(name, "header") for name, _, _ in files]
+    assert all(got[i]["line"] in (1, 2) for i, (name, width, _) in enumerate(files) if name == "GPL-3.0")
+    assert not any(got[len(files) + i]["license"] for i in range(200))
+
+
 def test_license_cosine_from_the_definition(spark):
     texts = ["Licensed under the MIT License", "the the under license words", "Released under CC0 1.0"]
     own = license_scan.index()
