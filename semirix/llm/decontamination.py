@@ -6,7 +6,10 @@ listed under every block value within RADIUS // BLOCKS errors of its own, so by
 finds it under one of its own blocks. Found pairs are measured on their bags of shingles: the sum of the least counts over
 the sum of the greatest. Shingles have five words, an item of fewer words is one shingle; a window at 0.8 or more is a leak.
 
-Window and item are equally long, so at a similarity s they share 2 s / (1 + s) of their shingles. A window in which fewer of the
+A document with fewer words than an item is one window of its own length: it is compared with the items that share shingles
+with it, without fingerprints, so this is exact.
+
+Window and item are equally long otherwise, so at a similarity s they share 2 s / (1 + s) of their shingles. A window in which fewer of the
 shingles are of any item is passed over before its fingerprint is taken, which loses nothing. The items are the query set: they
 are searched in chunks of ``chunk``, whose index of bounded size (about 4 KB an item) goes to the executors; documents are read
 where they lie, without a shuffle.
@@ -83,9 +86,14 @@ class ItemIndex:
         items = np.concatenate(items) if items else np.zeros(0, np.int32)
         order = np.argsort(keys, kind="stable")
         self.keys, self.items = keys[order], items[order]
-        self.known, self.seen = {}, {}
+        self.known, self.seen, self.listed, self.longest = {}, {}, {}, {}
         for k in sorted({min(self.k, int(n)) for n in self.words}):
             self.known[k] = np.unique(np.concatenate([b for b, n in zip(self.bags, self.words, strict=True) if min(self.k, int(n)) == k]))
+            own = [(b, i) for i, (b, n) in enumerate(zip(self.bags, self.words, strict=True)) if min(self.k, int(n)) == k]
+            sh, item = np.concatenate([b for b, _ in own]), np.repeat([i for _, i in own], [len(b) for b, _ in own])
+            self.longest[k] = max(len(b) for b, _ in own)
+            by = np.argsort(sh, kind="stable")
+            self.listed[k] = sh[by], item[by]  # the items of each shingle
             self.seen[k] = np.zeros(MASK + 1, bool)
             self.seen[k][(self.known[k] & U64(MASK)).astype(np.int64)] = True
 
@@ -105,6 +113,22 @@ class ItemIndex:
         close = np.bitwise_count(prints[at] ^ self.prints[found]) <= RADIUS
         return at[close], found[close]
 
+    def shorter(self, sh: np.ndarray, k: int, threshold: float) -> list[tuple[int, float]]:
+        """(item, similarity) of a whole document, all of whose shingles are given, and the items longer than it."""
+        if len(sh) >= self.longest[k]:
+            return []
+        keys, items = self.listed[k]
+        u = np.unique(sh)
+        lo, hi = np.searchsorted(keys, u), np.searchsorted(keys, u, "right")
+        out = []
+        for item in np.unique(np.concatenate([items[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])).tolist():
+            size = len(self.bags[item])
+            if len(sh) < size and len(sh) >= threshold * size - 1e-9:
+                s = weighted_similarity(sh, self.bags[item])
+                if s >= threshold:
+                    out.append((item, s))
+        return out
+
     def search(self, sh: dict[int, np.ndarray], hit: dict[int, np.ndarray], threshold: float) -> list[tuple[int, float, int]]:
         """(item, similarity, first word) of a document's best window for each item. sh, hit: shingles by k, and which are known."""
         out: dict[int, tuple[float, int]] = {}
@@ -132,6 +156,10 @@ class ItemIndex:
                         s = weighted_similarity(sh[k][own[w] : own[w] + span], self.bags[item])
                         if s >= threshold and s > out.get(int(item), (0.0, 0))[0]:
                             out[int(item)] = s, int(own[w])
+        for k, own in sh.items():
+            known = int(runs[k][-1])
+            if known >= max(1, math.ceil(threshold * len(own) - 1e-9)):  # both / all >= threshold, and all >= len(own)
+                out |= {i: (s, 0) for i, s in self.shorter(own, k, threshold)}
         return [(i, s, at) for i, (s, at) in sorted(out.items())]
 
 
@@ -180,7 +208,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float =
                 if found:
                     d, i, s, at = zip(*found, strict=True)
                     i = pa.array(i, pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(d, pa.int64())), names.take(i), pa.array(s), pa.array(at, pa.int64()), pa.array(own.words, pa.int64()).take(i)], ["id", "item", "similarity", "first_word", "n_words"])
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(d, pa.int64())), names.take(i), pa.array(s), pa.array(at, pa.int64()), pa.array(np.minimum(own.words[i.to_numpy()], w.counts[list(d)]), pa.int64())], ["id", "item", "similarity", "first_word", "n_words"])
 
         if own.ids:
             got = rows.mapInArrow(run, schema)

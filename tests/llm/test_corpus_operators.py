@@ -185,6 +185,26 @@ def test_leaks_equal_brute_force(spark):
     assert decontamination.leaks(frame(spark, texts).filter("false"), spark.createDataFrame([(1, "a b")], "item_id int, text string")).count() == 0
 
 
+def test_leaks_of_documents_shorter_than_the_item(spark):
+    rng = np.random.default_rng(21)
+    items = [words(rng, 40), words(rng, 20), ["a", "b", "c"]]
+    cuts = [items[0][:38], items[0][1:39], items[0][:36], items[0][:35], items[0][:34], items[0][5:], items[1][2:], items[1][:19], items[1][:16], items[0][:20] + ["zz"] + items[0][21:39], ["a", "b"], items[0][:4], []]
+    docs = frame(spark, [" ".join(x) for x in cuts])
+    got = decontamination.leaks(docs, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id int, text string"))
+    found = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["first_word"], r["n_words"]) for r in got.collect()}
+    bag = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    expected = {}
+    for d, w in enumerate(cuts):
+        for j, item in enumerate(items[:2]):
+            a, b = bag(w), bag(item)
+            if len(w) < len(item):
+                both = sum(min(a.count(g), b.count(g)) for g in set(a) & set(b))
+                s = both / (len(a) + len(b) - both)
+                if s >= 0.8:
+                    expected[d, j] = (round(s, 9), 0, len(w))
+    assert found == expected and {(0, 0), (1, 0), (7, 1)} <= set(found) and (8, 1) not in found
+
+
 def test_block_lists_hold_all_within_the_radius():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 2**63, 20, dtype=np.uint64)
