@@ -202,13 +202,15 @@ def fit(rows: list[tuple[str, str]], order: int = 5, holdout: int = 10) -> Langu
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, max_chars: int = 20_000, order: int = 5) -> LanguageModel | None:
-    """Fit on about ``per_language`` rows of each language with a text of ``max_chars`` at most, chosen by a hash of the id.
+    """Fit on about ``per_language`` rows with a letter of each language, chosen by a hash of the id; of a text longer than
+    ``max_chars``, on that many characters from its first letter on.
 
     These bounds hold the sample, and so the model that goes to the executors, to a fixed size at any input.
     """
     rows = labelled.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    fit_for = F.col("_text").isNotNull() & (F.length("_text") <= max_chars) & F.col("_text").rlike(r"\p{L}")
-    got = sampled(rows, F.col("_lang"), "_id", per_language, count_of=rows).filter(fit_for).select("_lang", "_text").collect()
+    got = sampled(rows.filter(F.col("_text").rlike(r"\p{L}")), F.col("_lang"), "_id", per_language)
+    piece = F.when(F.length("_text") > max_chars, F.substring(F.regexp_replace("_text", r"\A\P{L}++", ""), 1, max_chars)).otherwise(F.col("_text"))
+    got = got.select("_lang", piece.alias("_text")).collect()
     return fit(sorted((r[0], r[1]) for r in got), order)
 
 

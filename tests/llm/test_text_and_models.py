@@ -243,3 +243,16 @@ def test_sample_is_bounded_and_stable(spark, cls):
     df = spark.range(5000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, "de").otherwise("en").alias("l"))
     a, b = ({r["k"] for r in sampled(d, F.col("l"), "k", 200).filter(F.col("l") == cls).collect()} for d in (df, df.repartition(7)))
     assert a == b and 120 < len(a) < 290
+
+
+def test_languages_of_long_documents_are_learned(spark):
+    """One language has long documents only, another short ones among many without a letter."""
+    rng = np.random.default_rng(2)
+    text = lambda letters, n: "".join(rng.choice([*letters, " "], n))
+    rows = [(i, "12 34 " + text("abcde", 3000), "long") for i in range(12)] + [(100 + i, text("vwxyz", 300), "short") for i in range(12)]
+    rows += [(1000 + i, "1 2 3", "short") for i in range(3000)] + [(9000, None, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, per_language=12, max_chars=1000)
+    assert sorted(model.languages) == ["long", "short"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs.filter("doc_id < 1000"), model).collect()}
+    assert all(v == ("long" if i < 100 else "short") for i, v in got.items())
