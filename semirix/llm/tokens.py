@@ -29,9 +29,10 @@ class WordTokenizer:
 
         self.tool, self.most = Tokenizer.from_file(path), most
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.width = np.uint16 if self.tool.get_vocab_size() <= 1 << 16 else np.uint32
         vocabulary = self.tool.get_vocab()
-        self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece of a word
+        self.total = max(vocabulary.values()) + 1
+        self.width = np.uint16 if self.total <= 1 << 16 else np.uint32
+        self.final = np.zeros(self.total, bool)  # ids that end a piece of a word
         self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._clear()
 
@@ -97,7 +98,8 @@ class ByteTokenizer:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tool = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.width = np.uint16 if max(ranks.values()) + 1 < 1 << 16 else np.uint32
+        self.total = max(ranks.values()) + 1
+        self.width = np.uint16 if self.total < 1 << 16 else np.uint32
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         got = [self.tool.encode_ordinary_batch([t], num_threads=1)[0] if len(t) > 1 << 20 else self.tool.encode_ordinary(t) for t in pc.fill_null(texts, "").to_pylist()]

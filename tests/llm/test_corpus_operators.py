@@ -271,6 +271,53 @@ def test_neighbours_by_any_term_of_the_seed():
     assert [d for d, _, _ in first] == [0, 7]
 
 
+def slow_bm25(texts, seed):
+    """(score, document) of all others, from the definition."""
+    ids = [reference_ids(t) for t in texts]
+    mean = np.mean([len(x) for x in ids])
+    idf = lambda w: np.log1p((len(ids) - sum(w in x for x in ids) + 0.5) / (sum(w in x for x in ids) + 0.5))
+    one = lambda w, x: x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / mean))
+    weights = {w: idf(w) for w in set(ids[seed])}
+    return [(sum(v * one(w, x) for w, v in weights.items()), d) for d, x in enumerate(ids) if d != seed]
+
+
+def test_search_is_plain_bm25(spark):
+    texts = [t for t in corpus() if t is None or len(t) < 5000][:60]
+    docs = frame(spark, texts)
+    got = defaultdict(list)
+    for r in lexical_packing.search(docs.repartition(3), docs.filter("doc_id % 20 = 0"), WORD, 2, k=5, shard=3000).collect():
+        got[r["seed"]].append((round(r["score"], 3), -r["doc_id"]))
+    assert sorted(got) == [0, 20, 40]
+    for seed, found in got.items():
+        expected = sorted(((round(s, 3), -d) for s, d in slow_bm25(texts, seed)), reverse=True)
+        assert [s for s, _ in sorted(found, reverse=True)] == [s for s, _ in expected[:5]]
+        assert {d for s, d in found if s > expected[5][0]} == {d for s, d in expected[:5] if s > expected[5][0]}
+    assert lexical_packing.search(docs.filter("false"), docs.filter("false"), WORD, 2).count() == 0
+
+
+def test_documents_of_a_topic_meet(spark):
+    """Twelve topics in random order, in shards of about one topic: documents share windows and shards with their own."""
+    rng = np.random.default_rng(14)
+    vocabulary = [[f"{chr(97 + t)}{a}{b}" for a in "aeiou" for b in "bdfgklmnrst"] for t in range(12)]
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 12], 60))) for i in rng.permutation(480).tolist()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    windows, shards = defaultdict(set), defaultdict(set)
+    for r in lexical_packing.pack(docs, WORD, 2, length=512, shard=8000, sample=200).collect():
+        windows[r["sequence_id"]].add(r["doc_id"] % 12)
+        shards[r["doc_id"] % 12].add(r["sequence_id"] >> 40)
+    assert np.mean([len(w) for w in windows.values()]) < 2 and np.mean([len(s) for s in shards.values()]) <= 3
+
+
+def test_a_hot_text_is_split(spark):
+    """A third of all rows are one text, some with null ids: no shard holds them all, and none is lost."""
+    rng = np.random.default_rng(15)
+    rows = [(None if i % 6 == 0 else i, "one hot text of a few words " * 6) for i in range(300)] + [(1000 + i, " ".join(words(rng, 30))) for i in range(600)]
+    got = lexical_packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORD, 2, length=256, shard=4000).collect()
+    hot = [r for r in got if r["doc_id"] is None or r["doc_id"] < 1000]
+    assert len({r["sequence_id"] >> 40 for r in hot}) > 2
+    assert sum(r["length"] for r in hot) == 300 * len(reference_ids(rows[0][1])) and sum(r["doc_id"] is None and r["start"] == 0 for r in got) == 50
+
+
 def test_token_output_round_trip(spark):
     texts = [t for t in corpus() if t is None or len(t) < 5000] + ["alpha beta gamma " * 900]
     out = token_output.pack(frame(spark, texts), BYTE, public_tokenizers.PATTERN, 50256, length=300, shard=5000).collect()
