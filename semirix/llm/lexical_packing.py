@@ -51,7 +51,9 @@ class Router:
 
     def __post_init__(self) -> None:
         rng = np.random.default_rng(41)
-        self._signs = rng.integers(0, 2, (len(self.idf), DIMENSIONS), np.int8) * np.int8(2) - np.int8(1)
+        self._signs = (rng.integers(0, 2, (len(self.idf), DIMENSIONS), np.int8) * 2.0 - 1) * self.idf[:, None]
+        self._signs = self._signs.astype(np.float32)
+        self._tf = (1 + np.log(np.arange(1, 1 << 16))).astype(np.float32)
         self._draw = rng.exponential(size=len(self.idf)) / self.idf**2
 
     def __getstate__(self) -> dict:
@@ -66,7 +68,7 @@ class Router:
         out, low = np.zeros((len(ids), DIMENSIONS), np.float32), np.zeros(len(ids), np.int64)
         for d, x in enumerate(ids):
             u, tf = np.unique(x, return_counts=True)
-            v = (self.idf[u] * (1 + np.log(tf))).astype(np.float32) @ self._signs[u].astype(np.float32)
+            v = self._tf[np.minimum(tf, len(self._tf)) - 1] @ self._signs[u]
             out[d] = v / max(float(np.sqrt(v @ v)), 1e-9)
             low[d] = u[self._draw[u].argmin()]
         return out, low
@@ -181,34 +183,59 @@ def statistics(encoded: DataFrame, width: type) -> tuple[np.ndarray, int, float]
     return out, n, float(mean or 1.0)
 
 
-def _postings(ids: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The inverted index: ptr (by term), documents, BM25 weights; and the terms of each document."""
-    terms, docs, weights = [], [], []
-    for d, x in enumerate(ids):
-        u, tf = np.unique(x, return_counts=True)
-        terms.append(u.astype(np.int64))
-        docs.append(np.full(len(u), d, np.int32))
-        weights.append((idf[u] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean))).astype(np.float32))
-    term, doc, weight = np.concatenate(terms), np.concatenate(docs), np.concatenate(weights)
-    order = np.argsort(term, kind="stable")
-    return np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))]), doc[order], weight[order], terms
+class Index:
+    """The inverted index of a shard with BM25 weights. Terms of an eighth of the documents or more have a full row, others a list."""
 
-
-def _scored(terms: np.ndarray, ptr: np.ndarray, doc: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
-    """BM25 of all documents of an index for these terms, each once."""
-    lists = [slice(x, y) for x, y in zip(ptr[terms].tolist(), ptr[terms + 1].tolist(), strict=True)]
-    return np.bincount(np.concatenate([doc[x] for x in lists]), np.concatenate([weight[x] for x in lists]), count)
+    def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float):
+        docs, weights = [], []
+        self.terms = []
+        for d, x in enumerate(ids):
+            u, tf = np.unique(x, return_counts=True)
+            self.terms.append(u.astype(np.int64))
+            docs.append(np.full(len(u), d))
+            weights.append(idf[u] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(x) / mean)))
+        term, doc, weight = np.concatenate(self.terms), np.concatenate(docs), np.concatenate(weights)
+        size = np.bincount(term, minlength=len(idf))
+        heavy = np.flatnonzero(size * 8 >= max(8, len(ids)))
+        self.row, self.count = np.full(len(idf), -1), len(ids)
+        self.row[heavy] = np.arange(len(heavy))
+        self.full = np.zeros((len(heavy), len(ids)), np.float32)
+        row = self.row[term]
+        self.full[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
+        order = np.argsort(term[row < 0], kind="stable")
+        self.doc, self.weight = doc[row < 0][order], weight[row < 0][order]
+        self.ptr = np.concatenate([[0], np.cumsum(np.where(self.row < 0, size, 0))])
+        self.names = np.arange(len(ids))  # of the rows' columns
+
+    def without(self, gone: np.ndarray) -> None:
+        """Takes documents out."""
+        keep = ~gone[self.doc]
+        self.ptr = np.concatenate([[0], np.cumsum(keep)])[self.ptr]
+        self.doc, self.weight = self.doc[keep], self.weight[keep]
+        keep = ~gone[self.names]
+        self.names, self.full = self.names[keep], np.ascontiguousarray(self.full[:, keep])
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """Of all documents, for these terms, each once."""
+        row = self.row[terms]
+        light, out = terms[row < 0], np.zeros(self.count)
+        out[self.names] = np.ones((row >= 0).sum(), np.float32) @ self.full[row[row >= 0]]
+        lists = [slice(x, y) for x, y in zip(self.ptr[light].tolist(), self.ptr[light + 1].tolist(), strict=True) if x < y]
+        if lists:
+            out += np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), self.count)
+        return out
 
 
 def _plan(ids: list[np.ndarray], df: np.ndarray, total: int, mean: float, length: int, ranks: int = 48) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length); every id is in one piece."""
     count = len(ids)
-    ptr, doc, weight, terms = _postings(ids, _idf(df, total), mean)
+    index = Index(ids, _idf(df, total), mean)
     size = np.array([len(x) for x in ids])
     at, unused = np.zeros(count, np.int64), np.ones(count, bool)
     seeds = iter(np.argsort(-size, kind="stable").tolist())
     out: list[list[tuple[int, int, int]]] = []
     spare = 0  # all before are used
+    open_ = count  # documents in the index
 
     def put(d: int, most: int) -> tuple[int, int, int]:
         n = int(min(most, size[d] - at[d]))
@@ -223,7 +250,11 @@ def _plan(ids: list[np.ndarray], df: np.ndarray, total: int, mean: float, length
             window = [put(d, length)]
             free = length - window[0][2]
             while free:
-                score = _scored(terms[d], ptr, doc, weight, count) if score is None else score
+                if score is None:
+                    if unused.sum() < 0.7 * open_:  # used documents leave the index now and then
+                        index.without(~unused)
+                        open_ = int(unused.sum())
+                    score = index.scores(index.terms[d])
                 score[~unused] = 0  # for good: a used document stays used
                 found = np.flatnonzero(score)
                 if len(found) > ranks:
@@ -309,9 +340,9 @@ def search(docs: DataFrame, seeds: DataFrame, path: str, last: int, k: int = 10,
         for part in shards(batches, shard):
             names = pa.concat_arrays([b.column("id") for b in part]).to_pylist()
             ids = [np.frombuffer(x.as_buffer(), width) for b in part for x in b.column("ids")]
-            ptr, doc, weight, _ = _postings(ids, _idf(df, total), mean)
+            index = Index(ids, _idf(df, total), mean)
             for seed, terms in asked:
-                score = _scored(terms[terms < len(ptr) - 1], ptr, doc, weight, len(ids))
+                score = index.scores(terms[terms < len(df)])
                 least = np.partition(score, -k - 1)[-k - 1] if len(score) > k else 0.0  # with all that tie with the last, and the seed
                 found = [(seed, names[i], float(score[i])) for i in np.flatnonzero((score >= least) & (score > 0)).tolist() if names[i] != seed]
                 if found:
