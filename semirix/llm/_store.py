@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semirix.runtime import discard, table, work_dir
 
-__all__ = ["bucket", "discard", "sampled", "table", "work_dir"]
+__all__ = ["bucket", "discard", "majority", "sampled", "table", "within", "work_dir"]
 
 
 def bucket(column: str | Column, n: int) -> Column:
@@ -17,7 +17,7 @@ def bucket(column: str | Column, n: int) -> Column:
 
 
 def sampled(df: DataFrame, stratum: Column, key: str, bound: int, seed: int = 7, count_of: DataFrame | None = None) -> DataFrame:
-    """About ``bound`` rows of each stratum at most, chosen by a hash of ``key``: the same rows at any partitioning.
+    """``bound`` rows of each stratum at most, those with the least hash of ``key`` (in ``_draw``): the same rows at any partitioning.
 
     Strata are few (labels, languages): their counts come to the driver. ``count_of`` may hold more rows than ``df``, if it
     is cheaper to count; the sample is then smaller in proportion.
@@ -25,8 +25,24 @@ def sampled(df: DataFrame, stratum: Column, key: str, bound: int, seed: int = 7,
     df = df.withColumn("_stratum", stratum.cast("string")).filter(F.col("_stratum").isNotNull())
     counted = df if count_of is None else count_of.select(stratum.cast("string").alias("_stratum")).filter(F.col("_stratum").isNotNull())
     counts = {r["_stratum"]: r["count"] for r in counted.groupBy("_stratum").count().collect()}
+    df = df.withColumn("_draw", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
     if not counts:
         return df
-    limit = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, float(min(1.0, bound / n)))])
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return df.filter(draw < limit[F.col("_stratum")])
+    # about an eighth more than wanted by their hash, of which the first are kept: a window over few rows
+    limit = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, float(min(1.0, (bound + 4 * bound**0.5 + bound / 8) / n)))])
+    few = df.filter(F.pmod(F.col("_draw"), F.lit(1 << 30)) / float(1 << 30) < limit[F.col("_stratum")])
+    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy(F.pmod(F.col("_draw"), F.lit(1 << 30)), "_draw"))
+    return few.withColumn("_rank", rank).filter(F.col("_rank") <= bound).drop("_rank")
+
+
+def majority(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(_id, _y) with 0 or 1: what most labels of an id say. An id with as many of either has none; other labels and null ids don't count."""
+    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull())
+    return rows.groupBy("_id").agg(F.avg("_y").alias("_y")).filter("_y <> 0.5").select("_id", (F.col("_y") > 0.5).cast("int").alias("_y"))
+
+
+def within(df: DataFrame, stratum: str, size: Column, most: int, least: int) -> DataFrame:
+    """Rows of a bounded sample whose ``size`` sums to ``most`` at most by stratum, in the order of ``_draw``; ``least`` rows stay anyway."""
+    w = Window.partitionBy(stratum).orderBy("_draw")
+    kept = df.withColumns({"_before": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_rank": F.row_number().over(w)})
+    return kept.filter((F.col("_before") <= most) | (F.col("_rank") <= least)).drop("_before", "_rank")

@@ -1,11 +1,14 @@
 """Quality by compression: two zstandard dictionaries, one of good and one of bad labelled text.
 
-A text is compressed whole with either dictionary. The difference of the two sizes over their sum says which class it
-resembles; the ratio of the smaller size to the text says how repetitive it is. A logistic curve fitted on labelled rows
-that built no dictionary calibrates both into the score.
-
-Defined results: a null text is the empty text and has the score of a text of no length. Ties and repeated rows give
-equal scores. Without labelled rows of both classes the score is the share of label 1, or 0.5 without any.
+A text is compressed whole with either dictionary. The normalised difference of the two sizes, (good - bad) / (good + bad), says which
+class it resembles, and grows clearer with the length. Texts that neither dictionary explains (noise) or that compress far too
+well (repetition) have sizes near each other, so three terms of the smaller size's ratio to the text, and the length, go beside it. A
+logistic curve fitted on labelled rows that built no dictionary calibrates all into the score. ``ratio=False`` leaves the difference
+and its product with the length alone (figures in the README).
+
+Defined results: a null text is the empty text and has the score of a text of no length. Ties and repeated rows give equal scores.
+Two labels of one id: the majority, none if they are even. Without labelled rows of both classes the score is the share of label 1, or
+0.5 without any.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semirix.llm._store import sampled
+from semirix.llm._store import majority, sampled, within
 from semirix.llm._text import blocks
 
 LEVEL = 3
@@ -49,6 +52,7 @@ class CompressionModel:
     scale: np.ndarray | None
     prior: float
     raw: bool = True
+    ratio: bool = True
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         kind = zstandard.DICT_TYPE_RAWCONTENT if self.raw else zstandard.DICT_TYPE_FULLDICT
@@ -62,6 +66,8 @@ class CompressionModel:
         g, b = sizes[:, 0], sizes[:, 1]
         d, r = (g - b) / np.maximum(g + b, 1), np.minimum(g, b) / np.maximum(n, 8)
         size = np.log1p(n)
+        if not self.ratio:
+            return np.column_stack([d, d * size])
         # one column for each part of the ratio's range: both very low and very high ratios are odd
         return np.column_stack([d, d * size, r, r * r, np.maximum(0, 0.15 - r), np.maximum(0, r - 0.5), size])
 
@@ -80,7 +86,7 @@ def _dictionaries(good: list[bytes], bad: list[bytes], size: int) -> tuple[bytes
         return *(b"\n".join(texts)[-size:] for texts in (good, bad)), True
 
 
-def fit(rows: list[tuple[int, str]], size: int = 112 << 10) -> CompressionModel:
+def fit(rows: list[tuple[int, str]], size: int = 112 << 10, ratio: bool = True) -> CompressionModel:
     """rows: (label, text). Half of each class builds the dictionaries, the other half calibrates."""
     by = {k: [t.encode() for y, t in rows if y == k] for k in (0, 1)}
     prior = len(by[1]) / len(rows) if rows else 0.5
@@ -88,7 +94,7 @@ def fit(rows: list[tuple[int, str]], size: int = 112 << 10) -> CompressionModel:
         return CompressionModel(b"", b"", None, None, None, prior)
     build, rest = {k: v[::2] for k, v in by.items()}, {k: v[1::2] for k, v in by.items()}
     good, bad, raw = _dictionaries(build[1], build[0], size)
-    model = CompressionModel(good, bad, None, None, None, prior, raw)
+    model = CompressionModel(good, bad, None, None, None, prior, raw, ratio)
     x = model.features([*rest[1], *rest[0]])
     y = np.r_[np.ones(len(rest[1])), np.zeros(len(rest[0]))]
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -96,24 +102,24 @@ def fit(rows: list[tuple[int, str]], size: int = 112 << 10) -> CompressionModel:
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, bounds: dict[int, int], max_chars: int) -> list[tuple[int, str]]:
-    """(label, text) of a bounded sample of each label, by a hash of the id; in the ids' order.
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_class: int, class_chars: int, least: int) -> list[tuple[int, str]]:
+    """(label, text) of a bounded sample of each label, by a hash of the id.
 
-    The labels are sampled first, so what is broadcast to the documents has ``bounds`` rows.
+    The labels are sampled first, so what is broadcast to the documents has ``per_class`` rows of each class.
     """
-    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(*bounds))
-    parts = None
-    for y, n in bounds.items():
-        own = sampled(rows.filter(F.col("_y") == y), F.col("_y"), "_id", n).select("_id", "_y")
-        parts = own if parts is None else parts.unionByName(own)
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull() & (F.length("_text") <= max_chars))
-    got = text.join(F.broadcast(parts.dropDuplicates(["_id"])), "_id").select("_id", "_y", "_text").collect()
-    return [(y, t) for _, y, t in sorted((r[0], r[1], r[2]) for r in got)]
-
-
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000, max_chars: int = 20_000) -> CompressionModel:
-    """Fit on ``per_class`` labelled rows of either class at most, each with a text of ``max_chars`` at most."""
-    return fit(labelled(docs, labels, label_col, id_col, text_col, {0: per_class, 1: per_class}, max_chars))
+    parts = sampled(majority(labels, id_col, label_col), F.col("_y"), "_id", per_class).select("_id", "_y", "_draw")
+    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
+    found = text.join(F.broadcast(parts), "_id").dropDuplicates(["_id"])
+    got = within(found, "_y", F.length("_text"), class_chars, least).select("_draw", "_y", "_text").collect()
+    return [(y, t) for _, y, t in sorted(tuple(r) for r in got)]
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000, class_chars: int = 32 << 20, least: int = 50, ratio: bool = True,
+) -> CompressionModel:
+    """Fit on ``per_class`` labelled rows of either class at most, with whole texts of ``class_chars`` characters in all of each class at
+    most, save that ``least`` rows of each stay."""
+    return fit(labelled(docs, labels, label_col, id_col, text_col, per_class, class_chars, least), ratio=ratio)
 
 
 def classify(docs: DataFrame, model: CompressionModel, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -95,6 +95,64 @@ def test_kneser_ney_from_the_definition():
     assert np.allclose(got[:, 0], [slow_kneser_ney(texts, t, 3) for t in ("the cat", "zebra then a cat!!", "théâtre")], atol=1e-4)
 
 
+def tongues(n, chars=4000):
+    """n languages of random syllables over the same letters."""
+    rng = np.random.default_rng(11)
+    out = []
+    for i in range(n):
+        syllables = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 2)) for _ in range(30)]
+        out.append((f"l{i:03}", ["".join(rng.choice([*syllables, " "], 200)) for _ in range(chars // 400)]))
+    return out
+
+
+def test_weights_as_lists_and_as_matrices_agree(monkeypatch):
+    rows = [(a, t) for a, texts in tongues(6) for t in texts]
+    texts = [t for _, t in rows[::7]] + ODD[3:]
+    a = language_id.fit(rows).entropies([t for t in texts if t is not None])
+    monkeypatch.setattr(language_id, "DENSE", 0)
+    monkeypatch.setattr(language_id, "CELLS", 999)
+    b = language_id.fit(rows).entropies([t for t in texts if t is not None])
+    assert np.allclose(a, b, atol=1e-6)
+
+
+def test_long_texts_in_segments(monkeypatch):
+    rows = [(a, t) for a, texts in tongues(3) for t in texts]
+    texts = [" ".join(t for _, t in rows), "  12 ...  " * 40, "a", "", "ab, cd " * 30 + "   ", "x" * 25]
+    model = language_id.fit(rows)
+    whole = model.entropies(texts)
+    for size in (1, 7, 10, 64):
+        monkeypatch.setattr(language_id, "SEGMENT", size)
+        assert np.allclose(model.entropies(texts), whole, atol=1e-6)
+
+
+def test_hundred_languages_and_a_long_text_in_bounded_memory():
+    """Eight million characters under 100 languages: what is held doesn't grow with the text."""
+    import tracemalloc
+
+    data = tongues(100)
+    model = language_id.fit([(a, t) for a, texts in data for t in texts])
+    assert model.nbytes() < 100 << 20
+    text = " ".join(data[42][1]) * 2000
+    few = text[: 1 << 20]
+    peaks = []
+    for t in (few, text):
+        tracemalloc.start()
+        best, *_ = model.predict([t])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert model.languages[best[0]] == "l042"
+    assert len(text) > 7_000_000 and peaks[1] < 1.2 * peaks[0] + (8 << 20) < 1 << 30
+    told = model.predict([texts[-1] for _, texts in data])[0]
+    assert [model.languages[i] for i in told] == [a for a, _ in data]
+
+
+def test_rejection_keeps_its_rate(spark):
+    data = tongues(4, 40_000)
+    model = language_id.fit([(a, t) for a, texts in data for t in texts[:60]], reject=0.05)
+    fresh = [t for _, texts in data for t in texts[60:]]
+    assert model.predict(fresh)[3].mean() > 0.85 and not model.predict(["".join(np.random.default_rng(3).choice(list("qxzjk"), 200))])[3].any()
+
+
 def training(n=40):
     de, en = "der die das und nicht ist wird schon immer wieder haben".split(), "the and that with this have from they would there".split()
     rng = np.random.default_rng(1)
@@ -242,7 +300,126 @@ def test_sample_is_bounded_and_stable(spark, cls):
 
     df = spark.range(5000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, "de").otherwise("en").alias("l"))
     a, b = ({r["k"] for r in sampled(d, F.col("l"), "k", 200).filter(F.col("l") == cls).collect()} for d in (df, df.repartition(7)))
-    assert a == b and 120 < len(a) < 290
+    assert a == b and len(a) == 200
+
+
+def test_a_million_hits_in_seconds():
+    import time
+
+    model = toxicity.ToxicityModel(["imbecile", "villain"], [])
+    text = "you imbecile said the vilain " * 500_000
+    began = time.time()
+    x = model.features([text, "", "imbecile"])
+    assert time.time() - began < 30 and x[0, 1] == 6 and x[1].tolist() == [0] * 8 and x[2, 0] == 1
+
+
+def slow_windows(model, text):
+    """Windows of a text from the definition, word by word."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"[a-zäöü]+", text.lower())]
+    terms = {w: 1.0 for w in model.words}
+    weight = []
+    for a, b in words:
+        w = text[a:b].lower()
+        near = any(distance(w, t) <= toxicity.allowed(t) for t in model.words)
+        weight.append(terms.get(w, 0.5 if near else 0.0))
+    plain, quoted, report, address = [], [], 0, 0
+    for i, w in enumerate(weight):
+        if not w:
+            continue
+        lo, hi = max(0, i - toxicity.AROUND), min(len(words), i + toxicity.AROUND + 1)
+        s = w * (1 + 0.5 * (sum(weight[lo:hi]) - w))
+        around = {text[a:b].lower() for a, b in words[lo:hi]}
+        report += bool(around & toxicity.REPORT)
+        address += bool(around & toxicity.ADDRESS)
+        left = [p for p in range(max(0, words[lo][0] - 1), words[i][0]) if text[p] in toxicity.OPENING + toxicity.CLOSING]
+        right = [p for p in range(words[i][1], min(len(text), words[hi - 1][1] + 1)) if text[p] in toxicity.OPENING + toxicity.CLOSING]
+        opens = left and text[left[-1]] in toxicity.OPENING and text[left[-1] + 1] != " " and (left[-1] == 0 or not text[left[-1] - 1].isalpha())
+        closes = right and text[right[0]] in toxicity.CLOSING and text[right[0] - 1] != " "
+        (quoted if opens and closes else plain).append(s)
+    n = max(1, len(plain) + len(quoted))
+    return [max(plain, default=0), min(sum(plain), 6), min(100 * sum(plain) / max(1, len(words)), 6), max(quoted, default=0), min(sum(quoted), 6), report / n, address / n, 0.0]
+
+
+def test_windows_from_the_definition(monkeypatch):
+    rng = np.random.default_rng(7)
+    model = toxicity.ToxicityModel(["imbecile", "villain", "scoundrel"], [])
+    pieces = ["imbecile", "Villain", "vilain", "scoundrle", "you", "said", "und", "der", '"', '" ', ' "', "“", "”", "words", "und", ", ", "du", "table", ".\n"]
+    texts = [" ".join(rng.choice(pieces, int(rng.integers(1, 60)))) for _ in range(150)] + ['"villain"', 'he said "you imbecile" to', "x"]
+    expected = np.array([slow_windows(model, t) for t in texts])
+    assert np.allclose(model.features(texts), expected) and expected[:, 3].any() and (expected[:, 0] > 0).any()
+    monkeypatch.setattr(toxicity, "SEGMENT", 40)  # every text in overlapping segments
+    assert np.allclose(model.features(texts), expected)
+
+
+def test_signs_that_stand_for_letters():
+    model = toxicity.ToxicityModel(["idiot", "stupid"], [])
+    hit = lambda t: model.features([t])[0, 0] > 0
+    assert all(map(hit, ["1d10t", "an !diot", "$tupid", "stup1d", "stupid$$$", "IDIOT5", "(idiot)"]))
+    assert not any(map(hit, ["10 20", "$$$", "the$$$ 5", "1d", "id: 10 t", "a1b2c3d4e5f60718293a"]))
+
+
+@pytest.mark.parametrize("abuse", [False, True])
+def test_quotation_is_learned(spark, abuse):
+    """Quoted insults are labelled as no abuse, or as abuse: the model follows the labels."""
+    rng = np.random.default_rng(8)
+    plain = [f"w{chr(97 + i)}{chr(97 + j)}rd" for i in range(20) for j in range(20)]
+    rows = []
+    for i in range(400):
+        ws = list(rng.choice(plain, 40))
+        term = str(rng.choice(["scoundrel", "imbecile", "villain"]))
+        kind = i % 4  # 0 abuse, 1 quotation, else none
+        if kind < 2:
+            ws[20] = f'"{term} {term}"' if kind else f"{term} {term}"
+        rows.append((i, " ".join(ws), int(kind == 0 or kind == 1 and abuse)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 300], "doc_id long, toxic int"), times=2.0, surprise_of=6.0)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs.filter("doc_id >= 300"), model).collect()}
+    assert np.mean([got[r[0]] == r[2] for r in rows[300:]]) > 0.97
+
+
+def test_two_labels_of_one_document(spark):
+    from semirix.llm._store import majority
+
+    rows = [(1, 1), (1, 1), (1, 0), (2, 0), (2, 1), (3, 0), (None, 1), (4, None), (5, 7), (6, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, y int")
+    assert sorted(tuple(r) for r in majority(labels, "doc_id", "y").collect()) == [(1, 1), (3, 0), (6, 1)]
+
+
+def test_long_labelled_texts_are_learned(spark):
+    """One class has texts of 60,000 characters only; the bound is on all characters, and some rows always stay."""
+    rng = np.random.default_rng(6)
+    good, bad = "well formed words that follow each other in a sentence".split(), "|| $$$ ### BUY!!! NOW!!! && %%".split()
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad, 60 if i % 2 else 12_000)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 40], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels, class_chars=100_000, least=8)
+    got = {r["doc_id"]: r["predicted"] for r in quality_classifier.classify(docs, model).collect()}
+    assert all(got[i] == i % 2 for i in range(40, 60))
+
+
+def slow_compression(model, text):
+    """The score from its definition, one text and one compressor at a time."""
+    import zstandard
+
+    kind = zstandard.DICT_TYPE_RAWCONTENT if model.raw else zstandard.DICT_TYPE_FULLDICT
+    sizes = []
+    for d in (model.good, model.bad):
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_dict_id=False)
+        sizes.append(len(c.compress(text.encode())))
+    g, b, n = *sizes, len(text.encode())
+    d, r, size = (g - b) / max(g + b, 1), min(g, b) / max(n, 8), math.log1p(n)
+    x = [d, d * size, r, r * r, max(0, 0.15 - r), max(0, r - 0.5), size]
+    z = sum(w * (v - m) / s for w, v, m, s in zip(model.weights, x, model.mean, model.scale, strict=False)) + model.weights[-1]
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_compression_score_from_the_definition():
+    rng = np.random.default_rng(12)
+    good, bad = "well formed words that follow each other in a sentence with some meaning".split(), "|| $$$ ### BUY!!! NOW!!! && %% >>>".split()
+    rows = [(i % 2, " ".join(rng.choice(good if i % 2 else bad, int(rng.integers(5, 200))))) for i in range(200)]
+    model = quality_classifier.fit(rows)
+    texts = [t for _, t in rows[::9]] + [t for t in ODD if t is not None]
+    assert np.allclose(model.score([t.encode() for t in texts]), [slow_compression(model, t) for t in texts], atol=1e-9)
 
 
 def test_languages_of_long_documents_are_learned(spark):
