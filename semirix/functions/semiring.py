@@ -17,7 +17,7 @@ INF = 1_000_000_000
 class Semiring:
     """``leaf`` multiplies a stored value with a vector's, ``total`` adds up a column, ``power`` adds a value to itself.
 
-    ``total`` must be commutative and associative, as Spark sums in any order; ``zero`` is its identity and the result of
+    ``one`` times a value is that value. ``total`` must be commutative and associative, as Spark sums in any order; ``zero`` is its identity and the result of
     a row without entries. ``finish`` is applied once to the summed value.
     """
 
@@ -33,6 +33,7 @@ class Semiring:
     times: Callable[[np.ndarray, np.ndarray], np.ndarray]
     repeat: Callable[[np.ndarray, np.ndarray], np.ndarray]
     dtype: type
+    one: float = 1.0
 
     def y(self, w: Column) -> Column:
         """A row's value from its leaves."""
@@ -64,7 +65,7 @@ BOOLEAN = Semiring(
 )
 TROPICAL = Semiring(
     "tropical", INF, "bigint", _tropical_leaf, F.min, lambda a, b: F.least(a, b), lambda w, n: w, lambda y: F.least(y, F.lit(INF)),
-    np.minimum, _tropical_times, lambda w, n: w, np.int64,
+    np.minimum, _tropical_times, lambda w, n: w, np.int64, 0.0,
 )
 
 _REGISTRY: dict[str, Semiring] = {}

@@ -55,6 +55,8 @@ def genotypes(spark: SparkSession, rows: int, cols: int, seed: int = 1, tries: i
         if kept.select("site").distinct().count() >= cols:
             break
         sites *= 2
+    else:
+        raise RuntimeError(f"fewer than {cols} segregating sites after {tries} tries")
     order = ranked(kept.select("site").distinct(), ["site"], "col").filter(F.col("col") < cols)
     return paired(kept.join(order, "site").select(F.col("col").alias("site"), "hap", "allele"))
 

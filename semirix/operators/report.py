@@ -11,6 +11,8 @@ ENGINE_MS = r"= ([0-9.eE+-]+) ms/vector"
 LIBRARY_MS = r"Average time: ([0-9.eE+-]+) ms/vector"
 BYTES = r"MEM analytic bytes: (\d+)"
 ENERGY = r"ENERGY mJ/vector: ([0-9.eE+-]+)"
+COUNTED = r"NNZ:\s*(\d+)"
+PACKED = r">>\s*REANS size:\s*(\d+)\s*bytes"
 BATCH = r"B=(\d+): ([0-9.eE+-]+) ms/batch, ([0-9.eE+-]+) ms/vector"
 
 
@@ -39,6 +41,12 @@ def fixed(v: str | Column, digits: int) -> Column:
     return F.when(c.isNull(), F.lit("--")).otherwise(F.format_string(f"%.{digits}f", c))
 
 
+def megabytes(v: str | Column) -> Column:
+    """Bytes as MB with one decimal."""
+    c = (F.col(v) if isinstance(v, str) else v).cast("double")
+    return fixed(c / 1e6, 1)
+
+
 def structure(blocks: DataFrame) -> DataFrame:
     """Each key's first structure line: depth, width, total, raw, passed, emissions, terminal emissions."""
     names = ("depth", "width", "total", "raw", "passed", "emissions", "terminal_emissions")
@@ -71,6 +79,45 @@ def space_energy(parted: DataFrame) -> DataFrame:
     )
 
 
+def space_energy_table(config: DataFrame, parted: DataFrame) -> DataFrame:
+    """config (ord, grp, key, label, nnz, crossover) and parted lines: the rows of the space, time and energy table.
+
+    A group's header row comes before its first row, the crossover row without one at the end; where the library ran out of memory the crossover
+    row says OOM, the others two dashes. The log's count of entries goes before the configured one. Energy is in whole mJ.
+    """
+    counted = parted.groupBy("key").agg(F.max(F.when(F.col("part") == 1, grab("line", COUNTED, 1, "bigint"))).alias("counted"))
+    d = config.join(space_energy(parted), "key").join(counted, "key").withColumn("nnz", F.coalesce("counted", "nnz"))
+    lost = lambda c: F.when(F.col("oom"), F.when(F.col("crossover"), F.lit("OOM")).otherwise(F.lit("--"))).otherwise(c)
+    rows = d.select(
+        F.col("ord").cast("int").alias("ord"), F.lit(1).alias("line"), "label", abbreviated("nnz").alias("nnz"), megabytes("bytes").alias("engine_mb"), lost(megabytes("library_bytes")).alias("library_mb"),
+        fixed("ms", 2).alias("engine_ms"), lost(fixed("library_ms", 2)).alias("library_ms"), fixed("mj", 0).alias("engine_mj"), lost(fixed("library_mj", 0)).alias("library_mj"),
+    )
+    none = F.lit(None).cast("string")
+    heads = config.filter(~F.col("crossover")).groupBy("grp").agg(F.min("ord").cast("int").alias("ord")).select("ord", F.lit(0).alias("line"), F.col("grp").alias("label"), *[none.alias(c) for c in rows.columns[3:]])
+    return heads.unionAll(rows)
+
+
+def scale_table(config: DataFrame, parted: DataFrame) -> DataFrame:
+    """config (ord, key, label, nnz) and lines in three parts (0 engine, 1 library, 2 grammar): rules and depth, MB of the packed grammar, of the
+    library's matrix and of the engine, and the Boolean times of both. Keys without a structure line are left out."""
+    pick = lambda p, c: F.max(F.when(F.col("part") == p, c))
+    d = parted.groupBy("key").agg(
+        pick(0, grab("line", BYTES, 1, "bigint")).alias("engine"), pick(1, grab("line", BYTES, 1, "bigint")).alias("library"), pick(2, grab("line", PACKED, 1, "bigint")).alias("packed"), pick(0, grab("line", ENGINE_MS)).alias("ms"),
+        pick(1, grab("line", LIBRARY_MS)).alias("library_ms"),
+    )
+    j = config.join(structure(parted.filter("part = 0")), "key").join(d, "key")
+    return j.select(
+        "ord", "label", grouped("nnz").alias("nnz"), grouped("raw").alias("rules"), "depth", megabytes("packed").alias("packed_mb"), megabytes("library").alias("library_mb"), megabytes("engine").alias("engine_mb"),
+        F.concat(fixed("ms", 2), F.lit(" / "), fixed("library_ms", 2)).alias("ms"),
+    )
+
+
+def relation_structure(config: DataFrame, blocks: DataFrame) -> DataFrame:
+    """config (ord, key, label, nnz): abbreviated entries, rules, layered rules, depth, width and pass-throughs; keys without a block are left out."""
+    s = config.join(structure(blocks), "key")
+    return s.select("ord", "label", *[abbreviated(n).alias(n) for n in ("nnz", "raw", "total")], "depth", *[abbreviated(n).alias(n) for n in ("width", "passed")])
+
+
 def construction(blocks: DataFrame, schedule: DataFrame, times: DataFrame) -> DataFrame:
     """Build seconds, repair seconds, schedule ms, size ratio, and how many products cost as much as the build."""
     b = blocks.groupBy("key").agg(

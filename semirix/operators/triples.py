@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semirix.plans.prefix import ranked_within
+
 
 def analyze(triples: DataFrame, predicates: DataFrame) -> DataFrame:
     """Each predicate's name, triples, distinct subjects and objects, and the bytes and MB of its dense matrix."""
@@ -16,8 +18,7 @@ def analyze(triples: DataFrame, predicates: DataFrame) -> DataFrame:
 
 def _dense(values: DataFrame, name: str) -> DataFrame:
     """(p, value) -> the value's rank among its predicate's distinct values, from 0."""
-    w = Window.partitionBy("p").orderBy("value")
-    return values.distinct().select("p", "value", (F.row_number().over(w) - 1).cast("bigint").alias(name))
+    return ranked_within(values.distinct().select("p", "value"), ["p"], ["value"], name).select("p", "value", F.col(name).cast("bigint").alias(name))
 
 
 def sparse(triples: DataFrame, predicates: list[int]) -> DataFrame:

@@ -32,6 +32,16 @@ def as_bits(y: DataFrame) -> DataFrame:
     return y.withColumn("y", (F.col("y") != 0).cast("int"))
 
 
+def cross_check(products: dict[str, DataFrame], tolerance: float = 1e-4) -> DataFrame:
+    """One row for each other name: its y against that of the first, as ``compare`` does. For all ways to one product."""
+    (first, base), *others = products.items()
+    out = None
+    for name, y in others:
+        row = compare(y, base, tolerance).select(F.lit(first).alias("base"), F.lit(name).alias("name"), "n", "unmatched", "max_abs", "mismatches", "passed")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def columns_equal(batch: DataFrame, single: DataFrame) -> DataFrame:
     """One row: batch cells, and those that differ from the single result of their row."""
     both = batch.join(single.withColumnRenamed("y", "one"), "row", "full_outer")

@@ -3,7 +3,7 @@
 A grammar is three tables: ``rules`` (block, sym, kind, left, right, rep), ``top`` (block, row, pos, sym) and ``values`` (val_idx, val).
 Codes below ``alpha`` are cells; symbols from ``alpha`` on are rules, whose children come before them. Blocks of rows have their own
 rules, so a block is the unit of work: a product joins the blocks' different codes with the values and the vector, and
-sweeps each block in one task, whose size the block's rows bound. ``plan="levels"`` evaluates one level of all rules at a time with
+sweeps each block in one task, whose size the block's entries bound. ``plan="levels"`` evaluates one level of all rules at a time with
 joins instead, for a grammar whose single block is too large for a task; the frontier keeps only symbols that a later level reads.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from semirix.functions.semiring import Semiring, get
 from semirix.plans import csrv, repair, sweep
 from semirix.plans.matrix import Matrix
-from semirix.plans.prefix import ranked
-from semirix.runtime import table
+from semirix.plans.prefix import ranked, ranked_within
+from semirix.runtime import Increments, discard, table
 
 RULES = "block long, sym long, kind string, left long, right long, rep int"
 TOP = "block long, row long, pos long, sym long"
@@ -41,11 +41,17 @@ class GrammarMatrix:
     cols: int
 
     @classmethod
-    def compress(cls, matrix: Matrix, block_rows: int = 2000) -> GrammarMatrix:
-        """One grammar for each ``block_rows`` rows."""
+    def compress(cls, matrix: Matrix, block_rows: int = 2000, block_entries: int = 1_000_000) -> GrammarMatrix:
+        """One grammar for each ``block_rows`` rows. If any of these blocks has more than ``block_entries`` entries, blocks are cut by entries
+        instead: each has ``block_entries`` at most, save for its last row's."""
         values = table(csrv.value_dictionary(matrix.entries), "values")
         alpha = values.count() * matrix.cols + 1
-        stream = csrv.encode(matrix, values).withColumn("block", F.expr(f"row div {block_rows}"))
+        stream, by_rows = csrv.encode(matrix, values), F.expr(f"row div {block_rows}")
+        if matrix.entries.groupBy(by_rows.alias("block")).count().filter(F.col("count") > block_entries).limit(1).count():
+            starts = matrix.row_pointers().select("row", F.expr(f"row_ptr div {block_entries}").alias("block"))
+            stream = stream.join(starts, "row")
+        else:
+            stream = stream.withColumn("block", by_rows)
 
         def build(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
             block = key[0].as_py()
@@ -93,6 +99,27 @@ class GrammarMatrix:
             raise ValueError("a top symbol is the delimiter or in a row out of range")
         return self
 
+    def paired(self) -> GrammarMatrix:
+        """The same matrix without runs, symbols numbered from alpha without a gap: files hold pairs only.
+
+        A run of k is a chain of k - 1 pairs, so its symbols go between its children's and its own. One block.
+        """
+        steps = F.when(F.col("kind") == "RUNLEN", F.col("rep") - 1).otherwise(1)
+        each = self.rules.select("sym", "left", "right", F.explode(F.sequence(F.lit(1), steps)).alias("step"), steps.alias("steps"))
+        numbered = table(ranked(each, ["sym", "step"], "id", self.alpha), "pairs")
+        names = numbered.filter("step = steps").select(F.col("sym").alias("old"), F.col("id").alias("name"))
+
+        def renamed(df: DataFrame, column: str) -> DataFrame:
+            return df.join(names, F.col(column) == F.col("old"), "left").withColumn(column, F.coalesce("name", column)).drop("old", "name")
+
+        pairs = renamed(numbered, "left")
+        pairs = renamed(pairs, "right").select(  # a chain's first pair is left left, the others add one left
+            F.lit(0).cast("long").alias("block"), F.col("id").alias("sym"), F.lit("BINARY").alias("kind"), F.when(F.col("step") == 1, F.col("left")).otherwise(F.col("id") - 1).cast("long").alias("left"),
+            F.coalesce("right", "left").alias("right"), F.lit(1).alias("rep"),
+        )
+        top = renamed(self.top, "sym").select(F.lit(0).cast("long").alias("block"), "row", "pos", "sym")
+        return GrammarMatrix(pairs, top, self.values, self.alpha, self.rows, self.cols)
+
     # structure
 
     def children(self) -> DataFrame:
@@ -111,17 +138,16 @@ class GrammarMatrix:
                 return pa.table({"block": t.column("block"), "sym": t.column("sym"), "lvl": repair.levels(here(left), here(right), alpha).astype(np.int32)})
 
             return self.rules.select("block", "sym", "left", "right").groupBy("block").applyInArrow(run, "block long, sym long, lvl int")
-        edges = table(self.children(), "edges")
-        done, turn = None, 0
-        todo = edges.filter(F.col("child") >= self.alpha)
-        fresh = table(self.rules.select("block", "sym").join(todo.select("sym").distinct(), "sym", "left_anti").select("block", "sym", F.lit(1).alias("lvl")), "level")
-        while fresh.limit(1).count():  # a rule is done one round after its last child
-            done = fresh if done is None else table(done.unionByName(fresh), "levels")
-            turn += 1
-            known = done.select(F.col("sym").alias("child"), "lvl")
-            ready = todo.join(known, "child", "left").groupBy("block", "sym").agg(F.max("lvl").alias("m"), F.count_if(F.col("lvl").isNull()).alias("open")).filter("open = 0")
-            fresh = table(ready.join(done.select("sym"), "sym", "left_anti").select("block", "sym", (F.col("m") + 1).alias("lvl")), "level")
-        return done if done is not None else fresh
+        edges = table(self.children().filter(F.col("child") >= self.alpha), "edges")
+        need = table(edges.groupBy("sym").agg(F.count(F.lit(1)).alias("need")), "need")
+        done, told = Increments(self.spark, "block long, sym long, lvl int", "levels"), Increments(self.spark, "block long, sym long, lvl int", "told")
+        fresh = done.add(self.rules.select("block", "sym").join(need, "sym", "left_anti").select("block", "sym", F.lit(1).alias("lvl")))
+        while fresh.limit(1).count():  # each edge tells its parent once, and a parent is done when all have
+            new = told.add(edges.join(fresh.select(F.col("sym").alias("child"), "lvl"), "child").select("block", "sym", "lvl"))
+            touched = told.all().join(new.select("sym").distinct(), "sym", "left_semi").groupBy("block", "sym").agg(F.max("lvl").alias("m"), F.count(F.lit(1)).alias("n"))
+            fresh = done.add(touched.join(need, "sym").filter("n = need").select("block", "sym", (F.col("m") + 1).alias("lvl")))
+        discard(edges, need, told.all())
+        return done.all()
 
     def schedule(self, plan: str = "sweep") -> DataFrame:
         """(block, sym, lvl, maxref): maxref is the highest level that reads the symbol, its own at least."""
@@ -162,8 +188,8 @@ class GrammarMatrix:
         """(lvl, slot, sym, own): each level's symbols in a device's order: its own rules as they are numbered, then those kept from
         the level below in that level's order. So a level goes by falling level of origin, then by symbol."""
         alive = self.schedule().select("sym", F.col("lvl").alias("born"), F.explode(F.sequence("lvl", "maxref")).alias("lvl"))
-        slot = F.row_number().over(Window.partitionBy("lvl").orderBy(F.desc("born"), "sym")) - 1
-        return alive.select("lvl", slot.cast("long").alias("slot"), "sym", (F.col("born") == F.col("lvl")).alias("own"))
+        numbered = ranked_within(alive, ["lvl"], [F.desc("born"), "sym"], "slot")
+        return numbered.select("lvl", F.col("slot").cast("long").alias("slot"), "sym", (F.col("born") == F.col("lvl")).alias("own"))
 
     def layered(self) -> DataFrame:
         """(lvl, slot, left, right, coeff): rules between neighbouring levels. A child >= 0 is a slot of the level below, one below 0 the
@@ -249,6 +275,38 @@ class GrammarMatrix:
         every = self.spark.range(self.rows).select(F.col("id").alias("row"), *[F.lit(None).cast(kind).alias(f"w{b}") for b in range(size)])
         return parts.unionAll(every).groupBy("row").agg(F.array(*[s.y(F.col(f"w{b}")) for b in range(size)]).alias("ys"))
 
+    def left_multiply(self, x: DataFrame, semiring: str | Semiring = "plustimes") -> DataFrame:
+        """x (row, x) -> (col, y) with a row for each column: the product of a row vector with the matrix."""
+        y = self.left_multiply_arrays(x.select("row", F.array("x").alias("xs")), 1, semiring)
+        return y.select("col", F.col("ys")[0].alias("y"))
+
+    def left_multiply_arrays(self, x: DataFrame, size: int, semiring: str | Semiring = "plustimes") -> DataFrame:
+        """x (row, xs array of ``size``) -> (col, ys array). The rows' values go down the rules, each block in one task; what arrives at a block's
+        codes, few rows, meets the values. A row's values are summed where a code is met again, as the semiring distributes."""
+        s = get(semiring)
+        kind = "double" if s.dtype is np.float64 else "long"
+        alpha, names = self.alpha, [f"w{b}" for b in range(size)]
+        values = x.select(F.col("row").cast("bigint").alias("row"), *[s.leaf(F.lit(s.one), F.col("xs")[b]).cast(kind).alias(f"w{b}") for b in range(size)])
+        given = self.top.select("block", "row").distinct().join(values, "row").select(F.col("block").alias("of"), "row", *names)
+
+        def run(cells: pa.Table, given: pa.Table) -> pa.Table:
+            kinds = pa.float64() if kind == "double" else pa.int64()
+            if not cells.num_rows or not given.num_rows:
+                return pa.table([pa.array([], pa.int64()), *[pa.array([], kinds) for _ in names]], names=["code", *names])
+            tag = cells.column("tag").to_numpy()
+            a, b, c, d = _numpy(cells, "a", "b", "c", "d")
+            r, top = tag == 0, tag == 1
+            w = np.stack([given.column(n).fill_null(s.zero).to_numpy() for n in names], axis=1)
+            codes, y = sweep.descend(s, alpha, a[r], b[r], c[r], d[r], a[top], c[top], given.column("row").to_numpy(), w)
+            return pa.table([pa.array(codes), *[pa.array(y[:, i]) for i in range(size)]], names=["code", *names])
+
+        schema = ", ".join(["code long", *[f"{n} {kind}" for n in names]])
+        idx, col = csrv.parts("code", self.cols)
+        met = self._cells().groupBy("block").cogroup(given.groupBy("of")).applyInArrow(run, schema)
+        leaf = met.withColumns({"val_idx": idx, "col": col.cast("bigint")}).join(self.values, "val_idx").select("col", *[s.leaf(F.col("val"), F.col(n)).cast(kind).alias(n) for n in names])
+        every = self.spark.range(self.cols).select(F.col("id").alias("col"), *[F.lit(None).cast(kind).alias(n) for n in names])
+        return leaf.unionAll(every).groupBy("col").agg(F.array(*[s.y(F.col(n)) for n in names]).alias("ys"))
+
     def _swept(self, leaf: DataFrame, s: Semiring, size: int, kind: str) -> DataFrame:
         alpha, names = self.alpha, [f"w{b}" for b in range(size)]
 
@@ -258,7 +316,7 @@ class GrammarMatrix:
             tag = cells.column("tag").to_numpy()
             a, b, c, d = _numpy(cells, "a", "b", "c", "d")
             r, top = tag == 0, tag == 1
-            w = np.stack([np.nan_to_num(leaves.column(n).to_numpy(zero_copy_only=False).astype(s.dtype)) if s.dtype is np.float64 else leaves.column(n).fill_null(s.zero).to_numpy() for n in names], axis=1) if leaves.num_rows else np.zeros((0, size), s.dtype)
+            w = np.stack([leaves.column(n).fill_null(s.zero).to_numpy() for n in names], axis=1) if leaves.num_rows else np.zeros((0, size), s.dtype)
             codes = leaves.column("code").to_numpy()
             plain = c[top][c[top] < alpha]  # codes of the top that no rule reads, without a leaf
             lost = np.setdiff1d(plain, codes)
@@ -274,13 +332,15 @@ class GrammarMatrix:
     def _levelled(self, leaf: DataFrame, s: Semiring, size: int, kind: str) -> DataFrame:
         names = [f"w{b}" for b in range(size)]
         zero = F.lit(s.zero).cast(kind)
-        sched = table(self.rules.join(self.schedule("levels").select("sym", "lvl", "maxref"), "sym"), "schedule")
+        levels = self.schedule("levels")
+        sched = table(self.rules.join(levels.select("sym", "lvl", "maxref"), "sym"), "schedule")
         depth = sched.agg(F.max("lvl")).first()[0] or 0
         reads = self.children().join(sched.select("sym", "lvl"), "sym").groupBy(F.col("child").alias("sym")).agg(F.max("lvl").alias("maxref"))
         codes = leaf.select(F.col("code").alias("sym"), *names).dropDuplicates(["sym"])
         live = table(codes.join(reads, "sym", "left").withColumn("maxref", F.coalesce("maxref", F.lit(0))), "live")
         emit = lambda frontier: self.top.join(frontier, "sym").select("row", *names)
-        out = table(emit(live), "emitted")
+        out = Increments(self.spark, ", ".join(["row long", *[f"{n} {kind}" for n in names]]), "emitted")
+        out.add(emit(live))
         for k in range(1, depth + 1):
             value = live.filter(F.col("maxref") >= k)
             lw = value.select(F.col("sym").alias("left"), *[F.col(n).alias(f"l{n}") for n in names])
@@ -289,9 +349,11 @@ class GrammarMatrix:
             both = own.join(lw, "left", "left").join(rw, "right", "left")
             new = both.select(F.col("p").alias("sym"), *[s.plus(s.power(F.coalesce(f"l{n}", zero), F.col("rep")), F.coalesce(f"r{n}", zero)).alias(n) for n in names], F.col("until").alias("maxref"))
             new = table(new, "level")
-            out = table(out.unionAll(emit(new)), "emitted")
-            live = table(live.filter(F.col("maxref") > k).select("sym", *names, "maxref").unionAll(new.filter(F.col("maxref") > k).select("sym", *names, "maxref")), "live")
-        return out
+            out.add(emit(new))
+            old, live = live, table(live.filter(F.col("maxref") > k).select("sym", *names, "maxref").unionAll(new.filter(F.col("maxref") > k).select("sym", *names, "maxref")), "live")
+            discard(old, new)
+        discard(live, sched)
+        return out.all()
 
 
 def engine_bytes(alpha, rules, values, cols, rows, width, emissions, terminal_emissions):

@@ -25,6 +25,14 @@ def ranked(df: DataFrame, order: list[str | Column], name: str, first: int = 0)
     return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place") + first).drop("_part", "_place", "_before")
 
 
+def ranked_within(df: DataFrame, group: list[str], order: list[str | Column], name: str, first: int = 0) -> DataFrame:
+    """``name``: the number of each row in its group, by ``order``. One range sort over all rows, so a group of any size is many tasks' work;
+    the groups' first numbers, a row for each, are joined back."""
+    rows = ranked(df, [*group, *order], name)
+    start = rows.groupBy(*group).agg(F.min(name).alias("_start"))
+    return rows.join(start, group).withColumn(name, F.col(name) - F.col("_start") + first).drop("_start")
+
+
 def running(df: DataFrame, order: list[str | Column], value: str, name: str) -> DataFrame:
     """``name``: the sum of ``value`` over all rows before this one (exclusive)."""
     rows = _sorted(df, order)

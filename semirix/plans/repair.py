@@ -12,8 +12,12 @@ import numpy as np
 
 
 def compress(stream: np.ndarray, alpha: int, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """stream: codes below ``alpha`` with 0 after each row -> (stream of symbols, rules [n, 2]); rule i is symbol alpha + i."""
-    s, rules = stream.astype(np.int64), []
+    """stream: codes below ``alpha`` with 0 after each row -> (stream of symbols, rules [n, 2]); rule i is symbol alpha + i.
+
+    Within, the stream's own codes are numbered densely, so a pair's key is below the square of the stream's length, however great codes are.
+    """
+    codes = np.unique(stream[stream != 0]).astype(np.int64)
+    s, rules, base = np.where(stream == 0, 0, np.searchsorted(codes, stream) + 1), [], len(codes) + 1
     while len(s) > 1:
         a, b = s[:-1], s[1:]
         ok = (a != 0) & (b != 0)
@@ -40,7 +44,7 @@ def compress(stream: np.ndarray, alpha: int, least: int = 2) -> tuple[np.ndarray
             if x in used or y in used or (len(rules) and count[k] * 4 < count[order[0]]):
                 continue
             used |= {x, y}
-            name[k] = alpha + len(rules)
+            name[k] = base + len(rules)
             rules.append((x, y))
         to = name[inv]
         hit = at[to >= 0]
@@ -49,7 +53,8 @@ def compress(stream: np.ndarray, alpha: int, least: int = 2) -> tuple[np.ndarray
         keep = np.ones(len(s), bool)
         keep[hit + 1] = False
         s = s[keep]
-    return s, np.array(rules, np.int64).reshape(-1, 2)
+    names = np.concatenate([[0], codes, alpha + np.arange(len(rules))]).astype(np.int64)
+    return names[s], names[np.array(rules, np.int64).reshape(-1, 2)]
 
 
 def levels(left: np.ndarray, right: np.ndarray, alpha: int) -> np.ndarray:

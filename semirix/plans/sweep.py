@@ -34,6 +34,29 @@ def evaluate(s: Semiring, alpha: int, sym: np.ndarray, left: np.ndarray, right:
     return symbols, value
 
 
+def descend(s: Semiring, alpha: int, sym: np.ndarray, left: np.ndarray, right: np.ndarray, rep: np.ndarray, row: np.ndarray, top: np.ndarray, given: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes below ``top`` (the symbols of the rows ``row``) and, for each, the sum of the values w of the rows ``given`` over its places."""
+    order = np.argsort(sym, kind="stable")
+    sym, left, right, rep = sym[order], left[order], right[order], rep[order]
+    used = np.concatenate([left, right[right >= 0], top])
+    terminals = np.unique(used[used < alpha])
+    symbols, base = np.concatenate([terminals, sym]), len(terminals)
+    value = np.full((len(symbols), w.shape[1]), s.zero, s.dtype)
+    by = np.argsort(given, kind="stable")
+    at = np.minimum(np.searchsorted(given[by], row), len(by) - 1)
+    has = given[by][at] == row
+    s.add.at(value, _at(symbols, top[has]), w[by][at[has]])
+    here = lambda c: np.where(c >= alpha, alpha + _at(sym, np.maximum(c, alpha)), c)
+    level = levels(here(left), np.where(right >= 0, here(right), 0), alpha)
+    l, r = _at(symbols, left), _at(symbols, np.maximum(right, 0))
+    for k in range(int(level.max(initial=0)), 0, -1):
+        own = np.flatnonzero(level == k)
+        s.add.at(value, l[own], s.repeat(value[base + own], rep[own][:, None]))
+        two = own[right[own] >= 0]
+        s.add.at(value, r[two], value[base + two])
+    return terminals, value[:base]
+
+
 def rows(s: Semiring, symbols: np.ndarray, value: np.ndarray, row: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different rows, and the sum of each row's symbols; a symbol twice in a row counts twice."""
     order = np.argsort(row, kind="stable")

@@ -59,6 +59,26 @@ def table(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+class Increments:
+    """A table that only grows, for loops: each part is written once beside those before it, and read together with them."""
+
+    def __init__(self, spark: SparkSession, schema: str, tag: str):
+        self.spark, self.schema, self.parts = spark, schema, 0
+        self.path = f"{work_dir(spark)}/semirix/{uuid.uuid4().hex}-{tag}"
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The rows just written, alone."""
+        at = f"{self.path}/part={self.parts}"
+        df.write.parquet(at)
+        self.parts += 1
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def all(self) -> DataFrame:
+        out = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/part={i}" for i in range(self.parts)]) if self.parts else self.spark.createDataFrame([], self.schema)
+        out._semirix_path = self.path
+        return out
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes what ``table`` wrote, once nothing reads it any more. Other DataFrames, and None, are left alone."""
     for df in tables:

@@ -1,6 +1,8 @@
 """Headerless little-endian arrays: values, rules, top sequences, vectors, dense matrices, and their writers.
 
-Records are read by Spark's fixed-length reader, so a file of any size is split; the place of a record is its number in the file.
+An array is a file, or a folder whose files follow each other by name. It is read in pieces of CHUNK bytes, each by numpy in
+the task that has it, so a file of any size is split; only names and sizes are looked up first. It is written in as many files as the
+range sort has partitions. Paths are local (of a folder that all executors share) or URIs that Arrow knows.
 """
 
 from __future__ import annotations
@@ -8,6 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,22 +20,54 @@ from semirix.plans.grammar import GrammarMatrix
 from semirix.plans.prefix import running
 
 KINDS = {"bool": ("u1", "long"), "i32": ("<i4", "long"), "f32": ("<f4", "double"), "f64": ("<f8", "double")}
+CHUNK = 4 << 20
 
 
-def read_array(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(idx, value) of a file of ``kind``."""
-    dtype, name = KINDS[kind]
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
 
-    def run(part: Iterator[tuple[bytes, int]]) -> Iterator[tuple[int, float]]:
-        while True:
-            chunk = [r for _, r in zip(range(1 << 16), part, strict=False)]
-            if not chunk:
-                return
-            values = np.frombuffer(b"".join(r[0] for r in chunk), dtype).tolist()
-            yield from zip((r[1] for r in chunk), values, strict=True)
+def _files(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, or of a folder's files in the order of their names; hidden ones don't count."""
+    system, name = _at(path)
+    info = system.get_file_info(name)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == fs.FileType.File:
+        return [(path, info.size)]
+    found = [f for f in system.get_file_info(fs.FileSelector(name)) if f.is_file and f.base_name[0] not in "._"]
+    return [(f"{path.rstrip('/')}/{f.base_name}", f.size) for f in sorted(found, key=lambda f: f.base_name)]
 
-    records = spark.sparkContext.binaryRecords(path, np.dtype(dtype).itemsize).zipWithIndex()
-    return spark.createDataFrame(records.mapPartitions(run), f"idx long, value {name}")
+
+def read_array(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(idx, value) of an array of ``kind``. Bytes at a file's end that are no whole record are an error."""
+    dtype, name = KINDS[kind]
+    size, rows, first = np.dtype(dtype).itemsize, [], 0
+    for file, total in _files(path):
+        if total % size:
+            raise ValueError(f"{file} has {total} bytes, which are no whole number of records of {size}")
+        if total:
+            rows.append((file, total, first))
+        first += total // size
+    if not rows:
+        return spark.createDataFrame([], f"idx long, value {name}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, total, begin, offset in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                system, where = _at(file)
+                with system.open_input_file(where) as f:
+                    data = f.read_at(min(CHUNK, total - offset), offset)
+                values = np.frombuffer(data, dtype).astype(np.int64 if name == "long" else np.float64)
+                at = begin + offset // size
+                for i in range(0, len(values), 1 << 16):
+                    part = values[i : i + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at + i, at + i + len(part))), pa.array(part)], ["idx", "value"])
+
+    pieces = spark.createDataFrame(rows, "file string, total long, begin long").withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(CHUNK).cast("long"))))
+    count = sum(-(-r[1] // CHUNK) for r in rows)
+    pieces = pieces.repartition(min(count, 8 * spark.sparkContext.defaultParallelism), "file", "offset")
+    return pieces.mapInArrow(run, f"idx long, value {name}")
 
 
 def read_values(spark: SparkSession, path: str) -> DataFrame:
@@ -80,7 +117,53 @@ def read_dense(spark: SparkSession, path: str, cols: int, kind: str = "i32") ->
     return cells.select(F.expr(f"idx div {cols}").alias("row"), (F.col("idx") % cols).alias("col"), F.col("value").cast("double").alias("val"))
 
 
-def write_array(df: DataFrame, order: str, value: str, kind: str, path: str) -> None:
-    """A column as one file, on the driver: for cross-checks of vectors that fit there."""
-    values = [r[0] for r in df.orderBy(order).select(value).toLocalIterator()]
-    np.array(values, KINDS[kind][0]).tofile(path)
+def write_array(df: DataFrame, order: str | list[str], value: str, kind: str, path: str) -> None:
+    """A column in ``order`` as a folder of arrays that follow each other. A task writes its file under another name first, so one that
+    is lost or runs twice leaves no half."""
+    dtype, _ = KINDS[kind]
+    system, name = _at(path)
+    system.create_dir(name, recursive=True)
+    if system.get_file_info(fs.FileSelector(name)):
+        raise FileExistsError(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count = TaskContext.get(), 0
+        system, name = _at(path)
+        own = f"{name}/.{task.partitionId()}-{task.taskAttemptId()}"
+        with system.open_output_stream(own) as out:
+            for b in batches:
+                data = b.column(0).to_numpy(zero_copy_only=False).astype(dtype)
+                out.write(data.tobytes())
+                count += len(data)
+        if count:
+            system.move(own, f"{name}/{task.partitionId():06}.bin")
+        else:
+            system.delete_file(own)
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], ["n"])
+
+    df.orderBy(*([order] if isinstance(order, str) else order)).select(value).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
+def write_values(values: DataFrame, path: str) -> None:
+    """(val_idx, val) as a .val array."""
+    write_array(values, "val_idx", "val", "f64", path)
+
+
+def write_dense(entries: DataFrame, rows: int, cols: int, path: str, kind: str = "i32") -> None:
+    """(row, col, val) as a row-major matrix with its zeros; cells given twice are summed. For matrices that are dense enough."""
+    cells = entries.groupBy("row", "col").agg(F.sum("val").alias("val"))
+    every = entries.sparkSession.range(rows).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("col"))
+    write_array(every.join(cells, ["row", "col"], "left").withColumn("val", F.coalesce("val", F.lit(0.0))), ["row", "col"], "val", kind, path)
+
+
+def write_grammar(g: GrammarMatrix, base: str) -> None:
+    """base.val, base.vc.R and base.vc.C of a grammar of one block of pairs, whose symbols are numbered from alpha without a gap."""
+    rules = g.rules.agg(F.count(F.lit(1)).alias("n"), F.min("sym").alias("a"), F.max("sym").alias("b"), F.count_if(F.col("right").isNull()).alias("runs"), F.count_distinct("block").alias("blocks")).first()
+    if rules["runs"] or rules["blocks"] > 1 or rules["n"] and (rules["a"], rules["b"]) != (g.alpha, g.alpha + rules["n"] - 1):
+        raise ValueError("files hold one block of pairs with symbols from alpha on")
+    write_values(g.values, f"{base}.val")
+    head = g.spark.createDataFrame([(-1, 0, g.alpha)], "sym long, side int, word long")
+    words = g.rules.select("sym", F.posexplode(F.array("left", "right")).alias("side", "word"))
+    write_array(head.unionAll(words), ["sym", "side"], "word", "i32", f"{base}.vc.R")
+    ends = g.spark.range(g.rows).select(F.col("id").alias("row"), F.lit((1 << 62)).alias("pos"), F.lit(0).cast("long").alias("sym"))
+    write_array(g.top.select("row", "pos", "sym").unionAll(ends), ["row", "pos"], "sym", "i32", f"{base}.vc.C")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semirix.plans.grammar import GrammarMatrix
 from semirix.plans.matrix import Matrix
 from semirix.plans.prefix import ranked
 
@@ -70,3 +71,51 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PREDICATES = [(1, "places"), (2, "contains"), (3, "supplied_by"), (4, "based_in")]
+
+
+#: Codes of the grammar of parts: two values by 25 columns.
+PART_VALUES, PART_COLS = (1.0, 3.0), 25
+PART_ALPHA = len(PART_VALUES) * PART_COLS + 1
+
+
+def part_grammar(spark: SparkSession, sf_dir: str) -> GrammarMatrix:
+    """A rule for each part k, whose children are the rules of parts k div 2 and k div 3 or codes, a tenth of them runs; the rows are orders,
+    whose symbols are the rules of their parts, and for every fifth order a code. Deep and shared, and the same in any run."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("bigint")
+    inner = lambda d: F.expr(f"{PART_ALPHA}L + p_partkey div {d}")
+    left = F.when((k % 4 == 0) | (k < 2), size % (PART_ALPHA - 1) + 1).otherwise(inner(2))
+    run = (k % 11 == 5) & (k >= 2)
+    right = F.when((k % 3 == 0) & (k >= 3), inner(3)).otherwise((k * 7) % (PART_ALPHA - 1) + 1)
+    rules = read(spark, sf_dir, "part").select(
+        F.lit(0).cast("long").alias("block"), (k + PART_ALPHA).alias("sym"), F.when(run, "RUNLEN").otherwise("BINARY").alias("kind"), left.cast("long").alias("left"), F.when(~run, right).cast("long").alias("right"),
+        F.when(run, 2 + size % 2).otherwise(1).cast("int").alias("rep"),
+    )
+    l, o = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
+    top = l.select(F.lit(0).cast("long").alias("block"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").cast("long").alias("pos"), (F.col("l_partkey") + PART_ALPHA).alias("sym"))
+    top = top.unionAll(o.filter("o_orderkey % 5 = 0").select(F.lit(0).cast("long").alias("block"), F.col("o_orderkey").alias("row"), F.lit(1000).cast("long").alias("pos"), (F.col("o_custkey") % (PART_ALPHA - 1) + 1).alias("sym")))
+    values = spark.createDataFrame(list(enumerate(PART_VALUES)), "val_idx long, val double")
+    return GrammarMatrix(rules, top, values, PART_ALPHA, _size(o, "o_orderkey"), PART_COLS)
+
+
+def supplier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, nat, n, q, c: each supplier's nation, line items, quantity and orders; what the logs of ``supplier_log`` tell."""
+    own = read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("bigint").alias("q"), F.count_distinct("l_orderkey").alias("c"))
+    every = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("bigint").alias("nat"))
+    return every.join(own, "k", "left").select("k", "nat", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in "nqc"])
+
+
+def supplier_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, n, line): a log for each nation, with a block of three parts for each of its suppliers."""
+    f = F.format_string
+    lost = F.col("k") % 7 == 0
+    lines = F.array(
+        f("## s%d (%d x %d)", "k", "c", "n"), f("Max depth (L): %d, Max width (w*): %d, Total layered rules: %d (raw NTs: %d, +pt: %d), emissions: %d+%d term", F.col("nat") + 1, "n", F.col("q") + F.col("c"), "c", "q", "n", "c"),
+        f("GPU kernel: %d ms total over 100 vectors = %.2f ms/vector.", "n", F.col("n") / 100), f("MEM analytic bytes: %d", F.col("q") * 1000), f("ENERGY mJ/vector: %.2f", F.col("c") / 4), f("B=16: %d ms/batch, %.3f ms/vector", "n", F.col("n") / 200),
+        f("B=32: %d ms/batch, %.2f ms/vector", "n", F.col("n") / 100), F.when(F.col("k") % 5 == 0, "FAILURE: differs").otherwise("SUCCESS: results match"), f("Library x %d thread(s): %d ms", F.col("nat") + 1, "n"), F.lit("--- LIBRARY ---"),
+        F.when(lost, "out of memory").otherwise(f("Average time: %.2f ms/vector", F.col("n") / 50)), F.when(lost, "").otherwise(f("MEM analytic bytes: %d", F.col("n") * 4000)), F.when(lost, "").otherwise(f("ENERGY mJ/vector: %.1f", F.col("c") / 2)),
+        F.when(F.col("k") % 3 == 0, f("NNZ: %d", F.col("n") * 1000)).otherwise(""), F.lit("--- GRAMMAR ---"), f(" >> repair time: %.2f", F.col("n") / 4), f(" >> total time: %.2f", F.col("n") / 2), f(" >> matrix dense size: %d bytes", F.col("q") * 64),
+        f(" >> RE32  size: %d bytes", F.col("n") * 8), f(" >> REANS size: %d bytes", F.col("c") * 500),
+    )
+    rows = supplier_facts(spark, sf_dir).select(f("nation%d", "nat").alias("file"), "k", F.posexplode(lines).alias("at", "line"))
+    head = rows.select("file").distinct().select("file", F.lit(-1).cast("long").alias("n"), F.lit("# a log").alias("line"))
+    return head.unionAll(rows.select("file", (F.col("k") * 100 + F.col("at")).alias("n"), "line"))

@@ -98,7 +98,7 @@ def test_files(spark, tmp_path):
     np.array([[1, 0], [0, 7]], "<i4").tofile(f"{base}.dense")
     assert sorted(tuple(r) for r in binary.read_dense(spark, f"{base}.dense", 2).collect()) == [(0, 0, 1.0), (1, 1, 7.0)]
     binary.write_array(g.multiply(x), "row", "y", "f64", f"{base}.y")
-    assert np.fromfile(f"{base}.y").tolist() == [y for _, y in got]
+    assert [r["value"] for r in binary.read_array(spark, f"{base}.y", "f64").orderBy("idx").collect()] == [y for _, y in got]
 
 
 def test_published_sizes(spark):
@@ -107,3 +107,64 @@ def test_published_sizes(spark):
     lit = __import__("pyspark").sql.functions.lit
     assert one.select(stream_bytes(lit(12582213), lit(2504))).first()[0] == 50338876
     assert one.select(csr_bytes(lit(2), lit(3), lit(4))).first()[0] == 4 * 3 + 24 + 16 + 8
+
+
+def test_codes_beyond_32_bits():
+    """Keys of pairs of such codes would wrap in 64 bits."""
+    big = 1 << 33
+    rows = [[5, 7], [5 + (1 << 31), 7], [big - 1, big - 2]] * 3
+    stream = np.array([c for r in rows for c in [*r, 0]], np.int64)
+    s, rules = repair.compress(stream, big)
+    sym = big + np.arange(len(rules))
+    assert sweep.expand(big, sym, rules[:, 0], rules[:, 1], np.ones(len(rules), np.int64), s)[0].tolist() == stream.tolist()
+    assert len(rules) == 3 and sorted(map(tuple, rules.tolist())) == [(5, 7), (5 + (1 << 31), 7), (big - 1, big - 2)]
+
+
+def test_wide_matrix_round_trip(spark):
+    cols = 50_000_000
+    cells = [(i, (i * 7919) % 3 * 17_000_000 + j, float(i % 97 + 1)) for i in range(300) for j in (1, 5, 45_000_000 % 9_000_000)]
+    m = Matrix.from_entries(spark.createDataFrame(cells, "row long, col long, val double"), 300, cols)
+    g = GrammarMatrix.compress(m, 100)
+    assert g.alpha > 1 << 32 and sorted(tuple(r) for r in g.entries().collect()) == sorted(cells)
+
+
+def test_plans_agree_on_infinity_and_nan(spark):
+    inf, nan = float("inf"), float("nan")
+    m = Matrix.from_entries(spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (2, 1, 1.0), (3, 2, 5.0)], "row long, col long, val double"), 5, 4)
+    g = GrammarMatrix.compress(m, 2)
+    x = spark.createDataFrame([(0, inf), (1, nan), (2, None)], "col long, x double")
+    show = lambda df: sorted((r["row"], str(r["y"])) for r in df.collect())
+    expected = [(0, "nan"), (1, "inf"), (2, "nan"), (3, "0.0"), (4, "0.0")]
+    assert [show(g.multiply(x, plan=p)) for p in ("sweep", "levels", "entries")] == [expected] * 3
+
+
+@pytest.mark.parametrize("semiring", ["plustimes", "boolean", "tropical"])
+def test_left_product(spark, fixture, semiring):
+    rng = np.random.default_rng(3)
+    cells = [(int(r), int(c), float(v)) for r, c, v in zip(rng.integers(0, 40, 300), rng.integers(0, 12, 300), rng.integers(1, 4, 300), strict=True)]
+    m = Matrix.from_entries(spark.createDataFrame(cells, "row long, col long, val double"), 41, 13)
+    x = spark.createDataFrame([(i, float(i % 5)) for i in range(0, 41, 2)], "row long, x double")
+    pick = lambda df: sorted((r["col"], r["y"]) for r in df.collect())
+    for g in (GrammarMatrix.compress(m, 7), GrammarMatrix.compress(m, 1000)):
+        assert pick(g.left_multiply(x, semiring)) == pick(m.left_multiply(x, semiring))
+    two = spark.createDataFrame([(0, 3.0), (1, 100.0)], "row long, x double")
+    assert pick(fixture.left_multiply(two, semiring)) == pick(fixture.matrix().left_multiply(two, semiring))
+
+
+def test_blocks_by_entries(spark):
+    """One row holds more than a block, others little: no block has more than its bound, save for its last row's entries."""
+    cells = [(3, j, 1.0) for j in range(500)] + [(i, i % 7, 2.0) for i in range(200)] + [(i, 8, 1.0) for i in range(0, 200, 2)]
+    m = Matrix.from_entries(spark.createDataFrame(cells, "row long, col long, val double"), 201, 500)
+    g = GrammarMatrix.compress(m, 100, block_entries=60)
+    sizes = {r["block"]: r["n"] for r in g.csrv().join(g.top.select("block", "row").distinct(), "row").groupBy("block").agg({"code": "count"}).toDF("block", "n").collect()}
+    assert len(sizes) > 3 and max(sizes.values()) <= 60 + 502
+    assert sorted(tuple(r) for r in g.entries().collect()) == sorted(cells)
+    x = spark.range(500).selectExpr("id as col", "cast(id % 3 as double) as x")
+    assert sorted(g.multiply(x).collect()) == sorted(m.multiply(x).collect())
+
+
+def test_levels_by_joins_of_a_deep_grammar(spark):
+    rules = [(3 + i, "BINARY", 1 if i == 0 else 2 + i, 2 if i % 3 else max(1, 2 + i // 2 if i > 1 else 1), 1) for i in range(30)]
+    g = GrammarMatrix.of(spark, rules, [(0, 0, 32)], [1.0], 3, 1, 2).check()
+    by = lambda plan: sorted(tuple(r) for r in g.levels(plan).collect())
+    assert by("levels") == by("sweep") and max(r[2] for r in by("levels")) == 30

@@ -86,10 +86,21 @@ def test_report_nulls(spark):
 
 
 def test_measure(spark):
-    rows = measure.timed(spark, "m/4", lambda: spark.range(3), 2, 4).unionByName(spark.createDataFrame([("m/8", 8, 1.0, 1.0, 1e-9)], measure.METRICS))
+    rows = measure.timed(spark, "m/4", lambda: spark.range(3), 2, 4).unionByName(spark.createDataFrame([("m/8", 8, 1.0, 1.0, 1e-9, None)], measure.METRICS))
     first = rows.filter("label = 'm/4'").first()
     assert first["vectors"] == 8 and abs(first["ms_per_batch"] - 4 * first["ms_per_vector"]) < 1e-9
-    assert tuple(measure.best_batch(rows).first()) == ("m", 8, 1e-9)
+    assert tuple(measure.best_batch(rows).first()) == ("m", 8, 1e-9) and first["peak_mb"] > 50
+    log = measure.lines(rows).filter("key = 'm/8'").orderBy("n").collect()
+    assert [r["line"] for r in log] == ["## m/8", "GPU kernel: 1.000 ms total over 8 vectors = 0.000000 ms/vector."]
+    back = text.log_blocks(measure.lines(rows).select(F.lit("f").alias("file"), (F.col("n") + F.when(F.col("key") == "m/8", 10).otherwise(0)).alias("n"), "line"))
+    assert {r["key"] for r in back.collect()} == {"m/4", "m/8"}
+    blocks = measure.by_blocks(spark, lambda i: spark.range(i + 1), 3, "m")
+    assert sorted(r["label"] for r in blocks.collect()) == ["m/0", "m/1", "m/2"]
+
+
+def test_guards():
+    assert measure.guarded(10, 1.0) == {"check": True, "batch": True} and measure.guarded(40_000_000, 100.0) == {"check": False, "batch": False}
+    assert measure.guarded(40_000_000, 1.0, force=True)["check"] and measure.batch_gb(1000, 500, 1000, 1000, 10**6) == 16.0
 
 
 def test_command_line(spark, tmp_path):
@@ -101,6 +112,34 @@ def test_command_line(spark, tmp_path):
     assert main([]) == 2
 
 
+def test_products_from_the_command_line(spark, tmp_path, capsys):
+    """Describe, multiply with a check, and the expanded matrix with a batch, on one grammar in files."""
+    import numpy as np
+
+    from semirix.__main__ import main
+    from semirix.sources import binary
+
+    base = str(tmp_path / "m")
+    np.array([1.5, 2.5]).tofile(f"{base}.val")
+    np.array([5, 1, 2, 3, 5], "<i4").tofile(f"{base}.vc.R")
+    np.array([6, 0, 0, 1, 6, 0, 4], "<i4").tofile(f"{base}.vc.C")
+    np.array([1.0, 10.0], "<f4").tofile(f"{base}.x")
+    assert main(["describe", base, "5", "2"]) == 0 and "alpha_used" in capsys.readouterr().out
+    assert main(["multiply", base, "5", "2", f"{base}.x", f"{base}.out", "--check", f"--dump={base}.dump"]) == 0
+    assert [r["y"] for r in spark.read.parquet(f"{base}.out").orderBy("row").collect()] == [19.0, 0.0, 20.5, 25.0, 0.0]
+    assert [r["value"] for r in binary.read_array(spark, f"{base}.dump/y", "f64").orderBy("idx").collect()] == [19.0, 0.0, 20.5, 25.0, 0.0]
+    assert main(["multiply", base, "5", "2", "random", f"{base}.tropical", "--semiring=tropical", "--check"]) == 0
+    assert main(["csr", base, "5", "2", "2", "3"]) == 0 and "SUCCESS" in capsys.readouterr().out
+    assert main(["csr", base, "5", "2", "--mode=recompress"]) == 2
+
+
+def test_all_products_of_a_suite(spark, capsys):
+    from semirix.__main__ import main
+
+    assert main(["suite", SMALL, "cross_check", "grammar_stats"]) == 0
+    assert capsys.readouterr().out.count("SUCCESS") == 2
+
+
 def test_stream_follows_batch(spark, tmp_path):
     x = spark.createDataFrame([(0, 2.0), (1, 3.0)], "col long, x double")
     source, schema = str(tmp_path / "in"), "row long, col long, val double"
@@ -145,3 +184,46 @@ def test_entry_points(spark):
 def test_library_does_not_import_the_subpackage():
     top = Path(__file__).resolve().parents[1] / "semirix"
     assert not [p for p in top.rglob("*.py") if "llm" not in p.parts and "semirix.llm" in p.read_text()]
+
+
+def test_loops_write_what_changes_and_leave_their_result(spark):
+    """On a chain of 40 nodes: what a loop writes grows with its rounds and not their square, and only its result stays."""
+    from pathlib import Path
+
+    from semirix.operators import graph
+    from semirix.plans.matrix import Matrix
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "semirix"
+    kept = lambda: {p.name for p in shared.glob("*")} if shared.is_dir() else set()
+    edges = spark.createDataFrame([(i, i + 1) for i in range(39)], "src long, dst long")
+    m = Matrix.from_entries(edges.selectExpr("src as row", "dst as col", "1.0D as val"), 40, 40)
+    for run in (
+        lambda: graph.bfs(edges, 0), lambda: graph.sssp(edges, 0), lambda: graph.apsp(m, [39]).select("row", "y"),
+        lambda: graph.fixpoint(m, spark.createDataFrame([(39, 0.0)], "col long, x double"), "tropical").selectExpr("39 - row", "y"),
+    ):
+        before = kept()
+        out = run()
+        got = sorted(tuple(r) for r in out.collect())
+        assert [int(v) for _, v in got] in (list(range(40)), list(range(39, -1, -1)))
+        assert len(kept() - before) == 1
+        parts = list((shared / next(iter(kept() - before))).rglob("*.parquet"))
+        assert sum(p.stat().st_size for p in parts) < 400_000
+
+
+def test_too_few_sites_are_an_error(spark):
+    from semirix.operators import genotype
+
+    with pytest.raises(RuntimeError):
+        genotype.genotypes(spark, 1, 10_000, tries=1)
+
+
+def test_dense_ids_of_skewed_predicates(spark):
+    """Ranks within predicates by one range sort: no window by predicate, no single partition."""
+    from semirix.operators import triples
+
+    t = spark.createDataFrame([(i * 3 % 50, 1, i) for i in range(60)] + [(7, 2, 9), (5, 2, 9)], "s long, p long, o long")
+    got = sorted(tuple(r) for r in triples.sparse(t, [1, 2]).collect())
+    subjects = sorted({i * 3 % 50 for i in range(60)})
+    assert got == sorted([(1, subjects.index(i * 3 % 50), i) for i in range(60)] + [(2, 1, 0), (2, 0, 0)])
+    plan = triples.sparse(t, [1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(p" not in plan
