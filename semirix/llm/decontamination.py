@@ -5,14 +5,16 @@ the sum of its shingles' hash bits, taken from running sums. The items' fingerpr
 listed under every block value within RADIUS // BLOCKS errors of its own, so by pigeonhole a window within RADIUS of an item
 finds it under one of its own blocks. Found pairs are measured on their bags of shingles: the sum of the least counts over
 the sum of the greatest. Shingles have five words, an item of fewer words is one shingle; a window at 0.8 or more is a leak.
+A window at exactly 0.8 is beyond RADIUS with a chance of about 3 in 10,000, and one at 0.85 hardly ever: the only loss there is.
 
 A document with fewer words than an item is one window of its own length: it is compared with the items that share shingles
 with it, without fingerprints, so this is exact.
 
-Window and item are equally long otherwise, so at a similarity s they share 2 s / (1 + s) of their shingles. A window in which fewer of the
-shingles are of any item is passed over before its fingerprint is taken, which loses nothing. The items are the query set: they
-are searched in chunks of ``chunk``, whose index of bounded size (about 4 KB an item) goes to the executors; documents are read
-where they lie, without a shuffle.
+Window and item are equally long otherwise, so at a similarity s they share 2 s / (1 + s) of their shingles. So the documents are
+read once, whatever the number of items: against a bitmap of all items' shingles, of 32 MB at most, which passes over all places where no
+window can have so many, and loses nothing. The regions that are left, a small table, meet the items in cells: the items in chunks of
+``chunk``, the regions in cells of bounded size, a task for each of both. Nothing of the documents, regions or items
+comes to the driver but counts, the items' different lengths and the bitmap.
 
 Defined results: null or blank documents and items have no leak. Of windows with equal similarity the first counts.
 Repeated rows are searched each. A null id is carried.
@@ -26,15 +28,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from semirix.llm._store import discard, table
 from semirix.llm._text import U64, Words, blocks, shingles
 
 BITS, BLOCKS, RADIUS = 64, 8, 19
 _SHIFTS = np.arange(BITS, dtype=np.uint64)
 MASK = (1 << 22) - 1
+#: Bits of the bitmap of the items' shingles at most, shingles of a region, bytes of regions in a cell, and regions that are worth one.
+BITMAP, REGION, CELL_BYTES, CELL_ROWS = 28, 1 << 17, 16 << 20, 500
 
 
 def _signs(sh: np.ndarray) -> np.ndarray:
@@ -129,9 +135,16 @@ class ItemIndex:
                     out.append((item, s))
         return out
 
-    def search(self, sh: dict[int, np.ndarray], hit: dict[int, np.ndarray], threshold: float) -> list[tuple[int, float, int]]:
-        """(item, similarity, first word) of a document's best window for each item. sh, hit: shingles by k, and which are known."""
+    def search(self, sh: dict[int, np.ndarray], threshold: float, whole: bool = True) -> list[tuple[int, float, int]]:
+        """(item, similarity, first word) of a region's best window for each item. sh: its shingles by k; whole: it is all of a document."""
         out: dict[int, tuple[float, int]] = {}
+        sh = {k: own for k, own in sh.items() if k in self.known}
+        hit = {}
+        for k, own in sh.items():
+            maybe = np.flatnonzero(self.seen[k][(own & U64(MASK)).astype(np.int64)])
+            at = np.searchsorted(self.known[k], own[maybe])
+            hit[k] = np.zeros(len(own), bool)
+            hit[k][maybe] = self.known[k][np.minimum(at, len(self.known[k]) - 1)] == own[maybe]
         runs = {k: np.concatenate([[0], np.cumsum(h)]) for k, h in hit.items()}
         for n in np.unique(self.words).tolist():
             k = min(self.k, n)
@@ -156,7 +169,7 @@ class ItemIndex:
                         s = weighted_similarity(sh[k][own[w] : own[w] + span], self.bags[item])
                         if s >= threshold and s > out.get(int(item), (0.0, 0))[0]:
                             out[int(item)] = s, int(own[w])
-        for k, own in sh.items():
+        for k, own in sh.items() if whole else ():
             known = int(runs[k][-1])
             if known >= max(1, math.ceil(threshold * len(own) - 1e-9)):  # both / all >= threshold, and all >= len(own)
                 out |= {i: (s, 0) for i, s in self.shorter(own, k, threshold)}
@@ -176,43 +189,138 @@ def index(rows: list[tuple], k: int = 5) -> ItemIndex:
     return ItemIndex([rows[i][0] for i in keep], w.counts[keep], bags, np.array([simhash(b) for b in bags], np.uint64), k)
 
 
+@dataclass
+class Filter:
+    """Where windows of the items' lengths can have enough of the items' shingles: a bitmap and the buckets of lengths, by k."""
+
+    bits: dict[int, np.ndarray]  # bitmap in 64-bit words; a power of two of them
+    spans: dict[int, list[tuple[int, int]]]  # shortest and longest window of a bucket, in shingles
+    threshold: float
+
+    def known(self, k: int, sh: np.ndarray) -> np.ndarray:
+        at = sh & U64(64 * len(self.bits[k]) - 1)
+        return (self.bits[k][(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) != 0
+
+    def regions(self, k: int, hit: np.ndarray) -> list[tuple[int, int]]:
+        """Of a document, by which shingles may be known: intervals that hold all windows with enough of them."""
+        n, count = len(hit), np.concatenate([[0], np.cumsum(hit)])
+        share = 2 * self.threshold / (1 + self.threshold)
+        if n < self.spans[k][-1][1] and count[-1] >= max(1, math.ceil(self.threshold * n - 1e-9)):
+            return [(0, n)]  # as a document shorter than an item
+        cover = np.zeros(n + 1, np.int64)
+        for low, high in self.spans[k]:
+            if low <= n:
+                size = min(high, n)
+                start = np.flatnonzero(count[size:] - count[:-size] >= max(1, math.ceil(share * low - 1e-9)))
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + size, -1)
+        inside = np.cumsum(cover) > 0
+        edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
+        out, step = [], self.spans[k][-1][1] - 1
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            out += [(i, min(b, i + REGION + step)) for i in range(a, max(a + 1, b - step), REGION)]
+        return out
+
+
+def item_filter(items: DataFrame, k: int, threshold: float) -> Filter | None:
+    """items: (i, t). None if no item has a word."""
+
+    def sized(batches):
+        for b in blocks(batches, "t"):
+            n = Words(b.column("t")).counts
+            yield pa.RecordBatch.from_arrays([pa.array(n[n > 0])], ["n"])
+
+    lengths = sorted((r["n"], r["count"]) for r in items.select("t").mapInArrow(sized, "n long").groupBy("n").count().collect())
+    spans: dict[int, list[tuple[int, int]]] = {}
+    total: dict[int, int] = {}
+    for n, count in lengths:
+        own, span = min(k, n), n - min(k, n) + 1
+        total[own] = total.get(own, 0) + span * count
+        buckets = spans.setdefault(own, [])
+        if buckets and (len(lengths) > 64 and span <= 1.1 * buckets[-1][0] or span == buckets[-1][1]):
+            buckets[-1] = buckets[-1][0], span
+        else:
+            buckets.append((span, span))
+    if not spans:
+        return None
+    size = {own: 1 << min(BITMAP, max(12, (16 * n).bit_length())) for own, n in total.items()}
+
+    def marked(batches):
+        for b in blocks(batches, "t"):
+            w = Words(b.column("t"))
+            hashes = w.hashes(lower=True)
+            for own in size:
+                sh, offs = shingles(hashes, w.first, own)
+                keep = np.repeat((w.counts == own) if own < k else (w.counts >= k), np.diff(offs))
+                at = np.unique(sh[keep] & U64(size[own] - 1)).astype(np.int64)
+                word, first = np.unique(at >> 6, return_index=True)
+                if len(word):
+                    bits = np.bitwise_or.reduceat(np.int64(1) << (at & 63), first)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), own)), pa.array(word), pa.array(bits)], ["k", "word", "bits"])
+
+    rows = items.select("t").mapInArrow(marked, "k long, word long, bits long").groupBy("k", "word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    bits = {}
+    for own, n in size.items():
+        bits[own], some = np.zeros(n >> 6, U64), rows[rows["k"] == own]
+        bits[own][some["word"].to_numpy(np.int64)] = some["bits"].to_numpy(np.int64).view(U64)
+    return Filter(bits, spans, threshold)
+
+
+def regions(docs: DataFrame, own: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, id, k, first (word), words (of the document), whole, shingles: the places of all documents that can hold a leak; one pass."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        row = TaskContext.get().partitionId() << 40
+        for b in blocks(batches):
+            w = Words(b.column("text"))
+            hashes = w.hashes(lower=True)
+            found = []
+            for k in own.bits:
+                sh, offs = shingles(hashes, w.first, k)
+                hit = own.known(k, sh)
+                for d in np.unique(np.searchsorted(offs, np.flatnonzero(hit), "right") - 1).tolist():
+                    if w.counts[d] >= k:
+                        n = int(offs[d + 1] - offs[d])
+                        found += [(d, k, i, int(w.counts[d]), (i, j) == (0, n), sh[offs[d] + i : offs[d] + j].tobytes()) for i, j in own.regions(k, hit[offs[d] : offs[d + 1]])]
+            if found:
+                d, *cols = zip(*found, strict=True)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([row + i for i in d], pa.int64()), b.column("id").take(pa.array(d, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["row", "id", "k", "first", "words", "whole", "shingles"])
+            row += b.num_rows
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"row long, id {kind}, k long, first long, words long, whole boolean, shingles binary")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, chunk: int = 10_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, item, similarity, first_word, n_words: a row for each document and item that it leaks."""
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    schema = f"id {kind.simpleString()}, item {item_kind.simpleString()}, similarity double, first_word long, n_words long"
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter(F.col("t").isNotNull())
-    parts = max(1, -(-items.count() // chunk))
-    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-    rows, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
-    schema = f"id {kind}, item {item_kind}, similarity double, first_word long, n_words long"
-    for part in range(parts):
-        own = items.filter(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(parts)) == part).collect()
-        own = index(sorted((tuple(r) for r in own), key=str), k)
-
-        def run(batches, own=own):
-            names = pa.array(own.ids, item_type)
-            for b in blocks(batches):
-                w = Words(b.column("text"))
-                hashes = w.hashes(lower=True)
-                sh, offs, hit = {}, {}, {}
-                for size in own.known:
-                    sh[size], offs[size] = shingles(hashes, w.first, size)
-                    maybe = np.flatnonzero(own.seen[size][(sh[size] & U64(MASK)).astype(np.int64)])
-                    at = np.searchsorted(own.known[size], sh[size][maybe])
-                    hit[size] = np.zeros(len(sh[size]), bool)
-                    hit[size][maybe] = own.known[size][np.minimum(at, len(own.known[size]) - 1)] == sh[size][maybe]
-                docs_hit = np.unique(np.concatenate([np.searchsorted(offs[s], np.flatnonzero(hit[s]), "right") - 1 for s in hit] or [np.zeros(0, np.int64)]))
-                found = []
-                for d in docs_hit.tolist():
-                    cut = {s: slice(offs[s][d], offs[s][d + 1]) for s in sh if w.counts[d] >= s}
-                    found += [(d, *x) for x in own.search({s: sh[s][c] for s, c in cut.items()}, {s: hit[s][c] for s, c in cut.items()}, threshold)]
-                if found:
-                    d, i, s, at = zip(*found, strict=True)
-                    i = pa.array(i, pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(d, pa.int64())), names.take(i), pa.array(s), pa.array(at, pa.int64()), pa.array(np.minimum(own.words[i.to_numpy()], w.counts[list(d)]), pa.int64())], ["id", "item", "similarity", "first_word", "n_words"])
-
-        if own.ids:
-            got = rows.mapInArrow(run, schema)
-            out = got if out is None else out.unionByName(got)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], schema)
-    return out.withColumnsRenamed({"id": id_col, "item": item_col})
+    own = item_filter(items, k, threshold)
+    if own is None:
+        return docs.sparkSession.createDataFrame([], schema).withColumnsRenamed({"id": id_col, "item": item_col})
+    places = table(regions(docs, own, id_col, text_col), "regions")
+    count, size, chunks = *places.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("shingles")), F.lit(0))).first(), max(1, -(-items.count() // chunk))
+    cells = max(1, -(-size // CELL_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, -(-count // CELL_ROWS)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = places.withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)).cast("long")).withColumn("chunk", upto(chunks))
+    right = items.withColumn("chunk", F.pmod(F.xxhash64("i", "t"), F.lit(chunks)).cast("long")).withColumn("cell", upto(cells))
+    id_type, item_type = to_arrow_type(kind), to_arrow_type(item_kind)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        best: dict[tuple[int, int], tuple] = {}
+        if left.num_rows and right.num_rows:
+            chunk_ = index(sorted(zip(right.column("i").to_pylist(), right.column("t").to_pylist(), strict=True), key=str), k)
+            for n, (row, of, first, words, whole, sh) in enumerate(zip(*(left.column(c).to_pylist() for c in ("row", "k", "first", "words", "whole", "shingles")), strict=True)):
+                for i, s, at in chunk_.search({of: np.frombuffer(sh, U64)}, threshold, whole):
+                    best[row, i] = max(best.get((row, i), (0.0,)), (s, -first - at, n, i, min(words, int(chunk_.words[i]))))
+        got = [best[key] for key in sorted(best)]
+        s, at, n, i, words = zip(*got, strict=True) if got else [()] * 5
+        names = pa.array([chunk_.ids[j] for j in i], item_type) if got else pa.array([], item_type)
+        return pa.table([left.column("id").combine_chunks().cast(id_type).take(pa.array(n, pa.int64())), names, pa.array(s, pa.float64()), pa.array([-a for a in at], pa.int64()), pa.array(words, pa.int64())], names=["id", "item", "similarity", "first_word", "n_words"])
+
+    found = table(left.groupBy("chunk", "cell").cogroup(right.groupBy("chunk", "cell")).applyInArrow(meet, schema), "leaks")
+    discard(places)
+    return found.withColumnsRenamed({"id": id_col, "item": item_col})
