@@ -3,14 +3,16 @@
 Words are runs of letters and digits, in lower case. The document frequencies of the templates' words are counted over all
 files; a word of no template has the greatest weight there is, so foreign words in a line lower its cosine. Every line of a
 file is a possible header, and so is each run of lines that is about as long as a template, as headers are wrapped: from each line
-on, the longest run of at most its words and the shortest of at least its words. A file as a whole is a licence file if its name says so, or if its whole text is close to a template. A file's
-own licence is its best line's, run's or its whole text's, at ``threshold`` or more. The other files inherit from the nearest
-directory above them that has a licence file: each different directory is joined with its ancestors' licences once, and
-the files then with their directory, so a directory that holds a third of the files costs one small row in the first join and
-is split by AQE in the second.
+on, the longest run of at most its words and the shortest of at least its words. A file as a whole is a licence file if its name says
+so, or if its whole text is close to a template; the templates are the usual notices, the full text of short licences, and the title
+and first sentence of long ones. A file's own licence is its best line's, run's or its whole text's, at ``threshold`` or more. The
+other files inherit from the nearest directory above them that has a licence file: each different directory is joined with its
+ancestors' licences once, and the files then with their directory, so a directory that holds a third of the files costs one small
+row in the first join and is split by AQE in the second. The root, above all, is looked up as one row and joins nothing.
 
 Defined results: a null or empty text has no licence of its own; a null path has no directory and inherits nothing. Several
-licence files in a directory: the closest counts, then the first path. Equal cosines: the template first in order.
+licence files in a directory: the closest counts, then the first path. Equal cosines: the template first in order. Repeated rows are
+scanned each.
 """
 
 from __future__ import annotations
@@ -25,16 +27,52 @@ from pyspark.sql import functions as F
 from semirix.llm._store import table
 from semirix.llm._text import Words, blocks
 
-# Licence names and the sentences by which files state them.
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED'
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_END = (
+    ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE '
+    "ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+# Licence names, the sentences by which files state them, and the texts of licence files.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights "
+        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+        f"this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+        "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
+    ("AGPL-3.0", f"GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. {_VERBATIM}"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.{_BSD_END}"),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+        'PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -194,14 +232,19 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, t
     holders = found.filter(of_file.isNotNull() & F.col("directory").isNotNull())
     best = holders.groupBy("directory").agg(F.min_by(F.struct(of_file.alias("license"), F.greatest("whole_score", "score").alias("score")), F.struct(-F.greatest("whole_score", "score"), F.col("path"))).alias("best"))
     best = best.select(F.col("directory").alias("above"), F.col("best.license").alias("up_license"), F.col("best.score").alias("up_score"))
+    root = best.filter("above = ''").select(F.col("up_license").alias("root_license"), F.col("up_score").alias("root_score"))  # one row, or none
     places = found.filter(F.col("license").isNull() & F.col("directory").isNotNull()).select("directory").distinct()
     parts = F.split("directory", "/")
-    chain = places.select("directory", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))).alias("a")).select("directory", "a.depth", "a.above")
+    chain = places.select("directory", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("above")))).alias("a")).select("directory", "a.depth", "a.above")
     nearest = chain.join(best, "above").groupBy("directory").agg(F.max_by(F.struct("above", "up_license", "up_score"), "depth").alias("up")).select("directory", "up.*")
-    out = found.join(nearest, "directory", "left")
+    top = root.agg(F.first("root_license").alias("root_license"), F.first("root_score").alias("root_score"))
+    out = found.join(nearest, "directory", "left").join(F.broadcast(top))
+    from_root = F.col("up_license").isNull() & F.col("directory").isNotNull() & F.col("root_license").isNotNull()
+    for name, value in (("above", F.lit("")), ("up_score", F.col("root_score")), ("up_license", F.col("root_license"))):
+        out = out.withColumn(name, F.when(from_root, value).otherwise(F.col(name)))
     none = F.col("license").isNull()
     return out.select(
         F.col("id").alias(id_col), "path", F.when(none, F.col("up_license")).otherwise(F.col("license")).alias("license"), F.when(none, F.col("up_score")).otherwise(F.col("score")).alias("score"), "line",
         F.when(none & F.col("up_license").isNotNull(), F.lit("inherited")).when(none, F.lit(None)).when(F.col("line") < 0, F.lit("file")).otherwise(F.lit("header")).alias("via"),
-        F.when(none, F.col("above")).alias("from_directory"),
+        F.when(none & F.col("up_license").isNotNull(), F.col("above")).alias("from_directory"),
     )
