@@ -72,23 +72,24 @@ def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence of every document, as a file below its source: source / thousands / hundreds / id.txt.
+    """Licence of every document and page (doc_id or page_id is set), the pages' by their markup's text.
 
-    The table has no file names, so the documents that open a directory are named as its notices: the first twenty ids of each thousand
-    lie in source / thousands, those of each other hundred in source / thousands / hundreds.
+    Documents have no path and inherit nothing; a page is the file host/path of its url, and inherits from the nearest directory of the
+    same host that has a licence file.
     """
-    docs = _read(spark, sf_dir, "documents")
-    i, text = F.col("doc_id"), lambda c: c.cast("string")
-    thousands, hundreds = text(F.floor(i / 1000)), text(F.floor(i / 100) % 10)
-    notice = F.concat(F.lit("NOTICE."), text(i))
-    path = F.when(i % 1000 < 20, F.concat_ws("/", "source", thousands, notice)).when(i % 100 < 20, F.concat_ws("/", "source", thousands, hundreds, notice))
-    path = F.coalesce(path, F.concat_ws("/", "source", thousands, hundreds, F.concat(text(i), F.lit(".txt"))))
-    return license_scan.scan(docs.select("doc_id", "text", path.alias("path")))
+    docs, pages = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages")
+    shown = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", "\n")
+    path = F.regexp_replace("url", r"^[a-z]+://|[?#].*$", "")
+    none = F.lit(None).cast("long")
+    files = docs.select(F.struct("doc_id", none.alias("page_id")).alias("id"), "text", F.lit(None).cast("string").alias("path"))
+    files = files.unionAll(pages.select(F.struct(none.alias("doc_id"), F.col("page_id").cast("long").alias("page_id")).alias("id"), shown.alias("text"), path.alias("path")))
+    return license_scan.scan(files, id_col="id").select("id.doc_id", "id.page_id", "path", "license", "score", "line", "via", "from_directory")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate strings of all documents, and which of them are secrets."""
-    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+    """Candidate strings of all documents, and which of them are secrets, by the words and transitions of the documents."""
+    docs = _read(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(own=secret_scan.corpus(docs)))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_quality_classifier, op4_token_output, op5_decontamination, op6_toxicity, op7_minhash_dedup, op8_lexical_packing, op9_license_scan, op10_secret_scan)}
