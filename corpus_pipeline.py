@@ -24,15 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least id stays, of its repeated rows one."""
     ship(spark)
     marked = minhash_dedup.groups(docs, k=5, percent=80)
-    rest = docs.join(marked.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    names = docs.columns
+    i, t = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    rest = docs.toDF(*[f"c{n}" for n in range(len(names))])  # positional names, so that no column of the table can clash
+    rest = rest.join(marked.filter(~F.col("kept")).select(F.col("doc_id").alias(i)).distinct(), i, "left_anti")
     if docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count():  # repeated rows
-        names = docs.columns
-        copy = F.when(F.col("doc_id").isNotNull(), F.xxhash64("text")).otherwise(F.monotonically_increasing_id())
-        rest = rest.withColumn("_copy", copy).dropDuplicates(["doc_id", "_copy"]).select(*names)
-    return rest
+        copy = F.when(F.col(i).isNotNull(), F.xxhash64(t)).otherwise(F.monotonically_increasing_id())
+        rest = rest.withColumn("copy", copy).dropDuplicates([i, "copy"])
+    return rest.select(*[f"c{n}" for n in range(len(names))]).toDF(*names)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark, and n_chars follows; all documents stay."""
     ship(spark)
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    scanner = secret_scan.train(own=secret_scan.corpus(docs))
+    return secret_scan.redact(docs, scanner).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
