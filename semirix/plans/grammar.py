@@ -24,21 +24,36 @@ from semirix.runtime import Increments, discard, table
 
 RULES = "block long, sym long, kind string, left long, right long, rep int"
 TOP = "block long, row long, pos long, sym long"
-_CELLS = "block long, tag int, a long, b long, c long, d long"
+_BLOCKS = "block long, data binary, codes array<long>"
 
 
 def _numpy(t: pa.Table, *names: str) -> list[np.ndarray]:
     return [t.column(n).to_numpy() for n in names]
 
 
+def _pack(alpha: int, rules: list[np.ndarray], top: list[np.ndarray]) -> tuple[bytes, np.ndarray]:
+    """A block as bytes: how many rules and top symbols, then sym, left, right (-1: none) and rep, then row, pos and sym; and its codes."""
+    used = np.concatenate([rules[1], rules[2][rules[2] >= 0], top[2]])
+    return np.concatenate([[len(rules[0]), len(top[0])], *rules, *top]).astype("<i8").tobytes(), np.unique(used[used < alpha])
+
+
+def _unpack(data: pa.Scalar) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    x = np.frombuffer(data.as_buffer(), "<i8")
+    n, m = int(x[0]), int(x[1])
+    return [x[2 + i * n : 2 + (i + 1) * n] for i in range(4)], [x[2 + 4 * n + i * m : 2 + 4 * n + (i + 1) * m] for i in range(3)]
+
+
 @dataclass(frozen=True)
 class GrammarMatrix:
+    """``blocks`` (block, data, codes), where it is given, has the same rules and top with a row for each block, for products."""
+
     rules: DataFrame
     top: DataFrame
     values: DataFrame
     alpha: int
     rows: int
     cols: int
+    blocks: DataFrame | None = None
 
     @classmethod
     def compress(cls, matrix: Matrix, block_rows: int = 2000, block_entries: int = 1_000_000) -> GrammarMatrix:
@@ -66,17 +81,26 @@ class GrammarMatrix:
             keep = s != 0
             start = np.concatenate([[0], np.flatnonzero(s == 0) + 1])
             pos = np.arange(len(s)) - start[at]
-            n, m = len(rules), int(keep.sum())
-            cols = [
-                np.concatenate([np.full(n, 0), np.full(m, 1)]).astype(np.int32), np.concatenate([alpha + lift + np.arange(n), names[at[keep]]]), np.concatenate([up(rules[:, 0]), pos[keep]]),
-                np.concatenate([up(rules[:, 1]), up(s[keep])]), np.zeros(n + m, np.int64),
-            ]
-            return pa.table([pa.array(np.full(n + m, block)), *map(pa.array, cols)], names=["block", "tag", "a", "b", "c", "d"])
-
-        cells = table(stream.groupBy("block").applyInArrow(build, _CELLS), "grammar")
-        rules = cells.filter("tag = 0").select("block", F.col("a").alias("sym"), F.lit("BINARY").alias("kind"), F.col("b").alias("left"), F.col("c").alias("right"), F.lit(1).alias("rep"))
-        top = cells.filter("tag = 1").select("block", F.col("a").alias("row"), F.col("b").alias("pos"), F.col("c").alias("sym"))
-        return cls(rules, top, values, alpha, matrix.rows, matrix.cols)
+            n = len(rules)
+            data, codes = _pack(alpha, [alpha + lift + np.arange(n), up(rules[:, 0]), up(rules[:, 1]), np.ones(n, np.int64)], [names[at[keep]], pos[keep], up(s[keep])])
+            return pa.table({"block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary()), "codes": pa.array([codes.tolist()], pa.list_(pa.int64()))})
+
+        blocks = table(stream.groupBy("block").applyInArrow(build, _BLOCKS), "grammar")
+
+        def rules_of(batches):
+            for b in batches:
+                for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    (sym, left, right, _), _ = _unpack(data)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sym), block)), pa.array(sym), pa.array(np.full(len(sym), "BINARY")), pa.array(left), pa.array(right), pa.array(np.ones(len(sym), np.int32))], ["block", "sym", "kind", "left", "right", "rep"])
+
+        def top_of(batches):
+            for b in batches:
+                for block, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    _, (row, pos, sym) = _unpack(data)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sym), block)), pa.array(row), pa.array(pos), pa.array(sym)], ["block", "row", "pos", "sym"])
+
+        cells = blocks.select("block", "data")
+        return cls(cells.mapInArrow(rules_of, RULES), cells.mapInArrow(top_of, TOP), values, alpha, matrix.rows, matrix.cols, blocks)
 
     @classmethod
     def of(cls, spark: SparkSession, rules: list[tuple], top: list[tuple], values: list[float], alpha: int, rows: int, cols: int) -> GrammarMatrix:
@@ -162,6 +186,8 @@ class GrammarMatrix:
 
     def terminals(self) -> DataFrame:
         """(block, code): the different codes that rules or the top read."""
+        if self.blocks is not None:
+            return self.blocks.select("block", F.explode("codes").alias("code"))
         codes = self.children().select("block", F.col("child").alias("code")).unionAll(self.top.select("block", F.col("sym").alias("code")))
         return codes.filter(F.col("code") < self.alpha).distinct()
 
@@ -226,17 +252,16 @@ class GrammarMatrix:
         """(row, pos, code): the row stream that the grammar stands for."""
         alpha = self.alpha
 
-        def run(t: pa.Table) -> pa.Table:
-            tag = t.column("tag").to_numpy()
-            a, b, c, d = _numpy(t, "a", "b", "c", "d")
-            r, top = tag == 0, np.flatnonzero(tag == 1)
-            top = top[np.lexsort((b[top], a[top]))]
-            code, place = sweep.expand(alpha, a[r], b[r], c[r], d[r], c[top])
-            row = a[top][place]
-            first = np.searchsorted(row, row)
-            return pa.table({"row": row, "pos": np.arange(len(row)) - first, "code": code})
+        def run(batches):
+            for b in batches:
+                for data in b.column(0):
+                    rules, (row, pos, sym) = _unpack(data)
+                    order = np.lexsort((pos, row))
+                    code, place = sweep.expand(alpha, *rules, sym[order])
+                    row = row[order][place]
+                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.arange(len(row)) - np.searchsorted(row, row)), pa.array(code)], ["row", "pos", "code"])
 
-        return self._cells().groupBy("block").applyInArrow(run, "row long, pos long, code long")
+        return self._blocks().select("data").mapInArrow(run, "row long, pos long, code long")
 
     def entries(self) -> DataFrame:
         """(row, col, val): the matrix."""
@@ -245,10 +270,20 @@ class GrammarMatrix:
     def matrix(self) -> Matrix:
         return Matrix(self.entries(), self.rows, self.cols)
 
-    def _cells(self) -> DataFrame:
-        """Rules and top in one table of numbers; a rule without a right child has -1."""
+    def _blocks(self) -> DataFrame:
+        """(block, data): a row for each block."""
+        if self.blocks is not None:
+            return self.blocks.select("block", "data")
+        alpha = self.alpha
         rules = self.rules.select("block", F.lit(0).alias("tag"), F.col("sym").alias("a"), F.col("left").alias("b"), F.coalesce("right", F.lit(-1)).cast("long").alias("c"), F.col("rep").cast("long").alias("d"))
-        return rules.unionAll(self.top.select("block", F.lit(1).alias("tag"), F.col("row").alias("a"), F.col("pos").alias("b"), F.col("sym").alias("c"), F.lit(0).cast("long").alias("d")))
+        cells = rules.unionAll(self.top.select("block", F.lit(1).alias("tag"), F.col("row").alias("a"), F.col("pos").alias("b"), F.col("sym").alias("c"), F.lit(0).cast("long").alias("d")))
+
+        def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+            tag, (a, b, c, d) = t.column("tag").to_numpy(), _numpy(t, "a", "b", "c", "d")
+            r, top = tag == 0, tag == 1
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([_pack(alpha, [a[r], b[r], c[r], d[r]], [a[top], b[top], c[top]])[0]], pa.binary())})
+
+        return cells.groupBy("block").applyInArrow(pack, "block long, data binary")
 
     # products
 
@@ -293,16 +328,14 @@ class GrammarMatrix:
             kinds = pa.float64() if kind == "double" else pa.int64()
             if not cells.num_rows or not given.num_rows:
                 return pa.table([pa.array([], pa.int64()), *[pa.array([], kinds) for _ in names]], names=["code", *names])
-            tag = cells.column("tag").to_numpy()
-            a, b, c, d = _numpy(cells, "a", "b", "c", "d")
-            r, top = tag == 0, tag == 1
+            rules, (row, _, sym) = _unpack(cells.column("data")[0])
             w = np.stack([given.column(n).fill_null(s.zero).to_numpy() for n in names], axis=1)
-            codes, y = sweep.descend(s, alpha, a[r], b[r], c[r], d[r], a[top], c[top], given.column("row").to_numpy(), w)
+            codes, y = sweep.descend(s, alpha, *rules, row, sym, given.column("row").to_numpy(), w)
             return pa.table([pa.array(codes), *[pa.array(y[:, i]) for i in range(size)]], names=["code", *names])
 
         schema = ", ".join(["code long", *[f"{n} {kind}" for n in names]])
         idx, col = csrv.parts("code", self.cols)
-        met = self._cells().groupBy("block").cogroup(given.groupBy("of")).applyInArrow(run, schema)
+        met = self._blocks().groupBy("block").cogroup(given.groupBy("of")).applyInArrow(run, schema)
         leaf = met.withColumns({"val_idx": idx, "col": col.cast("bigint")}).join(self.values, "val_idx").select("col", *[s.leaf(F.col("val"), F.col(n)).cast(kind).alias(n) for n in names])
         every = self.spark.range(self.cols).select(F.col("id").alias("col"), *[F.lit(None).cast(kind).alias(n) for n in names])
         return leaf.unionAll(every).groupBy("col").agg(F.array(*[s.y(F.col(n)) for n in names]).alias("ys"))
@@ -313,21 +346,18 @@ class GrammarMatrix:
         def run(cells: pa.Table, leaves: pa.Table) -> pa.Table:
             if not cells.num_rows:
                 return pa.table([pa.array([], pa.int64()), *[pa.array([], pa.float64() if kind == "double" else pa.int64()) for _ in names]], names=["row", *names])
-            tag = cells.column("tag").to_numpy()
-            a, b, c, d = _numpy(cells, "a", "b", "c", "d")
-            r, top = tag == 0, tag == 1
+            rules, (row, _, sym) = _unpack(cells.column("data")[0])
             w = np.stack([leaves.column(n).fill_null(s.zero).to_numpy() for n in names], axis=1) if leaves.num_rows else np.zeros((0, size), s.dtype)
             codes = leaves.column("code").to_numpy()
-            plain = c[top][c[top] < alpha]  # codes of the top that no rule reads, without a leaf
-            lost = np.setdiff1d(plain, codes)
+            lost = np.setdiff1d(sym[sym < alpha], codes)  # codes of the top that no rule reads, without a leaf
             codes, w = np.concatenate([codes, lost]), np.concatenate([w, np.full((len(lost), size), s.zero, s.dtype)])
-            symbols, value = sweep.evaluate(s, alpha, a[r], b[r], c[r], d[r], codes, w)
-            row, y = sweep.rows(s, symbols, value, a[top], c[top])
+            symbols, value = sweep.evaluate(s, alpha, *rules, codes, w)
+            row, y = sweep.rows(s, symbols, value, row, sym)
             return pa.table([pa.array(row), *[pa.array(y[:, i]) for i in range(size)]], names=["row", *names])
 
         schema = ", ".join(["row long", *[f"{n} {kind}" for n in names]])
         leaf = leaf.withColumnRenamed("block", "leaf_block").select(F.col("leaf_block").alias("of"), "code", *names)
-        return self._cells().groupBy("block").cogroup(leaf.groupBy("of")).applyInArrow(run, schema)
+        return self._blocks().groupBy("block").cogroup(leaf.groupBy("of")).applyInArrow(run, schema)
 
     def _levelled(self, leaf: DataFrame, s: Semiring, size: int, kind: str) -> DataFrame:
         names = [f"w{b}" for b in range(size)]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from semirix.plans import csrv
 from semirix.plans.grammar import GrammarMatrix, csr_bytes, engine_bytes, grammar_bytes, stream_bytes
 from semirix.plans.matrix import Matrix, extent, replicate
 from semirix.plans.prefix import ranked
-from semirix.runtime import work_dir
+from semirix.runtime import new_path
 from semirix.sources import binary, text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,14 +364,10 @@ def size_formulas(spark: SparkSession, d: str) -> DataFrame:
 # files: written to the shared folder by this engine's writers, and read again
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/semirix/{uuid.uuid4().hex}-{name}"
-
-
 @_query(f"{_PATHS} select r.row, cast(coalesce(sum(m * val * (col * 5 % 9 - 3)), 0) as bigint) as y from ({_ORDERS}) r left join cell using (row) group by 1")
 def file_grammar(spark: SparkSession, d: str) -> DataFrame:
     """Values, rules and top as arrays, and a vector beside them. Files have pairs only: a run goes into pairs first."""
-    g, at = _parts(spark, d), _folder(spark, "files")
+    g, at = _parts(spark, d), new_path(spark, "files")
     binary.write_grammar(g.paired(), f"{at}/m")
     x = _parts_line(spark, _PARTX)
     binary.write_array(x, "col", "x", "f32", f"{at}/x")
@@ -386,7 +381,7 @@ def file_dense_f32(spark: SparkSession, d: str) -> DataFrame:
 
 def _dense(spark: SparkSession, d: str, kind: str) -> DataFrame:
     e = ranked(views.read(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"], "row")
-    cells, at = e.select("row", F.posexplode("embedding").alias("col", "val")), _folder(spark, "dense")
+    cells, at = e.select("row", F.posexplode("embedding").alias("col", "val")), new_path(spark, "dense")
     cols = e.select(F.max(F.size("embedding"))).first()[0]
     binary.write_dense(cells.select("row", F.col("col").cast("long").alias("col"), F.col("val").cast("double").alias("val")), e.count(), cols, at, kind)
     return binary.read_dense(spark, at, cols, kind)
@@ -401,14 +396,14 @@ def _quant(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(_QUANT)
 def file_dense_i32(spark: SparkSession, d: str) -> DataFrame:
-    at, rows = _folder(spark, "dense"), views._size(views.read(spark, d, "orders"), "o_orderkey")
+    at, rows = new_path(spark, "dense"), views._size(views.read(spark, d, "orders"), "o_orderkey")
     binary.write_dense(_quant(spark, d), rows, 9, at)
     return binary.read_dense(spark, at, 9)
 
 
 @_query(_QUANT.replace("(o_custkey % 4)::double", "1.0::double"))
 def file_dense_bool(spark: SparkSession, d: str) -> DataFrame:
-    at, rows = _folder(spark, "dense"), views._size(views.read(spark, d, "orders"), "o_orderkey")
+    at, rows = new_path(spark, "dense"), views._size(views.read(spark, d, "orders"), "o_orderkey")
     binary.write_dense(_quant(spark, d).withColumn("val", F.lit(1.0)), rows, 9, at, "bool")
     return binary.read_dense(spark, at, 9, "bool")
 
@@ -416,7 +411,7 @@ def file_dense_bool(spark: SparkSession, d: str) -> DataFrame:
 @_query(_QUANT)
 def file_csv(spark: SparkSession, d: str) -> DataFrame:
     """Lines of nine comma-separated numbers, one for each row."""
-    at, rows = _folder(spark, "csv"), views._size(views.read(spark, d, "orders"), "o_orderkey")
+    at, rows = new_path(spark, "csv"), views._size(views.read(spark, d, "orders"), "o_orderkey")
     cells = _quant(spark, d).groupBy("row").agg(*[F.coalesce(F.sum(F.when(F.col("col") == j, F.col("val"))), F.lit(0)).cast("int").alias(f"v{j}") for j in range(9)])
     every = spark.range(rows).select(F.col("id").alias("row")).join(cells, "row", "left").fillna(0)
     every.select("row", F.concat_ws(",", *[f"v{j}" for j in range(9)]).alias("value")).write.parquet(at)
@@ -425,14 +420,14 @@ def file_csv(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("select distinct l_orderkey as row, l_partkey as col from lineitem")
 def file_edges(spark: SparkSession, d: str) -> DataFrame:
-    at = _folder(spark, "edges")
+    at = new_path(spark, "edges")
     text.write_edges(views.quantities(spark, d).entries.select("row", "col").distinct(), at)
     return text.read_edges(spark, at)
 
 
 @_query("select p_partkey as col, p_size::double as x from part")
 def file_vector(spark: SparkSession, d: str) -> DataFrame:
-    at, x = _folder(spark, "x"), views.sizes(spark, d)
+    at, x = new_path(spark, "x"), views.sizes(spark, d)
     binary.write_array(x, "col", "x", "f32", at)
     return binary.read_vector(spark, at, x.count())
 

@@ -49,10 +49,24 @@ def work_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A path that nothing has, in this application's part of the shared folder."""
+    return f"{work_dir(spark)}/semirix/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{tag}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application: results that weren't written elsewhere can't be read any more."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark)}/semirix/{spark.sparkContext.applicationId}")
+    at.getFileSystem(conf).delete(at, True)
+
+
 def table(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+    """``df`` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors.
+
+    What a lazy result still reads can't be deleted by who made it; ``clear`` does, once results are written."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/semirix/{uuid.uuid4().hex}-{tag}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._semirix_path = path
@@ -64,7 +78,7 @@ class Increments:
 
     def __init__(self, spark: SparkSession, schema: str, tag: str):
         self.spark, self.schema, self.parts = spark, schema, 0
-        self.path = f"{work_dir(spark)}/semirix/{uuid.uuid4().hex}-{tag}"
+        self.path = new_path(spark, tag)
 
     def add(self, df: DataFrame) -> DataFrame:
         """The rows just written, alone."""

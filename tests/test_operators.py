@@ -187,34 +187,64 @@ def test_library_does_not_import_the_subpackage():
 
 
 def test_loops_write_what_changes_and_leave_their_result(spark):
-    """On a chain of 40 nodes: what a loop writes grows with its rounds and not their square, and only its result stays."""
+    """On a chain of 24 nodes: what a loop writes grows with its rounds and not their square, and only its result stays."""
     from pathlib import Path
 
     from semirix.operators import graph
     from semirix.plans.matrix import Matrix
 
-    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "semirix"
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "semirix" / spark.sparkContext.applicationId
     kept = lambda: {p.name for p in shared.glob("*")} if shared.is_dir() else set()
-    edges = spark.createDataFrame([(i, i + 1) for i in range(39)], "src long, dst long")
-    m = Matrix.from_entries(edges.selectExpr("src as row", "dst as col", "1.0D as val"), 40, 40)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(23)], "src long, dst long")
+    m = Matrix.from_entries(edges.selectExpr("src as row", "dst as col", "1.0D as val"), 24, 24)
     for run in (
-        lambda: graph.bfs(edges, 0), lambda: graph.sssp(edges, 0), lambda: graph.apsp(m, [39]).select("row", "y"),
-        lambda: graph.fixpoint(m, spark.createDataFrame([(39, 0.0)], "col long, x double"), "tropical").selectExpr("39 - row", "y"),
+        lambda: graph.bfs(edges, 0), lambda: graph.sssp(edges, 0), lambda: graph.apsp(m, [23]).select("row", "y"),
+        lambda: graph.fixpoint(m, spark.createDataFrame([(23, 0.0)], "col long, x double"), "tropical").selectExpr("23 - row", "y"),
     ):
         before = kept()
         out = run()
         got = sorted(tuple(r) for r in out.collect())
-        assert [int(v) for _, v in got] in (list(range(40)), list(range(39, -1, -1)))
+        assert [int(v) for _, v in got] in (list(range(24)), list(range(23, -1, -1)))
         assert len(kept() - before) == 1
         parts = list((shared / next(iter(kept() - before))).rglob("*.parquet"))
         assert sum(p.stat().st_size for p in parts) < 400_000
 
 
-def test_too_few_sites_are_an_error(spark):
-    from semirix.operators import genotype
-
+def test_too_few_sites_are_an_error(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(genotype, "coalescent", lambda spark, haps, length, *a: asked.append(length) or spark.createDataFrame([(0.5, [0])], "pos double, carriers array<long>"))
     with pytest.raises(RuntimeError):
-        genotype.genotypes(spark, 1, 10_000, tries=1)
+        genotype.genotypes(spark, 2, 50, tries=3)
+    assert asked == [asked[0], 2 * asked[0], 4 * asked[0]]
+
+
+def test_coalescent_has_the_expected_sites(spark):
+    """Watterson's number of sites, the share of singletons, and pairwise differences; no mutation is lost or common to all."""
+    n, length, ne, mu = 12, 6e6, 1000.0, 1e-7
+    sites = genotype.coalescent(spark, n, length, 1e-7, ne, mu, 5, 50_000).collect()
+    theta, h = 4 * ne * mu * length, sum(1 / i for i in range(1, n))
+    assert abs(len(sites) / (theta * h) - 1) < 0.1
+    sizes = [len(r["carriers"]) for r in sites]
+    assert abs(sum(s == 1 for s in sizes) / len(sizes) * h - 1) < 0.15 and 0 < min(sizes) and max(sizes) < n
+    assert abs(sum(2 * s * (n - s) / (n * (n - 1)) for s in sizes) / theta - 1) < 0.1
+    again = genotype.coalescent(spark, n, length, 1e-7, ne, mu, 5, 50_000).collect()
+    assert sorted(map(str, again)) == sorted(map(str, sites))
+
+
+def test_recombination_breaks_linkage(spark):
+    """Without recombination all sites of a chunk fit one tree (no pair has all four gametes); with it, distant pairs do not."""
+
+    def four(rate):
+        sites = sorted((r["pos"], set(r["carriers"])) for r in genotype.coalescent(spark, 10, 1e5, rate, 1000.0, 1e-7, 3, 1e5).collect())
+        pairs = [(a, b) for i, (_, a) in enumerate(sites) for _, b in sites[i + 1 :]]
+        return sum(bool(a & b) and bool(a - b) and bool(b - a) and len(a | b) < 10 for a, b in pairs), len(pairs)
+
+    assert four(0.0)[0] == 0 < four(0.0)[1] and four(1e-6)[0] > 0
+
+
+def test_genotypes_have_their_shape(spark):
+    got = genotype.genotypes(spark, 6, 40, seed=2).collect()
+    assert {r["col"] for r in got} == set(range(40)) and {r["row"] for r in got} <= set(range(6)) and {r["val"] for r in got} <= {1.0, 2.0}
 
 
 def test_dense_ids_of_skewed_predicates(spark):

@@ -61,6 +61,28 @@ def test_transposed_twice(spark, tables):
     assert isinstance(m.transposed().transposed(), Matrix) and m.transposed().transposed().entries.collect() == m.entries.collect()
 
 
+def test_cleared_tables_are_gone(spark):
+    from pathlib import Path
+
+    at = Path(runtime.table(spark.range(3), "t")._semirix_path.removeprefix("file:"))
+    assert at.is_dir()
+    runtime.clear(spark)
+    assert not at.exists() and runtime.table(spark.range(3), "t").count() == 3
+
+
+def test_no_rank_is_in_one_partition(spark):
+    """Dense ids of triples, slots of a grammar: range sorts, no window by predicate or level; single rows only are summed in one task."""
+    from semirix.operators import triples
+    from semirix.plans.grammar import GrammarMatrix
+
+    t = spark.createDataFrame([(1, 2, 3)], "s long, p long, o long")
+    g = GrammarMatrix.of(spark, [(3, "BINARY", 1, 2, 1)], [(0, 0, 3)], [1.0], 3, 1, 2)
+    for df in (triples.build(t, 2), triples.sparse(t, [2]), triples.square(t, 2)[1], g.slots()):
+        plan = explained(df)
+        windows = re.findall(r"windowspecdefinition\(([^)]*)", plan)
+        assert windows and all(w.startswith("_part") for w in windows), windows
+
+
 def test_discarded_tables_are_gone(spark):
     from pathlib import Path
 
