@@ -105,15 +105,12 @@ class ItemIndex:
 
     def near(self, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all pairs of these windows of n words and items of n words within RADIUS."""
-        width, at, found = BITS // BLOCKS, [], []
-        for b in range(BLOCKS):
-            key = (prints >> U64(b * width)) & U64((1 << width) - 1) | U64(b << width | n << (width + 8))
-            lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
-            size = hi - lo
-            w = np.repeat(np.arange(len(key)), size)
-            at.append(w)
-            found.append(self.items[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(len(w))])
-        at, found = np.concatenate(at), np.concatenate(found)
+        width, b = BITS // BLOCKS, np.arange(BLOCKS, dtype=U64)
+        key = ((prints[:, None] >> (b * U64(width))) & U64((1 << width) - 1) | b << U64(width) | U64(n << (width + 8))).ravel()
+        lo = np.searchsorted(self.keys, key)
+        size = np.searchsorted(self.keys, key, "right") - lo
+        at = np.repeat(np.arange(len(key)) // BLOCKS, size)
+        found = self.items[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(len(at))]
         pairs = np.unique(at * np.int64(len(self.ids)) + found)
         at, found = pairs // len(self.ids), pairs % len(self.ids)
         close = np.bitwise_count(prints[at] ^ self.prints[found]) <= RADIUS
@@ -201,6 +198,12 @@ class Filter:
         at = sh & U64(64 * len(self.bits[k]) - 1)
         return (self.bits[k][(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) != 0
 
+    def least(self, k: int, sizes: np.ndarray) -> np.ndarray:
+        """How many known shingles documents of these sizes have at least, if there is a place in them."""
+        share, low, high = 2 * self.threshold / (1 + self.threshold), self.spans[k][0][0], self.spans[k][-1][1]
+        window = max(1, math.ceil(share * low - 1e-9))
+        return np.where(sizes < high, np.minimum(window, np.maximum(1, np.ceil(self.threshold * sizes - 1e-9))), window)
+
     def regions(self, k: int, hit: np.ndarray) -> list[tuple[int, int]]:
         """Of a document, by which shingles may be known: intervals that hold all windows with enough of them."""
         n, count = len(hit), np.concatenate([[0], np.cumsum(hit)])
@@ -243,7 +246,7 @@ def item_filter(items: DataFrame, k: int, threshold: float) -> Filter | None:
             buckets.append((span, span))
     if not spans:
         return None
-    size = {own: 1 << min(BITMAP, max(12, (16 * n).bit_length())) for own, n in total.items()}
+    size = {own: 1 << min(BITMAP, max(22, (64 * n).bit_length())) for own, n in total.items()}
 
     def marked(batches):
         for b in blocks(batches, "t"):
@@ -279,7 +282,8 @@ def regions(docs: DataFrame, own: Filter, id_col: str = "doc_id", text_col: str
             for k in own.bits:
                 sh, offs = shingles(hashes, w.first, k)
                 hit = own.known(k, sh)
-                for d in np.unique(np.searchsorted(offs, np.flatnonzero(hit), "right") - 1).tolist():
+                count = np.concatenate([[0], np.cumsum(hit)])
+                for d in np.flatnonzero(np.diff(count[offs]) >= own.least(k, np.diff(offs))).tolist():
                     if w.counts[d] >= k:
                         n = int(offs[d + 1] - offs[d])
                         found += [(d, k, i, int(w.counts[d]), (i, j) == (0, n), sh[offs[d] + i : offs[d] + j].tobytes()) for i, j in own.regions(k, hit[offs[d] : offs[d + 1]])]
@@ -321,6 +325,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float =
         names = pa.array([chunk_.ids[j] for j in i], item_type) if got else pa.array([], item_type)
         return pa.table([left.column("id").combine_chunks().cast(id_type).take(pa.array(n, pa.int64())), names, pa.array(s, pa.float64()), pa.array([-a for a in at], pa.int64()), pa.array(words, pa.int64())], names=["id", "item", "similarity", "first_word", "n_words"])
 
+    left, right = (side.repartition(chunks * cells, "chunk", "cell") for side in (left, right))  # so many tasks, however few bytes
     found = table(left.groupBy("chunk", "cell").cogroup(right.groupBy("chunk", "cell")).applyInArrow(meet, schema), "leaks")
     discard(places)
     return found.withColumnsRenamed({"id": id_col, "item": item_col})
