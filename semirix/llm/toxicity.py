@@ -41,12 +41,11 @@ REPORT = frozenset("said says wrote writes called quote quoted quotes term word
 ADDRESS = frozenset("you your yourself du dich dein ihr sie tu te toi vous votre usted tú ti vosotros".split())
 
 
-def _codes(marks: str) -> np.ndarray:
-    return np.array(sorted(map(ord, marks)), np.uint32)
-
-
-_OPENING, _CLOSING = _codes(OPENING), _codes(CLOSING)
-_FOLD = np.zeros(128, np.uint32)
+#: Code point (from the last on, all others) -> 1 opens, 2 closes, 4 space, or a sum.
+_MARKS = np.zeros(0x2041, np.uint8)
+for _bit, _marks in ((1, OPENING), (2, CLOSING), (4, " \t\n\r\x00\x0b\x0c")):
+    _MARKS[[ord(c) for c in _marks]] += _bit
+_FOLD = np.zeros(129, np.uint32)
 _FOLD[[ord(c) for c in LOOKS]] = [ord(c) for c in LOOKS.values()]
 
 
@@ -60,8 +59,7 @@ def folded(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     low = _classes()[raw]
     word = low > 2
-    sign = np.flatnonzero(raw < 128)
-    sign = sign[_FOLD[raw[sign]] > 0]
+    sign = np.flatnonzero((_FOLD > 0)[np.minimum(raw, 128).astype(np.uint8)])
     if len(sign):  # runs of at most two, with a letter behind
         run = np.cumsum(np.diff(sign, prepend=-2) > 1) - 1
         size, last = np.bincount(run), sign[np.flatnonzero(np.diff(run, append=-1))]
@@ -258,12 +256,12 @@ class ToxicityModel:
             flag = np.cumsum(flag)
             beside.append(flag[b] > flag[a])
         # the nearest marks on either side
-        mark = np.flatnonzero(np.isin(raw, np.union1d(_OPENING, _CLOSING)))
+        role = _MARKS[np.minimum(raw, len(_MARKS) - 1)]
+        mark = np.flatnonzero(role & 3)
         quoted = np.zeros(len(hits), bool)
         if len(mark):
-            space = ~word & np.isin(raw, _codes(" \t\n\r\x00\x0b\x0c"))
-            opens = np.isin(raw[mark], _OPENING) & ~space[np.minimum(mark + 1, len(raw) - 1)] & ((mark == 0) | ~word[mark - 1])
-            closes = np.isin(raw[mark], _CLOSING) & (mark > 0) & ~space[mark - 1]
+            opens = (role[mark] & 1 > 0) & (role[np.minimum(mark + 1, len(raw) - 1)] != 4) & ((mark == 0) | ~word[mark - 1])
+            closes = (role[mark] & 2 > 0) & (mark > 0) & (role[mark - 1] != 4)
             left, right = np.searchsorted(mark, starts[hits]) - 1, np.searchsorted(mark, ends[hits])
             begin, end = np.maximum(starts[a] - 1, offs[owner]), ends[b - 1]
             has_left = (left >= 0) & (mark[np.maximum(left, 0)] >= begin) & opens[np.maximum(left, 0)]
