@@ -315,7 +315,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
         return rows.select(F.col("id").alias(id_col), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("cross_entropy"), F.lit(False).alias("accepted"))
 
     def run(batches):
-        for b in blocks(batches):
+        for b in blocks(batches, size=1 << 17):  # what a step holds stays in the processor's cache
             best, score, low, ok = model.predict(pc.fill_null(b.column("text"), "").to_pylist())
             has = b.column("letters").to_numpy(zero_copy_only=False)
             names = [model.languages[i] if x else UND for i, x in zip(best, has, strict=True)]
