@@ -8,8 +8,9 @@ languages that of all documents. A fence is the upper (lower) quartile plus (min
 least ``MARGIN``. The documents are then joined with the fences of their group; the fences side has one row for each
 language and source, and Spark broadcasts it only where its measured size allows.
 
-Defined results: a null text is the empty text: it has no words and fails the base rules. Null language or source form
-a group of their own. Repeated rows give repeated results; only the named columns are read.
+Defined results: a null text is the empty text: it has no words and fails the base rules. A null language or source counts as
+the empty one. Repeated rows give repeated results; only the named columns are read. ``min_rows`` decides whose fences a small group has:
+quartiles of fewer documents say little, so these documents are held against the next wider group, and none is left out.
 """
 
 from __future__ import annotations
@@ -89,11 +90,10 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 def fences(sketch: DataFrame, min_rows: int = 30) -> DataFrame:
     """lang, source, and for each measure its fence (len_c: two), from the smallest level with ``min_rows`` documents."""
-    every = F.lit("*")
-    levels = sketch.select(F.lit(0).alias("level"), F.col("lang").alias("g1"), F.col("source").alias("g2"), "measure", "bucket", "n")
-    levels = levels.unionByName(sketch.select(F.lit(1).alias("level"), F.col("lang").alias("g1"), every.alias("g2"), "measure", "bucket", "n"))
-    levels = levels.unionByName(sketch.select(F.lit(2).alias("level"), every.alias("g1"), every.alias("g2"), "measure", "bucket", "n"))
-    merged = levels.groupBy("level", "g1", "g2", "measure", "bucket").agg(F.sum("n").alias("n"))
+    names = ("lang", "source", "measure", "bucket")
+    merged = sketch.groupingSets([names, ("lang", "measure", "bucket"), ("measure", "bucket")], *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("out"))  # the sketches are read once
+    level = F.when(F.col("out") == 0, 0).when(F.col("out") == 4, 1).otherwise(2)
+    merged = merged.select(level.alias("level"), F.when(level < 2, F.col("lang")).otherwise("*").alias("g1"), F.when(level < 1, F.col("source")).otherwise("*").alias("g2"), "measure", "bucket", "n")
     w = Window.partitionBy("level", "g1", "g2", "measure")
     ranked = merged.withColumn("below", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
     low, high = F.min(F.when(F.col("below") * 4 >= F.col("total"), F.col("bucket"))), F.min(F.when(F.col("below") * 4 >= F.col("total") * 3, F.col("bucket")))

@@ -34,6 +34,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether it stays within the fences of its language and source."""
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
 
 

@@ -8,20 +8,24 @@ loss. The pieces go, longest first, to the fullest sequence that still holds the
 A row of the result is a row of the id matrix: ids (little-endian, padded to ``length``), cumulative segment lengths, the
 places where positions restart at 0 (the segments' starts), and which part of which document each segment is.
 
+``write`` puts them into flat files that a trainer maps into memory.
+
 Defined results: a null or empty text is its end id alone. Null ids of documents are carried. Repeated rows are packed each.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semirix.llm._store import table
 from semirix.llm._text import blocks
+from semirix.sources.binary import _at
 from semirix.llm.tokens import ended, shards, tokenizer
 
 
@@ -112,10 +116,48 @@ def pack(docs: DataFrame, path: str, pattern: str | None, last: int, length: int
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def write(packed: DataFrame, path: str) -> None:
-    """The matrices as Parquet: fixed rows of ids, with the segment columns beside them."""
-    packed.write.mode("errorifexists").parquet(path)
+def write(packed: DataFrame, path: str) -> DataFrame:
+    """The matrices as flat little-endian files, to be mapped into memory; (part, sequences, tokens) of each part.
 
+    A part has ``NNNNNN.ids`` (the rows of ids one after the other, 2 or 4 bytes each), ``NNNNNN.lengths`` (int32: the cumulative segment lengths
+    of all rows, each from 0 on; without its last one a row's are the places where positions restart) and ``NNNNNN.rows`` (int64: where each
+    row's begin in these, and where the last ends). A task writes under other names first, so one that is lost or runs twice leaves no half;
+    an existing folder is an error. ``path`` is a folder that all executors share, or a URI that Arrow knows.
+    """
+    system, name = _at(path)
+    system.create_dir(name, recursive=True)
+    if system.get_file_info(fs.FileSelector(name)):
+        raise FileExistsError(path)
 
-def checksum(ids: bytes) -> int:
-    return zlib.crc32(ids)
+    def run(batches):
+        task, (system, name) = TaskContext.get(), _at(path)
+        own, rows, tokens = f"{name}/.{task.partitionId()}-{task.taskAttemptId()}", [np.zeros(1, np.int64)], 0
+        with system.open_output_stream(own + ".ids") as ids, system.open_output_stream(own + ".lengths") as lengths:
+            for b in batches:
+                for x in b.column("ids"):
+                    ids.write(x.as_buffer())
+                cu = b.column("cu_seqlens")
+                lengths.write(cu.flatten().to_numpy().astype("<i4").tobytes())
+                rows.append(rows[-1][-1] + np.cumsum(pc.list_value_length(cu).to_numpy().astype(np.int64)))
+                tokens += int(b.column("n_tokens").to_numpy().sum())
+        at = np.concatenate(rows)
+        with system.open_output_stream(own + ".rows") as out:
+            out.write(at.astype("<i8").tobytes())
+        for kind in ("ids", "lengths", "rows"):
+            if len(at) > 1:
+                system.move(f"{own}.{kind}", f"{name}/{task.partitionId():06}.{kind}")
+            else:
+                system.delete_file(f"{own}.{kind}")
+        if len(at) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([len(at) - 1], pa.int64()), pa.array([tokens], pa.int64())], ["part", "sequences", "tokens"])
+
+    return table(packed.select("ids", "cu_seqlens", "n_tokens").mapInArrow(run, "part long, sequences long, tokens long"), "parts")
+
+
+def read(path: str, part: int, length: int = 4096) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The id matrix of a part in a local folder, mapped, and each row's cumulative segment lengths."""
+    base = f"{path}/{part:06}"
+    rows, lengths = np.fromfile(f"{base}.rows", "<i8"), np.fromfile(f"{base}.lengths", "<i4")
+    ids = np.memmap(f"{base}.ids", np.uint8, "r")
+    width = len(ids) // (length * (len(rows) - 1))
+    return ids.view(f"<u{width}").reshape(-1, length), [lengths[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)]

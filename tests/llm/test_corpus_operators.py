@@ -388,6 +388,26 @@ def test_token_output_round_trip(spark):
     assert token_output.pack(frame(spark, texts).filter("false"), BYTE, public_tokenizers.PATTERN, 50256).count() == 0
 
 
+def test_binary_output_round_trip(spark, tmp_path):
+    texts = [t for t in corpus() if t is None or len(t) < 5000]
+    packed = token_output.pack(frame(spark, texts).repartition(3), BYTE, public_tokenizers.PATTERN, 50256, length=300, shard=5000)
+    expected = defaultdict(list)
+    for r in sorted(packed.collect(), key=lambda r: r["sequence_id"]):
+        expected[r["sequence_id"] >> 40].append(r)
+    at = str(tmp_path / "tokens")
+    parts = token_output.write(packed, at).collect()
+    assert sum(r["sequences"] for r in parts) == sum(map(len, expected.values()))
+    for r in parts:
+        ids, cu = token_output.read(at, r["part"], 300)
+        own = expected[r["part"]]
+        assert ids.shape == (len(own), 300) and r["tokens"] == sum(int(c[-1]) for c in cu)
+        assert [x.tobytes() for x in ids] == [bytes(o["ids"]) for o in own] and [c.tolist() for c in cu] == [o["cu_seqlens"] for o in own]
+        assert [c[:-1].tolist() for c in cu] == [o["position_resets"] for o in own]
+    with pytest.raises(FileExistsError):
+        token_output.write(packed, at)
+    assert token_output.write(packed.filter("false"), str(tmp_path / "none")).count() == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=60))
 def test_best_fit_decreasing(sizes):
@@ -416,6 +436,30 @@ def test_licenses(spark):
     assert license_scan.scan(df.filter("false")).count() == 0
 
 
+def test_root_and_repeated_and_long_files(spark):
+    """The root's licence reaches all that nothing nearer covers; repeated rows each; a very long file with a header at its end."""
+    mit = dict(license_scan.TEMPLATES[3:6])["MIT"]
+    long = "word and another " * 400_000 + "\nLicensed under CC BY 4.0."
+    files = [("LICENSE", mit), ("LICENSE", mit), ("a/x.py", "code"), ("a/x.py", "code"), ("a/b/COPYING", "All rights reserved."), ("a/b/y.py", "more"), ("a/b/c/long.txt", long), (None, "plain"), ("top.py", "")]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["via"], r["from_directory"]) for r in license_scan.scan(df).collect()}
+    assert got[2] == got[3] == ("MIT", "inherited", "") and got[8] == ("MIT", "inherited", "") and got[7] == (None, None, None)
+    assert got[0][0] == got[1][0] == "MIT" and got[5] == ("all-rights-reserved", "inherited", "a/b") and got[6] == ("CC-BY-4.0", "header", None)
+
+
+def test_licence_files_by_their_text(spark):
+    """Whole texts and titles of licence files, under any name, with another owner and wrap."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i, (name, t) in enumerate(license_scan.TEMPLATES):
+        if len(t) > 120:
+            rows.append((i, f"p{i}/NOTES.txt", f"Copyright (c) 2019 Some Owner\n\n{textwrap.fill(t, 60)}\n"))
+    rows += [(1000 + i, f"q{i}/g.c", " ".join(words(rng, 300))) for i in range(100)]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    told = [got[i] == name for i, (name, t) in enumerate(license_scan.TEMPLATES) if i in got]
+    assert np.mean(told) == 1.0 and not any(v for i, v in got.items() if i >= 1000)
+
+
 def test_wrapped_headers_inside_long_files(spark):
     """Standard notices at several wraps, as comments in files whose body is too long for the whole text's cosine."""
     rng = np.random.default_rng(4)
@@ -616,6 +660,15 @@ def test_pipeline(spark, tmp_path):
         assert sum(r["length"] for r in own) == own[0]["doc_tokens"] == len(reference_ids(texts[i]))
 
 
+def test_near_copies_with_clashing_columns(spark):
+    """Columns named as the stage's own, and one with a dot: they come back as they were."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _copy string, copy string, c0 string, kept boolean, `a.b` int"
+    rows = [(1, "a b c d e f g", "en", "s", 13, "mine", "too", "x", False, 5), (1, "a b c d e f g", "en", "s", 13, "mine", "too", "x", False, 5), (2, "p q", None, None, None, None, None, None, None, None)]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_copy", "copy", "c0", "kept", "a.b"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted({tuple(r) for r in rows}, key=str)
+
+
 def test_pipeline_repeated_rows_and_empty_tables(spark, tmp_path):
     a = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (2, "p q", None, None, None), (None, "x y", "en", "s", 3), (None, "x y", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(r["doc_id"]) for r in corpus_pipeline.drop_near_copies(spark, a, "").collect()) == ["1", "2", "None", "None"]
