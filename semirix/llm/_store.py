@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semirix.runtime import discard, table, work_dir
 
-__all__ = ["bucket", "discard", "majority", "sampled", "table", "within", "work_dir"]
+__all__ = ["bucket", "discard", "labelled_texts", "majority", "sampled", "table", "work_dir"]
 
 
 def bucket(column: str | Column, n: int) -> Column:
@@ -41,8 +43,32 @@ def majority(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return rows.groupBy("_id").agg(F.avg("_y").alias("_y")).filter("_y <> 0.5").select("_id", (F.col("_y") > 0.5).cast("int").alias("_y"))
 
 
-def within(df: DataFrame, stratum: str, size: Column, most: int, least: int) -> DataFrame:
-    """Rows of a bounded sample whose ``size`` sums to ``most`` at most by stratum, in the order of ``_draw``; ``least`` rows stay anyway."""
-    w = Window.partitionBy(stratum).orderBy("_draw")
-    kept = df.withColumns({"_before": F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_rank": F.row_number().over(w)})
-    return kept.filter((F.col("_before") <= most) | (F.col("_rank") <= least)).drop("_before", "_rank")
+def labelled_texts(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str, class_chars: int, least: int) -> DataFrame:
+    """(_id, _y, _text) of the sampled labels ``parts`` (_id, _y, _draw), one row for each id that has a text, written.
+
+    Whole texts, whose characters sum to ``class_chars`` at most in each class in the order of ``_draw``; ``least`` rows of each stay anyway.
+    Texts aren't shuffled: a task hands on the first row of each id that it meets, so an id of any number of rows costs one for each task, and which
+    rows stay is found out on the ids and lengths alone.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        seen, place = set(), TaskContext.get().partitionId() << 33
+        for b in batches:
+            fresh = [i for i, x in enumerate(b.column("_id").to_pylist()) if not (x in seen or seen.add(x))]
+            if fresh:
+                own = b.take(pa.array(fresh))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(range(place, place + len(fresh)), pa.int64())], ["_id", "_y", "_draw", "_text", "_place"])
+                place += len(fresh)
+
+    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
+    found = text.join(F.broadcast(parts), "_id").select("_id", "_y", "_draw", "_text")
+    found = table(found.mapInArrow(run, f"_id {kind}, _y int, _draw long, _text string, _place long"), "labelled")
+    light = found.select("_id", "_y", "_draw", "_place", F.length("_text").alias("_size"))
+    light = light.withColumn("_copy", F.row_number().over(Window.partitionBy("_id").orderBy("_place"))).filter("_copy = 1")
+    w = Window.partitionBy("_y").orderBy("_draw")
+    light = light.withColumns({"_sum": F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_rank": F.row_number().over(w)})
+    places = light.filter((F.col("_sum") <= class_chars) | (F.col("_rank") <= least)).select("_place")  # rows of ``parts`` at most
+    out = found.join(F.broadcast(places), "_place", "left_semi").select("_id", "_y", "_text")
+    out._semirix_path = found._semirix_path
+    return out

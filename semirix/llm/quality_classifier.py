@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semirix.llm._store import majority, sampled, within
+from semirix.llm._store import discard, labelled_texts, majority, sampled
 from semirix.llm._text import blocks
 
 LEVEL = 3
@@ -108,10 +108,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, te
     The labels are sampled first, so what is broadcast to the documents has ``per_class`` rows of each class.
     """
     parts = sampled(majority(labels, id_col, label_col), F.col("_y"), "_id", per_class).select("_id", "_y", "_draw")
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    found = text.join(F.broadcast(parts), "_id").dropDuplicates(["_id"])
-    got = within(found, "_y", F.length("_text"), class_chars, least).select("_draw", "_y", "_text").collect()
-    return [(y, t) for _, y, t in sorted(tuple(r) for r in got)]
+    found = labelled_texts(docs, parts, id_col, text_col, class_chars, least)
+    got = sorted(((r["_id"], r["_y"], r["_text"]) for r in found.collect()), key=lambda r: (str(r[0]), r[1]))
+    discard(found)
+    return [(y, t) for _, y, t in got]
 
 
 def train(

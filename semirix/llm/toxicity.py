@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semirix.llm._store import discard, majority, sampled, table, within
+from semirix.llm._store import discard, labelled_texts, majority, sampled
 from semirix.llm._text import blocks
 from semirix.llm.language_id import _classes
 from semirix.llm.quality_classifier import logistic
@@ -333,9 +333,7 @@ def train(
     rows = majority(labels, id_col, label_col)
     parts = sampled(rows.filter("_y = 1"), F.col("_y"), "_id", toxic_rows).select("_id", "_y", "_draw")
     parts = parts.unionByName(sampled(rows.filter("_y = 0"), F.col("_y"), "_id", clean_rows).select("_id", "_y", "_draw"))
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull())
-    found = text.join(F.broadcast(parts), "_id").dropDuplicates(["_id"])  # toxic_rows + clean_rows at most
-    sample = table(within(found, "_y", F.length("_text"), class_chars, least).select("_id", "_y", "_text"), "toxic-sample")
+    sample = labelled_texts(docs, parts, id_col, text_col, class_chars, least)
     n = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     if not n.get(1) or not n.get(0):
         discard(sample)

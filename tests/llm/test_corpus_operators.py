@@ -627,6 +627,70 @@ def test_candidates_and_forest_on_generated_sentences(spark):
     assert np.mean([i in found for i, r in enumerate(rows) if not r[4]]) < 0.05
 
 
+CLASHES = ("id", "_id", "_text", "_y", "_lang", "_draw", "_stratum", "t", "k", "n", "x", "a", "b", "leaf", "low", "salt", "ids", "row", "first", "words", "whole", "shingles", "cell", "chunk", "sig", "f1", "root", "key", "slot", "license", "directory", "above", "value", "start", "length", "word", "measure", "bucket", "kept", "score", "predicted", "lang_pred", "seed", "c0", "c1", "part")
+
+
+def awkward(spark):
+    """Nulls in any column, empty and repeated rows, ties, one very long text, and columns named as the operators' own."""
+    rng = np.random.default_rng(17)
+    long = " ".join(words(rng, 150_000)) + " token = \"9f86d081884c7d659a2feaa0c55ad015a3bf4f1b\""
+    plain = [" ".join(words(rng, 40)) for _ in range(12)]
+    texts = [*plain, plain[0], plain[0], plain[3] + " more", None, "", " \n\t ", "a", "Licensed under CC BY 4.0.", long]
+    rows = [(i, t, "en" if i % 3 else None, "s" if i % 4 else None, len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[2], rows[2], rows[15], (None, plain[5], "en", None, None), (None, plain[5], "en", None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.select("*", *[F.lit("clash").alias(c) for c in CLASHES]), rows
+
+
+def results(spark, docs):
+    """Each operator's rows, with the number that it must have (None: it finds, so any)."""
+    from semirix.llm import language_id, quality_classifier, quality_rules, toxicity
+
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(12)] + [(3, 0, 0), (3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    items = spark.createDataFrame([(1, "some words of an item"), (None, None), (2, "")], "item_id long, text string").withColumn("doc_id", F.lit(7))
+    n = docs.count()
+    model = language_id.train(docs)
+    yield "op1", language_id.identify(docs, model), n
+    yield "op2", quality_rules.quality_rules(docs), n
+    yield "op3", quality_classifier.classify(docs, quality_classifier.train(docs, labels)), n
+    yield "op4", token_output.pack(docs, BYTE, public_tokenizers.PATTERN, 50256), None
+    yield "op5", decontamination.leaks(docs, items), None
+    yield "op6", toxicity.score(docs, toxicity.train(docs, labels)), n
+    yield "op7", minhash_dedup.groups(docs, 4), n
+    yield "op8", lexical_packing.pack(docs, WORD, 2, length=512, shard=20_000), None
+    yield "op9", license_scan.scan(docs.withColumn("path", F.concat_ws("/", "source", "lang"))), n
+    yield "op10", secret_scan.scan(docs), None
+    yield "redact", secret_scan.redact(docs), n
+
+
+def test_awkward_tables(spark):
+    """Nothing crashes, every row has its result, and equal rows have equal results."""
+    docs, rows = awkward(spark)
+    for name, out, count in results(spark, docs):
+        got = out.collect()
+        assert count is None or len(got) == count, name
+        if count and "doc_id" in out.columns:
+            assert sorted((r["doc_id"] for r in got), key=str) == sorted((r[0] for r in rows), key=str), name
+            same = [str(r) for r in got if r["doc_id"] == 2]
+            assert len(same) == 3 and len(set(same)) == 1, name
+            alike = {str(r).replace(f"doc_id={r['doc_id']}", "") for r in got if r["doc_id"] in (12, 13)} if name not in ("op7", "op9", "op2", "redact") else {""}
+            assert len(alike) == 1, name
+        if name == "op4":
+            assert sum(len(r["doc_ids"]) for r in got) >= len(rows) and sum(d is None for r in got for d in r["doc_ids"]) == 3
+        if name == "op8":
+            assert sum(r["length"] for r in got) == sum(len(reference_ids(t)) for _, t, *_ in rows)
+        if name == "op10":
+            assert [(r["doc_id"], r["is_secret"]) for r in got if r["value"].startswith("9f86")] == [(20, True)]
+        if name == "redact":
+            assert out.columns == docs.columns and {r["seed"] for r in got} == {"clash"} and not any("9f86d081" in (r["text"] or "") for r in got)
+
+
+def test_empty_tables(spark):
+    docs, _ = awkward(spark)
+    for name, out, _ in results(spark, docs.filter("false")):
+        assert out.count() == 0, name
+
+
 def tables(spark, path, texts, items, extra=False):
     frame(spark, texts, extra).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
