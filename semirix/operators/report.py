@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The shapes of the log lines.
@@ -47,6 +47,16 @@ def megabytes(v: str | Column) -> Column:
     return fixed(c / 1e6, 1)
 
 
+def listed(groups: dict[str, DataFrame]) -> DataFrame:
+    """Lists of datasets (key, label, nnz, each in the order of ``ord``) one after the other: with their group, numbered from 1."""
+    out = None
+    for i, (name, rows) in enumerate(groups.items()):
+        own = rows.select("key", "label", "nnz", F.lit(name).alias("grp"), F.lit(i).alias("_list"), F.col("ord").alias("_ord"))
+        out = own if out is None else out.unionByName(own)
+    at = F.row_number().over(Window.orderBy("_list", "_ord", "key"))  # a table's rows: few
+    return out.select(at.alias("ord"), "grp", "key", "label", "nnz")
+
+
 def structure(blocks: DataFrame) -> DataFrame:
     """Each key's first structure line: depth, width, total, raw, passed, emissions, terminal emissions."""
     names = ("depth", "width", "total", "raw", "passed", "emissions", "terminal_emissions")

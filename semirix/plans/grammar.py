@@ -195,6 +195,11 @@ class GrammarMatrix:
         """(code, id): the codes in use, numbered from 1 in ascending order."""
         return ranked(self.terminals().select("code").distinct(), ["code"], "id", 1)
 
+    def compaction_ratio(self) -> DataFrame:
+        """One row: all codes, those in use (both with the delimiter), and the share kept in per cent."""
+        used = self.terminals().select("code").distinct().agg((F.count(F.lit(1)) + 1).alias("used"))
+        return used.select(F.lit(self.alpha).cast("long").alias("codes"), "used", (100.0 * F.col("used") / self.alpha).alias("kept_pct"))
+
     def stats(self) -> DataFrame:
         """One row: depth, greatest width, layered rules, rules, pass-throughs, emissions, terminal emissions, codes in use, device bytes."""
         sched = table(self.schedule(), "schedule")

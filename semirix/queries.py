@@ -305,6 +305,11 @@ def grammar_compaction(spark: SparkSession, d: str) -> DataFrame:
     return _parts(spark, d).compaction()
 
 
+@_query(f"{_SLOTS} select {_PA}::bigint as codes, (select count(*) + 1 from cd) as used, 100.0::double * (select count(*) + 1 from cd) / {_PA} as kept_pct")
+def grammar_compaction_ratio(spark: SparkSession, d: str) -> DataFrame:
+    return _parts(spark, d).compaction_ratio()
+
+
 # what each symbol expands to: the codes with how often they occur; paths go down one level at a time
 _PATHS = f"with recursive {_R}, {_TOP}, q(sym, c, m) as (select sym, c, m from (select sym, l as c, rep as m from r union all select sym, r, 1 from r where r is not null) union all select q.sym, e.c, q.m * e.m from q join (select sym, l as c, rep as m from r union all select sym, r, 1 from r where r is not null) e on e.sym = q.c), x as (select sym, c as code, sum(m) as m from q where c < {_PA} group by 1, 2 union all select code, code, 1 from range(1, {_PA}) v(code)), cell as (select row, (code - 1) % {views.PART_COLS} as col, case (code - 1) // {views.PART_COLS} when 0 then 1.0 else 3.0 end as val, m from t join x using (sym))"
 _PARTX = "id * 5 % 9 - 3"
@@ -597,6 +602,20 @@ def verify_maxrel(spark: SparkSession, d: str) -> DataFrame:
     return verify.compare(off, y).withColumn("max_rel", F.round("max_rel", 9)).withColumn("max_a", F.ceil("max_a").cast("double"))
 
 
+@_query(f"select count(*) as n, 0::bigint as unmatched, 0.5::double as max_abs, round(max(0.5::double / (1 + y)), 9) as max_rel, max(y)::double as max_a, count(*) filter (row % 2 = 0) as mismatches, false as passed from ({_PLUS}) where row < 2000")
+def verify_first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The same comparison of the first 2000 rows only."""
+    y = spmv_plustimes(spark, d)
+    off = y.withColumn("y", F.when(F.col("row") % 2 == 0, F.col("y") - 0.5).otherwise(F.col("y").cast("double")))
+    return verify.compare(off, y, first_rows=2000).withColumn("max_rel", F.round("max_rel", 9)).withColumn("max_a", F.ceil("max_a").cast("double"))
+
+
+@_query(f"select row, least(y * 1e6, 1e9)::double as y from ({_PLUS})")
+def verify_clipped(spark: SparkSession, d: str) -> DataFrame:
+    """Results with what is above the stand-in for infinity as that."""
+    return verify.clipped(spmv_plustimes(spark, d).withColumn("y", F.col("y") * 1e6))
+
+
 @_query(f"select count(*) as n, 0::bigint as unmatched, 0.0::double as max_abs, 0.0::double as max_rel, 1.0::double as max_a, 0::bigint as mismatches, true as passed from ({_BOOL})")
 def verify_mismatch(spark: SparkSession, d: str) -> DataFrame:
     """Path counts as bits against the Boolean product."""
@@ -667,6 +686,13 @@ def _config(spark: SparkSession, d: str) -> DataFrame:
     return f.select(F.col("k").cast("int").alias("ord"), F.concat(F.lit("group "), (F.col("nat") % 2).cast("string")).alias("grp"), F.concat(F.lit("s"), "k").alias("key"), F.concat(F.lit("S"), "k").alias("label"), (F.col("n") * 100).alias("nnz"), (F.col("k") == 7).alias("crossover"))
 
 
+@_query(f"with {_FACTS}, l as (select 0 as i, 'even' as grp, * from f where nat % 2 = 0 union all select 1, 'odd', * from f where nat % 2 = 1) select row_number() over (order by i, k)::int as ord, grp, 's' || k as key, 'S' || k as label, n * 100 as nnz from l")
+def dataset_list(spark: SparkSession, d: str) -> DataFrame:
+    """Two lists of datasets, one after the other."""
+    f = views.supplier_facts(spark, d).select("nat", F.col("k").alias("ord"), F.concat(F.lit("s"), "k").alias("key"), F.concat(F.lit("S"), "k").alias("label"), (F.col("n") * 100).alias("nnz"))
+    return report.listed({"even": f.filter("nat % 2 = 0"), "odd": f.filter("nat % 2 = 1")})
+
+
 @_query(f"with {_FACTS} select 'nation' || nat as file, 's' || k as key, k * 100 + 9 as n, '--- LIBRARY ---' as line from f union all select 'nation' || nat, 's' || k, k * 100 + 3, 'MEM analytic bytes: ' || (q * 1000) from f union all select 'nation' || nat, 's' || k, k * 100 + 19, ' >> REANS size: ' || (c * 500) || ' bytes' from f")
 def log_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Three lines of every block with the block's key; the lines above the first block are in none."""

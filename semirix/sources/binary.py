@@ -39,6 +39,20 @@ def _files(path: str) -> list[tuple[str, int]]:
     return [(f"{path.rstrip('/')}/{f.base_name}", f.size) for f in sorted(found, key=lambda f: f.base_name)]
 
 
+def stale(path: str, *sources: str) -> bool:
+    """Whether what was built from ``sources`` has to be built again: it isn't there, or a source is newer than its oldest file."""
+
+    def times(p: str) -> list:
+        system, name = _at(p)
+        info = system.get_file_info(name)
+        if info.type == fs.FileType.NotFound:
+            return []
+        return [info.mtime] if info.type == fs.FileType.File else [f.mtime for f in system.get_file_info(fs.FileSelector(name, recursive=True)) if f.is_file]
+
+    built = times(path)
+    return not built or any(t > min(built) for s in sources for t in times(s))
+
+
 def read_array(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(idx, value) of an array of ``kind``. Bytes at a file's end that are no whole record are an error."""
     dtype, name = KINDS[kind]

@@ -101,6 +101,41 @@ def test_files(spark, tmp_path):
     assert [r["value"] for r in binary.read_array(spark, f"{base}.y", "f64").orderBy("idx").collect()] == [y for _, y in got]
 
 
+def test_arrays_in_pieces_and_folders(spark, tmp_path, monkeypatch):
+    """Any piece size gives the same records; a folder's files follow each other; odd bytes and existing folders are errors."""
+    import os
+
+    values = np.arange(1000, dtype="<i4") * 3 - 7
+    monkeypatch.setattr(binary, "CHUNK", 64)
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    values.tofile(one)
+    binary.write_array(spark.createDataFrame(list(enumerate(values.tolist())), "i long, v long").repartition(7), "i", "v", "i32", many)
+    for path in (one, many):
+        assert [tuple(r) for r in binary.read_array(spark, path, "i32").orderBy("idx").collect()] == list(enumerate(values.tolist()))
+    with pytest.raises(FileExistsError):
+        binary.write_array(spark.range(3), "id", "id", "i32", many)
+    (tmp_path / "odd").write_bytes(b"12345")
+    with pytest.raises(ValueError):
+        binary.read_array(spark, str(tmp_path / "odd"), "i32")
+    with pytest.raises(FileNotFoundError):
+        binary.read_array(spark, str(tmp_path / "none"), "i32")
+    (tmp_path / "empty").write_bytes(b"")
+    assert binary.read_array(spark, str(tmp_path / "empty"), "f64").count() == 0
+    assert binary.stale(str(tmp_path / "none"), one) and not binary.stale(many, str(tmp_path / "none"))
+    os.utime(one, (2**31, 2**31))
+    assert binary.stale(many, one) and not binary.stale(one, many)
+
+
+def test_random_vectors_are_the_same_in_any_run(spark):
+    from semirix.plans.matrix import random_vector
+
+    for name, fits in (("plustimes", lambda v: 0 <= v < 1), ("boolean", lambda v: v in (0, 1)), ("tropical", lambda v: v == 1e9 or 0 <= v < 100)):
+        got = [r["x"] for r in random_vector(spark, 500, name).orderBy("col").collect()]
+        assert len(got) == 500 and all(map(fits, got)) and got == [r["x"] for r in random_vector(spark, 500, name).repartition(3).orderBy("col").collect()]
+        assert got != [r["x"] for r in random_vector(spark, 500, name, 5).orderBy("col").collect()]
+    assert 0.02 < np.mean([r["x"] == 1e9 for r in random_vector(spark, 2000, "tropical").collect()]) < 0.2
+
+
 def test_published_sizes(spark):
     one = spark.range(1)
     assert one.select(engine_bytes(*[__import__("pyspark").sql.functions.lit(v) for v in (119608, 1105720, 2, 100000, 2504, 146023, 881378, 227920)])).first()[0] == 25156520
