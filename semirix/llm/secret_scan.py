@@ -5,8 +5,8 @@ any other ``=`` parts a key from its value. A candidate of any characters, from
 assigned by ``=`` or ``:`` to a name with a word like password or token in it: up to the closing quotation mark, or without one to the
 next space, bracket, comma or ``&``; 200 bytes at most. Both are found on the bytes of whole texts. The features are
 length, changes of character class, entropy, shares of the classes, surprise under a model of character transitions, coverage by a
-dictionary, words of a placeholder, words of the path, and the words beside it. The transitions and the dictionary (its ``words``
-most frequent words of 4 to 12 letters) are counted over all documents by ``corpus``.
+dictionary, words of a placeholder, words of the path, and the words beside it. The transitions and the dictionary (the most frequent
+words of 4 to 12 letters) are counted over all documents by ``corpus``.
 
 The forest is trained here on labelled findings (value, before, after, path, label): ``train`` fits on those outside a fifth, by a hash, and
 gives the precision and recall on that fifth. Without any, a seeded generator writes findings of known kinds (keys, tokens, passwords,
@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semirix.llm._store import discard, sampled, table
 from semirix.llm._text import Words, blocks, buffers
 
 LEAST, LEAST_ASSIGNED = 16, 6
@@ -82,9 +83,10 @@ def common() -> Corpus:
 
 
 def corpus(docs: DataFrame, words: int = 20_000, text_col: str = "text", most: int = 500_000) -> Corpus:
-    """The ``words`` most frequent words of 4 to 12 letters (ties: in order) and all transitions of all documents.
+    """The most frequent words of 4 to 12 letters, ``words`` at most, and all transitions of all documents.
 
-    A task hands on what it has counted once it holds ``most`` different words; Spark adds up.
+    A task hands on what it has counted once it holds ``most`` different words; Spark adds up. Counts are compared by their six leading
+    bits, and words of one count go in all or not at all.
     """
 
     def run(batches):
@@ -109,15 +111,23 @@ def corpus(docs: DataFrame, words: int = 20_000, text_col: str = "text", most: i
                 held = {}
         yield out(held | {f"\x00{i}": n for i, n in enumerate(pairs.tolist()) if n})
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = table(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     is_pair = F.col("word").startswith("\x00")
     pairs = np.zeros(KINDS * KINDS)
-    rows = found.withColumn("pair", is_pair).orderBy(F.desc("pair"), F.desc("n"), "word").limit(words + KINDS * KINDS).collect()
-    for r in rows:
-        if r["pair"]:
-            pairs[int(r["word"][1:])] = r["n"]
-    counts = [(r["word"], r["n"]) for r in rows if not r["pair"]][:words]
-    return Corpus.of(dict(counts), pairs.reshape(KINDS, KINDS)) if counts else common()
+    for r in found.filter(is_pair).collect():
+        pairs[int(r["word"][1:])] = r["n"]
+    # counts to six significant bits: a few hundred different ones, so what comes to the driver is bounded at any number of words
+    shift = F.greatest(F.length(F.bin("n")) - 6, F.lit(0))
+    kept = found.filter(~is_pair).withColumn("shift", shift).select("word", F.expr("shiftleft(shiftright(n, shift), shift)").alias("size"))
+    least, total = None, 0
+    for r in kept.groupBy("size").count().orderBy(F.desc("size")).collect():
+        total += r["count"]
+        if total > words:
+            break
+        least = r["size"]
+    counts = {r["word"]: r["size"] for r in kept.filter(F.col("size") >= least).collect()} if least is not None else {}
+    discard(found)
+    return Corpus.of(counts, pairs.reshape(KINDS, KINDS)) if pairs.any() else common()
 
 
 def features(value: str, before: str, after: str, path: str, own: Corpus | None = None) -> list[float]:
@@ -295,8 +305,6 @@ def train(labelled: DataFrame | None = None, own: Corpus | None = None, per_clas
 
     A fifth, by a hash of the value, is kept out and measured: of the secrets how many are told, and of what is told how much is right.
     """
-    from semirix.llm._store import sampled
-
     own = own or common()
     if labelled is None:
         rows = findings(own=own)

@@ -603,8 +603,9 @@ def test_corpus_counts_all_documents(spark):
     texts = [t for t in corpus() if t is None or len(t) < 5000] + ["Apple apple PEAR", "apple"] * 3
     own = secret_scan.corpus(frame(spark, texts).repartition(3), words=10, most=7)
     found = [w.lower() for t in texts for w in re.findall(r"[A-Za-z]+", t or "") if 4 <= len(w) <= 12]
-    expected = sorted(set(found), key=lambda w: (-found.count(w), w))[:10]
-    assert set(expected) <= own.words and own.words - set(expected) <= secret_scan.COMMON and "apple" in own.words
+    least = min(n for n in {found.count(w) for w in found} if sum(found.count(w) >= n for w in set(found)) <= 10)
+    expected = {w for w in found if found.count(w) >= least}
+    assert expected <= own.words and own.words - expected <= secret_scan.COMMON and "apple" in expected and len(expected) <= 10
     assert np.allclose(np.exp(own.after).sum(axis=1), 1)
     assert secret_scan.corpus(frame(spark, texts).filter("false")).words == secret_scan.COMMON
 
