@@ -7,6 +7,7 @@ nanoseconds and not a Python object. Words are runs of bytes other than ASCII wh
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,8 +115,36 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(out), offs
 
 
+def release() -> None:
+    """Gives back to the system what a task has freed: a worker serves many tasks and stages, and would keep the most that any of them held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run):
+    """``run``, a function of batches, with ``release`` at its end."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``size`` bytes of text each; one row may be larger."""
+    try:
+        yield from _blocks(batches, column, size)
+    finally:
+        release()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from semirix.llm._store import discard, table
-from semirix.llm._text import blocks
+from semirix.llm._text import blocks, released
 from semirix.llm.tokens import ended, shards, tokenizer
 
 K1, B = 1.2, 0.75
@@ -136,7 +136,7 @@ def router(docs: DataFrame, path: str, last: int, shard: int, sample: int, patte
             x, _ = plain.vectors([np.frombuffer(i.as_buffer(), width) for i in b.column("ids")])
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), b.column("n")], ["x", "n"])
 
-    got = sorted(tuple(r) for r in some.select("n", "ids").mapInArrow(run, "x binary, n long").collect())
+    got = sorted(tuple(r) for r in some.select("n", "ids").mapInArrow(released(run), "x binary, n long").collect())
     discard(some)
     if not got:
         return plain
@@ -159,7 +159,7 @@ def encode(docs: DataFrame, path: str, last: int, route: Router | None = None, p
                 leaf = route.leaves(x)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(offs)), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(leaf), pa.array(low)], ["id", "n", "ids", "leaf", "low"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, ids binary, leaf long, low long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), f"id {kind}, n long, ids binary, leaf long, low long")
 
 
 def statistics(encoded: DataFrame, width: type) -> tuple[np.ndarray, int, float]:
@@ -176,7 +176,7 @@ def statistics(encoded: DataFrame, width: type) -> tuple[np.ndarray, int, float]
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "df"])
 
-    rows = encoded.select("ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # the vocabulary at most
+    rows = encoded.select("ids").mapInArrow(released(run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # the vocabulary at most
     out = np.zeros(int(rows["term"].max()) + 1 if len(rows) else 1, np.int64)
     out[rows["term"].to_numpy(np.int64)] = rows["df"]
     n, mean = encoded.agg(F.count(F.lit(1)), F.avg("n")).first()
@@ -320,7 +320,7 @@ def pack(docs: DataFrame, path: str, last: int, length: int = 4096, shard: int =
 
     order = ("leaf", "low", "salt")
     routed = encoded.withColumn("salt", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("id", "n", "ids")
-    out = routed.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = routed.mapInArrow(released(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -350,6 +350,6 @@ def search(docs: DataFrame, seeds: DataFrame, path: str, last: int, k: int = 10,
                     yield pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type), pa.array(c)], ["seed", "id", "score"])
 
     id_type = to_arrow_type(docs.schema[id_col].dataType)
-    found = encoded.select("id", "n", "ids").mapInArrow(run, f"seed {kind}, id {kind}, score double")
+    found = encoded.select("id", "n", "ids").mapInArrow(released(run), f"seed {kind}, id {kind}, score double")
     best = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "id"))
     return found.withColumn("_rank", best).filter(F.col("_rank") <= k).drop("_rank").withColumnRenamed("id", id_col)

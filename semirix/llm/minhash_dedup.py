@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semirix.llm._store import discard, table
-from semirix.llm._text import U64, Words, blocks, mix, shingles
+from semirix.llm._text import U64, Words, blocks, mix, released, shingles
 from semirix.llm.components import connected
 
 CHUNKS, WIDTH, ERRORS = 13, 5, 1
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())], ["id", "n", "f1", "f2", "sig"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary")
+    return rows.mapInArrow(released(run), "id long, n long, f1 long, f2 long, sig binary")
 
 
 def _buckets(distinct: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def _buckets(distinct: DataFrame) -> DataFrame:
                 offs = pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(offs, pa.array(keys.ravel()))], ["id", "keys"])
 
-    rows = distinct.select("id", "sig").mapInArrow(run, "id long, keys array<long>").select("id", F.posexplode("keys").alias("slot", "key"))
+    rows = distinct.select("id", "sig").mapInArrow(released(run), "id long, keys array<long>").select("id", F.posexplode("keys").alias("slot", "key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     found = rows.join(shared, "key", "left_semi")
     return table(found.join(distinct.select("id", "n", "sig"), "id"), "buckets")
@@ -135,7 +135,7 @@ def _starred(rows: DataFrame, rank, percent: int) -> DataFrame:
                 far = (_matrix(b.column("sig")) != _matrix(b.column("sig2"))).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(far <= RADIUS))
 
-    found = pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"), "sig", "sig2").mapInArrow(close, "a long, b long")
+    found = pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"), "sig", "sig2").mapInArrow(released(close), "a long, b long")
     return found.distinct().select("a", F.array("b").alias("bs"))
 
 
@@ -193,7 +193,7 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(np.concatenate([q for _, q in found])))], ["a", "bs"])
         return t.slice(stop)
 
-    return own.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, bs array<long>")
+    return own.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(released(run), "a long, bs array<long>")
 
 
 def _shares(x: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -216,7 +216,7 @@ def _by_pairs(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = [bool(_shares(np.frombuffer(x.as_buffer(), U64), [np.frombuffer(y.as_buffer(), U64)], percent)[0]) for x, y in zip(b.column("xa"), b.column("xb"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return full.select("a", "b", "xa", "xb").mapInArrow(verify, "a long, b long")
+    return full.select("a", "b", "xa", "xb").mapInArrow(released(verify), "a long, b long")
 
 
 def _by_blocks(near: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -257,7 +257,7 @@ def _by_blocks(near: DataFrame, sets: DataFrame, percent: int, parts: int) -> Da
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return own.unionAll(lists).repartition("x", "y").sortWithinPartitions("x", "y", "kind").mapInArrow(run, "a long, b long")
+    return own.unionAll(lists).repartition("x", "y").sortWithinPartitions("x", "y", "kind").mapInArrow(released(run), "a long, b long")
 
 
 def _members(near: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def _members(near: DataFrame) -> DataFrame:
                 both = np.concatenate([b.column("a").to_numpy(), b.column("bs").flatten().to_numpy()])
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(both))], ["id"])
 
-    return near.mapInArrow(run, "id long").distinct()
+    return near.mapInArrow(released(run), "id long").distinct()
 
 
 def _confirmed(near: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:

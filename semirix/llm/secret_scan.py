@@ -82,7 +82,7 @@ def common() -> Corpus:
     return Corpus.of(dict.fromkeys(sorted(COMMON), 1))
 
 
-def corpus(docs: DataFrame, words: int = 20_000, text_col: str = "text", most: int = 500_000) -> Corpus:
+def corpus(docs: DataFrame, words: int = 20_000, text_col: str = "text", most: int = 50_000) -> Corpus:
     """The most frequent words of 4 to 12 letters, ``words`` at most, and all transitions of all documents.
 
     A task hands on what it has counted once it holds ``most`` different words; Spark adds up. Counts are compared by their six leading

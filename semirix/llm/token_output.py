@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semirix.llm._store import table
-from semirix.llm._text import blocks
+from semirix.llm._text import blocks, released
 from semirix.sources.binary import _at
 from semirix.llm.tokens import ended, shards, tokenizer
 
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, path: str, pattern: str | None, last: int, length: int
                 ["sequence_id", "ids", "n_tokens", "cu_seqlens", "position_resets", "doc_ids", "starts"],
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), schema)
 
 
 def write(packed: DataFrame, path: str) -> DataFrame:
@@ -151,7 +151,7 @@ def write(packed: DataFrame, path: str) -> DataFrame:
         if len(at) > 1:
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([len(at) - 1], pa.int64()), pa.array([tokens], pa.int64())], ["part", "sequences", "tokens"])
 
-    return table(packed.select("ids", "cu_seqlens", "n_tokens").mapInArrow(run, "part long, sequences long, tokens long"), "parts")
+    return table(packed.select("ids", "cu_seqlens", "n_tokens").mapInArrow(released(run), "part long, sequences long, tokens long"), "parts")
 
 
 def read(path: str, part: int, length: int = 4096) -> tuple[np.ndarray, list[np.ndarray]]:
