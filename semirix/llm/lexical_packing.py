@@ -150,7 +150,7 @@ def encode(docs: DataFrame, path: str, last: int, route: Router | None = None, p
 
     def run(batches):
         tool = tokenizer(path, pattern)
-        for b in blocks(batches, size=4 << 20):
+        for b in blocks(batches, size=2 << 20):
             ids, offs = ended(*tool.encode(b.column("text")), last)
             parts = [ids[x:y] for x, y in zip(offs[:-1], offs[1:], strict=True)]
             leaf = low = np.zeros(len(parts), np.int64)
