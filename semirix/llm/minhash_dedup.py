@@ -10,9 +10,10 @@ The join emits no pairs within a group. Equal sets are one class first. Then eac
 few rounds with other centres, and a member whose component is already the centre's is not linked again, so a large group costs
 rows in proportion to its size. What is left, members that share a key but not a component, is compared in full, which loses no
 link: in blocks of at most BLOCK members by numpy, where a row is a member with the list of those within RADIUS. Sets are built
-from whole texts, only for documents that share a key. Where the lists are long, as in a large group near the threshold, the sets
-are laid out in blocks and each two blocks meet in a task, which tries only pairs that it hasn't connected; else each pair is joined with
-its two sets. Either way all pairs within RADIUS are decided on their full sets.
+from whole texts, only for documents that share a key. Where the lists are long, as in a group near the threshold, the sets of a group
+that the lists connect meet in a task, which tries only pairs that it hasn't connected; a group with more than SETS_BYTES of sets is laid
+out in blocks, each two of which meet, and cells go in waves, so disk doesn't grow with the square of a group. Else each pair is
+joined with its two sets. Either way all pairs within RADIUS are decided on their full sets.
 
 Defined results: a null or blank text has no shingle, is linked with nothing and is kept. A null id is kept, without a
 component. Rows with the same id and text are one document; each row is returned. Of one id with several texts any one stands for it. Ids are integers.
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 from semirix.llm._store import discard, table
 from semirix.llm._text import U64, Words, blocks, mix, released, shingles
 from semirix.llm.components import connected
+from semirix.runtime import Increments, collected
 
 CHUNKS, WIDTH, ERRORS = 13, 5, 1
 SYMBOLS = CHUNKS * WIDTH
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 ROUNDS, FEW, BLOCK = 4, 200, 512
-SETS_MB, LEAST_PARTS = 16, 4
+SETS_BYTES, LEAST_PARTS, WAVE_BYTES = 16 << 20, 4, 512 << 20
 #: Ids up to this many, 8 MB, go to all executors.
 BROADCAST_ROWS = 1_000_000
 #: A set with fewer copies isn't hot.
@@ -219,14 +221,55 @@ def _by_pairs(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "xa", "xb").mapInArrow(released(verify), "a long, b long")
 
 
+def _spanning(near: DataFrame) -> DataFrame:
+    """(a, b): of each batch of the lists ``near`` the links that connect something, so there are fewer than ids in it."""
+
+    def run(batches):
+        for b in batches:
+            root, out = {}, []
+
+            def find(i, root=root):
+                while root.get(i, i) != i:
+                    root[i] = root.get(root[i], root[i])
+                    i = root[i]
+                return i
+
+            for i, bs in zip(b.column("a").to_pylist(), b.column("bs").to_pylist(), strict=True):
+                for j in bs:
+                    if find(i) != find(j):
+                        root[find(j)] = find(i)
+                        out.append((i, j))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return near.mapInArrow(released(run), "a long, b long")
+
+
+def _homes(near: DataFrame, sets: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """(id, root, parts): the group that the lists ``near`` connect an id with, and its blocks of sets; and the bytes of sets that all blocks get.
+
+    A group has a block for SETS_BYTES of sets; one of HOT members has ``parts`` at least."""
+    root = table(connected(_spanning(near)), "roots")
+    sized = sets.select("id", F.length("set").cast("long").alias("size")).join(root, "id").groupBy("root").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("members"))
+    sized = table(sized.select("root", "size", F.greatest(F.ceil(F.col("size") / SETS_BYTES), F.when(F.col("members") >= HOT, parts).otherwise(1)).cast("int").alias("parts")), "sized")
+    moved = sized.agg(F.sum(F.col("size") * F.col("parts"))).first()[0] or 0
+    homes = table(root.join(sized.select("root", "parts"), "root").select("id", "root", "parts"), "homes")
+    discard(root, sized)
+    return homes, moved
+
+
 def _by_blocks(near: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Links of the lists ``near`` that connect what isn't yet: the sets in ``parts`` blocks, each two of which meet in a task."""
-    every = F.sequence(F.lit(0), F.lit(parts - 1))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    own = sets.select(block(F.col("id")).alias("m"), "id", "set", F.explode(every).alias("o"))
-    own = own.select(F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), F.lit(0).alias("kind"), "id", "set", F.lit(None).cast("array<long>").alias("bs"))
-    lists = near.select("a", "bs", block(F.col("a")).alias("m"), F.explode(every).alias("o")).withColumn("bs", F.filter("bs", lambda b: block(b) == F.col("o"))).filter(F.size("bs") > 0)
-    lists = lists.select(F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), F.lit(1).alias("kind"), F.col("a").alias("id"), F.lit(None).cast("binary").alias("set"), "bs")
+    """Links of the lists ``near`` that connect what isn't yet; written. A group's sets lie in blocks, each two of which meet in a task."""
+    collected(near.sparkSession)
+    homes, moved = _homes(near, sets, parts)
+    known = F.broadcast(homes) if homes.count() <= BROADCAST_ROWS // 4 else homes
+    every, n = F.sequence(F.lit(0), F.col("parts") - 1), F.col("parts")
+    block = lambda c: F.pmod(F.xxhash64(c), n).cast("int")
+    own = sets.join(known, "id").select("root", block(F.col("id")).alias("m"), "id", "set", F.explode(every).alias("o"))
+    own = own.select("root", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), F.lit(0).alias("kind"), "id", "set", F.lit(None).cast("array<long>").alias("bs"))
+    lists = near.withColumnRenamed("a", "id").join(known, "id").select("root", "parts", "id", "bs", block(F.col("id")).alias("m"), F.explode(every).alias("o"))
+    lists = lists.withColumn("bs", F.filter("bs", lambda b: block(b) == F.col("o"))).filter(F.size("bs") > 0)
+    lists = lists.select("root", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"), F.lit(1).alias("kind"), "id", F.lit(None).cast("binary").alias("set"), "bs")
 
     def run(batches):
         cell, held, root = None, {}, {}
@@ -239,9 +282,9 @@ def _by_blocks(near: DataFrame, sets: DataFrame, percent: int, parts: int) -> Da
 
         for b in batches:
             out = []
-            for x, y, kind, i, s, bs in zip(*(b.column(c) for c in ("x", "y", "kind", "id", "set", "bs")), strict=True):
-                if (x.as_py(), y.as_py()) != cell:
-                    cell, held, root = (x.as_py(), y.as_py()), {}, {}
+            for group, x, y, kind, i, s, bs in zip(*(b.column(c) for c in ("root", "x", "y", "kind", "id", "set", "bs")), strict=True):
+                if (group.as_py(), x.as_py(), y.as_py()) != cell:
+                    cell, held, root = (group.as_py(), x.as_py(), y.as_py()), {}, {}
                 i = i.as_py()
                 if kind.as_py() == 0:
                     held[i] = np.frombuffer(s.as_py(), U64)
@@ -257,7 +300,16 @@ def _by_blocks(near: DataFrame, sets: DataFrame, percent: int, parts: int) -> Da
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return own.unionAll(lists).repartition("x", "y").sortWithinPartitions("x", "y", "kind").mapInArrow(released(run), "a long, b long")
+    cells, found = own.unionAll(lists), Increments(near.sparkSession, "a long, b long", "linked")
+    size = sets.agg(F.sum(F.length("set"))).first()[0] or 0
+    waves = -(-moved // max(size, WAVE_BYTES)) or 1
+    for wave in range(waves):
+        some = cells.filter(F.pmod(F.xxhash64("root", "x", "y"), F.lit(waves)) == wave) if waves > 1 else cells
+        found.add(some.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "kind").mapInArrow(released(run), "a long, b long"))
+        if waves > 1:
+            collected(near.sparkSession)
+    discard(homes)
+    return found.all()
 
 
 def _members(near: DataFrame) -> DataFrame:
@@ -285,10 +337,8 @@ def _confirmed(near: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
 
     sets = table(text.mapInArrow(build, "id long, set binary"), "sets")
     pairs = near.agg(F.sum(F.size("bs"))).first()[0] or 0
-    count, size = sets.agg(F.count(F.lit(1)), F.sum(F.length("set"))).first()
-    parts = max(LEAST_PARTS, -(-(size or 0) // (SETS_MB << 20)))
-    cheap = 2 * pairs * (size or 0) <= parts * (size or 0) * max(1, count)  # bytes moved by either way
-    found = table(_by_pairs(near, sets, percent) if cheap else _by_blocks(near, sets, percent, parts), "confirmed")
+    count = sets.count()
+    found = table(_by_pairs(near, sets, percent), "confirmed") if pairs <= 2 * max(1, count) else _by_blocks(near, sets, percent, LEAST_PARTS)  # else pairs move each set often
     discard(near, members, sets)
     return found
 

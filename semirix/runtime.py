@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -102,3 +103,9 @@ def discard(*tables: DataFrame | None) -> None:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
             df._semirix_path = None
+
+
+def collected(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, after which Spark deletes the shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()

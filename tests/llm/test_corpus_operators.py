@@ -98,6 +98,23 @@ def test_near_copies_in_small_blocks(spark, monkeypatch, few):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == slow_groups(texts, 4, 80)
 
 
+def test_sets_of_small_groups_move_once(spark, monkeypatch):
+    """Blocks are of a group's sets, not of all: a set of a small group is in one cell however many groups there are."""
+    monkeypatch.setattr(minhash_dedup, "SETS_BYTES", 4000)
+    near = spark.createDataFrame([(3 * i + 2, [3 * i, 3 * i + 1]) for i in range(40)] + [(1000 + i, [1000 + j for j in range(i)]) for i in range(1, 20)], "a long, bs array<long>")
+    ids = [*range(120), *range(1000, 1020)]
+    make = lambda i: (np.arange(100, dtype=np.uint64) + np.uint64(i // 3 * 1000 + i % 3 if i < 1000 else 10**6 + 15 * (i - 1000))).tobytes()
+    sets = spark.createDataFrame([(i, bytearray(make(i))) for i in ids], "id long, set binary")
+    homes, moved = minhash_dedup._homes(near, sets, 4)
+    assert {(r["id"] < 1000, r["parts"]) for r in homes.collect()} == {(True, 1), (False, 4)} and moved == 120 * 800 + 4 * 20 * 800
+    for wave in (1 << 30, 0):  # all cells at once, and in two waves
+        monkeypatch.setattr(minhash_dedup, "WAVE_BYTES", wave)
+        links = [(r["a"], r["b"]) for r in minhash_dedup._by_blocks(near, sets, 80, 4).collect()]
+        assert len(links) == len(set(links)) == 80 and all(a < 1000 for a, _ in links)  # 85 of 115 are in common in the large group
+        links = [(r["a"], r["b"]) for r in minhash_dedup._by_blocks(near, sets, 70, 4).collect()]
+        assert {x for p in links for x in p} == set(ids)
+
+
 def test_near_copies_edges(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (9, None)], "doc_id int, text string")
     got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.groups(docs, 4).collect()]
