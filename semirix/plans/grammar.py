@@ -3,8 +3,9 @@
 A grammar is three tables: ``rules`` (block, sym, kind, left, right, rep), ``top`` (block, row, pos, sym) and ``values`` (val_idx, val).
 Codes below ``alpha`` are cells; symbols from ``alpha`` on are rules, whose children come before them. Blocks of rows have their own
 rules, so a block is the unit of work: a product joins the blocks' different codes with the values and the vector, and
-sweeps each block in one task, whose size the block's entries bound. ``plan="levels"`` evaluates one level of all rules at a time with
-joins instead, for a grammar whose single block is too large for a task; the frontier keeps only symbols that a later level reads.
+sweeps each block in one task, whose size the block's entries bound. Of a grammar of tables, as read from files, a task has a block's rules
+only, and the top is joined with the symbols. ``plan="levels"`` evaluates one level of all rules at a time with joins instead, for a
+grammar whose single block has more than RULES_IN_TASK rules, for which it is chosen; the frontier keeps only symbols that a later level reads.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from semirix.runtime import Increments, discard, table
 RULES = "block long, sym long, kind string, left long, right long, rep int"
 TOP = "block long, row long, pos long, sym long"
 _BLOCKS = "block long, data binary, codes array<long>"
+#: A block of tables with more rules than this, some 300 MB in a task, is evaluated level by level.
+RULES_IN_TASK = 2_000_000
 
 
 def _numpy(t: pa.Table, *names: str) -> list[np.ndarray]:
@@ -275,13 +278,14 @@ class GrammarMatrix:
     def matrix(self) -> Matrix:
         return Matrix(self.entries(), self.rows, self.cols)
 
-    def _blocks(self) -> DataFrame:
-        """(block, data): a row for each block."""
+    def _blocks(self, top: bool = True) -> DataFrame:
+        """(block, data): a row for each block; without ``top`` its rules alone."""
         if self.blocks is not None:
             return self.blocks.select("block", "data")
         alpha = self.alpha
-        rules = self.rules.select("block", F.lit(0).alias("tag"), F.col("sym").alias("a"), F.col("left").alias("b"), F.coalesce("right", F.lit(-1)).cast("long").alias("c"), F.col("rep").cast("long").alias("d"))
-        cells = rules.unionAll(self.top.select("block", F.lit(1).alias("tag"), F.col("row").alias("a"), F.col("pos").alias("b"), F.col("sym").alias("c"), F.lit(0).cast("long").alias("d")))
+        cells = self.rules.select("block", F.lit(0).alias("tag"), F.col("sym").alias("a"), F.col("left").alias("b"), F.coalesce("right", F.lit(-1)).cast("long").alias("c"), F.col("rep").cast("long").alias("d"))
+        if top:
+            cells = cells.unionAll(self.top.select("block", F.lit(1).alias("tag"), F.col("row").alias("a"), F.col("pos").alias("b"), F.col("sym").alias("c"), F.lit(0).cast("long").alias("d")))
 
         def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
             tag, (a, b, c, d) = t.column("tag").to_numpy(), _numpy(t, "a", "b", "c", "d")
@@ -311,7 +315,10 @@ class GrammarMatrix:
         leaf = self.terminals().withColumns({"val_idx": idx, "col": col.cast("bigint")}).join(self.values, "val_idx").join(x, "col")
         kind = "double" if s.dtype is np.float64 else "long"
         leaf = leaf.select("block", "code", *[s.leaf(F.col("val"), F.col("xs")[b]).cast(kind).alias(f"w{b}") for b in range(size)])
-        parts = self._swept(leaf, s, size, kind) if plan == "sweep" else self._levelled(leaf, s, size, kind)
+        if plan == "levels" or self._large():
+            parts = self._levelled(leaf, s, size, kind)
+        else:
+            parts = self._swept(leaf, s, size, kind) if self.blocks is not None else self._ruled(leaf, s, size, kind)
         every = self.spark.range(self.rows).select(F.col("id").alias("row"), *[F.lit(None).cast(kind).alias(f"w{b}") for b in range(size)])
         return parts.unionAll(every).groupBy("row").agg(F.array(*[s.y(F.col(f"w{b}")) for b in range(size)]).alias("ys"))
 
@@ -364,6 +371,30 @@ class GrammarMatrix:
         leaf = leaf.withColumnRenamed("block", "leaf_block").select(F.col("leaf_block").alias("of"), "code", *names)
         return self._blocks().groupBy("block").cogroup(leaf.groupBy("of")).applyInArrow(run, schema)
 
+    def _large(self) -> bool:
+        """Whether a block of the tables has more rules than a task holds."""
+        return self.blocks is None and bool(self.rules.groupBy("block").count().filter(F.col("count") > RULES_IN_TASK).limit(1).count())
+
+    def _ruled(self, leaf: DataFrame, s: Semiring, size: int, kind: str) -> DataFrame:
+        """As ``_swept`` for a grammar of tables: a task has a block's rules, and the top, of any length, is joined with the symbols' values."""
+        alpha, names = self.alpha, [f"w{b}" for b in range(size)]
+
+        def run(cells: pa.Table, leaves: pa.Table) -> pa.Table:
+            if not cells.num_rows:
+                return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), *[pa.array([], pa.float64() if kind == "double" else pa.int64()) for _ in names]], names=["block", "sym", *names])
+            rules, _ = _unpack(cells.column("data")[0])
+            w = np.stack([leaves.column(n).fill_null(s.zero).to_numpy() for n in names], axis=1) if leaves.num_rows else np.zeros((0, size), s.dtype)
+            symbols, value = sweep.evaluate(s, alpha, *rules, leaves.column("code").to_numpy(), w)
+            inner = symbols >= alpha
+            block = np.full(int(inner.sum()), cells.column("block")[0].as_py(), np.int64)
+            return pa.table([pa.array(block), pa.array(symbols[inner]), *[pa.array(value[inner, i]) for i in range(size)]], names=["block", "sym", *names])
+
+        schema = ", ".join(["block long, sym long", *[f"{n} {kind}" for n in names]])
+        given = leaf.select(F.col("block").alias("of"), "code", *names)
+        symbols = self._blocks(top=False).groupBy("block").cogroup(given.groupBy("of")).applyInArrow(run, schema)
+        symbols = symbols.unionAll(leaf.select("block", F.col("code").alias("sym"), *names))
+        return self.top.select("block", "row", "sym").join(symbols, ["block", "sym"]).select("row", *names)
+
     def _levelled(self, leaf: DataFrame, s: Semiring, size: int, kind: str) -> DataFrame:
         names = [f"w{b}" for b in range(size)]
         zero = F.lit(s.zero).cast(kind)

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from semirix.plans import csrv, repair, sweep
+from semirix.plans import csrv, grammar, repair, sweep
 from semirix.plans.grammar import GrammarMatrix, csr_bytes, engine_bytes, stream_bytes
 from semirix.plans.matrix import Matrix
 from semirix.sources import binary
@@ -203,3 +203,36 @@ def test_levels_by_joins_of_a_deep_grammar(spark):
     g = GrammarMatrix.of(spark, rules, [(0, 0, 32)], [1.0], 3, 1, 2).check()
     by = lambda plan: sorted(tuple(r) for r in g.levels(plan).collect())
     assert by("levels") == by("sweep") and max(r[2] for r in by("levels")) == 30
+
+
+def two_blocks(spark):
+    """Two blocks of tables, with a run, codes in the top, a code that nothing reads below, and a mark in the top's plan."""
+    rules = [(0, 5, "BINARY", 1, 2, 1), (0, 6, "BINARY", 3, 5, 1), (0, 7, "RUNLEN", 6, None, 3), (0, 8, "BINARY", 7, 5, 1), (1, 9, "BINARY", 2, 4, 1), (1, 10, "RUNLEN", 9, None, 2), (1, 11, "BINARY", 10, 9, 1)]
+    top = [(0, 0, 0, 8), (0, 0, 1, 1), (0, 1, 0, 6), (0, 1, 1, 6), (0, 2, 0, 4), (1, 4, 0, 11), (1, 5, 0, 9), (1, 5, 1, 3)]
+    marked = spark.createDataFrame(top, grammar.TOP).filter("row > -987654")
+    return GrammarMatrix(spark.createDataFrame(rules, grammar.RULES), marked, spark.createDataFrame([(0, 1.5), (1, 2.5)], "val_idx long, val double"), 5, 7, 2).check()
+
+
+def in_groups(df):
+    """Whether the plan hands the top's rows to Python by group, a block of any length to one task; its different codes, aggregated, may go."""
+    above = []
+    for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if x[0] < at] + [(at, line)]
+        nodes = [x for _, x in above if "GroupsInArrow" in x or "Aggregate" in x]
+        if "987654" in line and nodes and "GroupsInArrow" in nodes[-1]:
+            return True
+    return False
+
+
+def right_product_of_tables(spark, monkeypatch, semiring):
+    g, x = two_blocks(spark), spark.createDataFrame([(0, 3.0), (1, 5.0)], "col long, x double")
+    pick = lambda df: sorted((r["row"], r["y"]) for r in df.collect())
+    expected = pick(g.matrix().multiply(x, semiring))
+    assert not in_groups(g.multiply(x, semiring)) and pick(g.multiply(x, semiring)) == expected
+    monkeypatch.setattr(grammar, "RULES_IN_TASK", 3)  # level by level
+    assert pick(g.multiply(x, semiring)) == expected
+
+
+def test_long_top_is_joined(spark, monkeypatch):
+    right_product_of_tables(spark, monkeypatch, "plustimes")
