@@ -236,3 +236,8 @@ def right_product_of_tables(spark, monkeypatch, semiring):
 
 def test_long_top_is_joined(spark, monkeypatch):
     right_product_of_tables(spark, monkeypatch, "plustimes")
+
+
+@pytest.mark.parametrize("semiring", ["tropical", "boolean"])
+def test_long_top_is_joined_in_other_semirings(spark, monkeypatch, semiring):
+    right_product_of_tables(spark, monkeypatch, semiring)
