@@ -241,3 +241,12 @@ def test_long_top_is_joined(spark, monkeypatch):
 @pytest.mark.parametrize("semiring", ["tropical", "boolean"])
 def test_long_top_is_joined_in_other_semirings(spark, monkeypatch, semiring):
     right_product_of_tables(spark, monkeypatch, semiring)
+
+
+def test_long_top_of_a_file_is_joined(spark, tmp_path):
+    """A grammar with a run, written as pairs and read again."""
+    g, x = two_blocks(spark), spark.createDataFrame([(0, 3.0), (1, 5.0)], "col long, x double")
+    binary.write_grammar(g.paired(), f"{tmp_path}/m")
+    read = binary.read_grammar(spark, f"{tmp_path}/m", g.rows, g.cols)
+    marked = GrammarMatrix(read.rules, read.top.filter("row > -987654"), read.values, read.alpha, read.rows, read.cols)
+    assert not in_groups(marked.multiply(x)) and sorted(read.multiply(x).collect()) == sorted(g.matrix().multiply(x).collect())
