@@ -332,8 +332,17 @@ class GrammarMatrix:
         codes, few rows, meets the values. A row's values are summed where a code is met again, as the semiring distributes."""
         s = get(semiring)
         kind = "double" if s.dtype is np.float64 else "long"
-        alpha, names = self.alpha, [f"w{b}" for b in range(size)]
+        names = [f"w{b}" for b in range(size)]
         values = x.select(F.col("row").cast("bigint").alias("row"), *[s.leaf(F.lit(s.one), F.col("xs")[b]).cast(kind).alias(f"w{b}") for b in range(size)])
+        idx, col = csrv.parts("code", self.cols)
+        met = self._fallen(values, s, names, kind) if self.blocks is not None else self._fallen_rules(values, s, names, kind)
+        leaf = met.withColumns({"val_idx": idx, "col": col.cast("bigint")}).join(self.values, "val_idx").select("col", *[s.leaf(F.col("val"), F.col(n)).cast(kind).alias(n) for n in names])
+        every = self.spark.range(self.cols).select(F.col("id").alias("col"), *[F.lit(None).cast(kind).alias(n) for n in names])
+        return leaf.unionAll(every).groupBy("col").agg(F.array(*[s.y(F.col(n)) for n in names]).alias("ys"))
+
+    def _fallen(self, values: DataFrame, s: Semiring, names: list[str], kind: str) -> DataFrame:
+        """(code, w): what arrives at each block's codes from the rows' ``values`` (row, w)."""
+        alpha, size = self.alpha, len(names)
         given = self.top.select("block", "row").distinct().join(values, "row").select(F.col("block").alias("of"), "row", *names)
 
         def run(cells: pa.Table, given: pa.Table) -> pa.Table:
@@ -346,11 +355,47 @@ class GrammarMatrix:
             return pa.table([pa.array(codes), *[pa.array(y[:, i]) for i in range(size)]], names=["code", *names])
 
         schema = ", ".join(["code long", *[f"{n} {kind}" for n in names]])
-        idx, col = csrv.parts("code", self.cols)
-        met = self._blocks().groupBy("block").cogroup(given.groupBy("of")).applyInArrow(run, schema)
-        leaf = met.withColumns({"val_idx": idx, "col": col.cast("bigint")}).join(self.values, "val_idx").select("col", *[s.leaf(F.col("val"), F.col(n)).cast(kind).alias(n) for n in names])
-        every = self.spark.range(self.cols).select(F.col("id").alias("col"), *[F.lit(None).cast(kind).alias(n) for n in names])
-        return leaf.unionAll(every).groupBy("col").agg(F.array(*[s.y(F.col(n)) for n in names]).alias("ys"))
+        return self._blocks().groupBy("block").cogroup(given.groupBy("of")).applyInArrow(run, schema)
+
+    def _fallen_rules(self, values: DataFrame, s: Semiring, names: list[str], kind: str) -> DataFrame:
+        """As ``_fallen`` for a grammar of tables: the rows' values are summed by symbol first, and a task has a block's rules and their sums."""
+        alpha, size = self.alpha, len(names)
+        sums = self.top.select("block", "row", "sym").join(values, "row").groupBy("block", "sym").agg(*[s.total(F.col(n)).cast(kind).alias(n) for n in names])
+        sums = table(sums, "sums")
+        codes = sums.filter(F.col("sym") < alpha).select(F.col("sym").alias("code"), *names)
+        sums = sums.filter(F.col("sym") >= alpha)
+        if self._large():
+            return codes.unionAll(self._fallen_levels(sums, s, names, kind))
+
+        def run(cells: pa.Table, given: pa.Table) -> pa.Table:
+            kinds = pa.float64() if kind == "double" else pa.int64()
+            if not cells.num_rows or not given.num_rows:
+                return pa.table([pa.array([], pa.int64()), *[pa.array([], kinds) for _ in names]], names=["code", *names])
+            rules, _ = _unpack(cells.column("data")[0])
+            w = np.stack([given.column(n).fill_null(s.zero).to_numpy() for n in names], axis=1)
+            each = np.arange(given.num_rows)
+            below, y = sweep.descend(s, alpha, *rules, each, given.column("sym").to_numpy(), each, w)
+            return pa.table([pa.array(below), *[pa.array(y[:, i]) for i in range(size)]], names=["code", *names])
+
+        schema = ", ".join(["code long", *[f"{n} {kind}" for n in names]])
+        given = sums.withColumnRenamed("block", "of")
+        return codes.unionAll(self._blocks(top=False).groupBy("block").cogroup(given.groupBy("of")).applyInArrow(run, schema))
+
+    def _fallen_levels(self, sums: DataFrame, s: Semiring, names: list[str], kind: str) -> DataFrame:
+        """(code, w) from the symbols' ``sums`` (sym, w), a level of all rules at a time: for blocks with more rules than a task holds."""
+        lvl = table(self.levels("levels").select("sym", "lvl"), "lvl")
+        depth = lvl.agg(F.max("lvl")).first()[0] or 0
+        edges = self.rules.select("sym", "rep", F.posexplode(F.array("left", "right")).alias("side", "child")).filter("child is not null").join(lvl, "sym")
+        edges = edges.join(lvl.select(F.col("sym").alias("child"), F.col("lvl").alias("to")), "child", "left")
+        edges = table(edges.select("sym", "lvl", "child", F.coalesce("to", F.lit(0)).alias("to"), F.when(F.col("side") == 0, F.col("rep")).otherwise(1).alias("rep")), "edges")
+        down = Increments(self.spark, ", ".join(["sym long, lvl int", *[f"{n} {kind}" for n in names]]), "down")
+        down.add(sums.join(lvl, "sym").select("sym", "lvl", *names))
+        for k in range(depth, 0, -1):
+            own = down.all().filter(F.col("lvl") == k).groupBy("sym").agg(*[s.total(F.col(n)).cast(kind).alias(n) for n in names])
+            sent = edges.filter(F.col("lvl") == k).join(own, "sym")
+            down.add(sent.select(F.col("child").alias("sym"), F.col("to").alias("lvl"), *[s.power(F.col(n), F.col("rep")).cast(kind).alias(n) for n in names]))
+        discard(lvl, edges)
+        return down.all().filter("lvl = 0").select(F.col("sym").alias("code"), *names)
 
     def _swept(self, leaf: DataFrame, s: Semiring, size: int, kind: str) -> DataFrame:
         alpha, names = self.alpha, [f"w{b}" for b in range(size)]

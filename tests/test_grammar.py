@@ -250,3 +250,13 @@ def test_long_top_of_a_file_is_joined(spark, tmp_path):
     read = binary.read_grammar(spark, f"{tmp_path}/m", g.rows, g.cols)
     marked = GrammarMatrix(read.rules, read.top.filter("row > -987654"), read.values, read.alpha, read.rows, read.cols)
     assert not in_groups(marked.multiply(x)) and sorted(read.multiply(x).collect()) == sorted(g.matrix().multiply(x).collect())
+
+
+@pytest.mark.parametrize("semiring", ["plustimes", "tropical", "boolean"])
+def test_long_top_is_summed_for_the_left_product(spark, monkeypatch, semiring):
+    g, x = two_blocks(spark), spark.createDataFrame([(0, 3.0), (1, 0.0), (4, 100.0), (5, 7.0)], "row long, x double")
+    pick = lambda df: sorted((r["col"], r["y"]) for r in df.collect())
+    expected = pick(g.matrix().left_multiply(x, semiring))
+    assert not in_groups(g.left_multiply(x, semiring)) and pick(g.left_multiply(x, semiring)) == expected
+    monkeypatch.setattr(grammar, "RULES_IN_TASK", 3)
+    assert pick(g.left_multiply(x, semiring)) == expected
