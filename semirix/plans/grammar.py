@@ -3,9 +3,10 @@
 A grammar is three tables: ``rules`` (block, sym, kind, left, right, rep), ``top`` (block, row, pos, sym) and ``values`` (val_idx, val).
 Codes below ``alpha`` are cells; symbols from ``alpha`` on are rules, whose children come before them. Blocks of rows have their own
 rules, so a block is the unit of work: a product joins the blocks' different codes with the values and the vector, and
-sweeps each block in one task, whose size the block's entries bound. Of a grammar of tables, as read from files, a task has a block's rules
-only, and the top is joined with the symbols. ``plan="levels"`` evaluates one level of all rules at a time with joins instead, for a
-grammar whose single block has more than RULES_IN_TASK rules, for which it is chosen; the frontier keeps only symbols that a later level reads.
+sweeps each block in one task, whose size the block's entries bound. Of a grammar of tables, as read from files, the rules of a block pass
+through a task in order, which keeps a value for each, and the top is joined with the symbols. ``plan="levels"`` evaluates one level of all
+rules at a time with joins instead, for a grammar whose single block has more than RULES_IN_TASK rules, for which it is chosen; the frontier
+keeps only symbols that a later level reads.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from semirix.runtime import Increments, discard, table
 RULES = "block long, sym long, kind string, left long, right long, rep int"
 TOP = "block long, row long, pos long, sym long"
 _BLOCKS = "block long, data binary, codes array<long>"
-#: A block of tables with more rules than this, some 300 MB in a task, is evaluated level by level.
+#: A block of tables with more rules than this, some 300 MB in a task of the left product, is evaluated level by level.
 RULES_IN_TASK = 2_000_000
 
 
@@ -421,23 +422,27 @@ class GrammarMatrix:
         return self.blocks is None and bool(self.rules.groupBy("block").count().filter(F.col("count") > RULES_IN_TASK).limit(1).count())
 
     def _ruled(self, leaf: DataFrame, s: Semiring, size: int, kind: str) -> DataFrame:
-        """As ``_swept`` for a grammar of tables: a task has a block's rules, and the top, of any length, is joined with the symbols' values."""
-        alpha, names = self.alpha, [f"w{b}" for b in range(size)]
+        """As ``_swept`` for a grammar of tables: a block's codes and rules pass through a task in ascending order, a batch at a time, and leave it
+        with their values; the top, of any length, is joined with these."""
+        names, none, zero = [f"w{b}" for b in range(size)], F.lit(-1).cast("long"), F.lit(s.zero).cast(kind)
+        codes = leaf.select("block", F.col("code").alias("sym"), none.alias("left"), none.alias("right"), F.lit(1).cast("long").alias("rep"), *[F.coalesce(n, zero).alias(n) for n in names])
+        rules = self.rules.select("block", "sym", "left", F.coalesce("right", none).alias("right"), F.col("rep").cast("long").alias("rep"), *[zero.alias(n) for n in names])
 
-        def run(cells: pa.Table, leaves: pa.Table) -> pa.Table:
-            if not cells.num_rows:
-                return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), *[pa.array([], pa.float64() if kind == "double" else pa.int64()) for _ in names]], names=["block", "sym", *names])
-            rules, _ = _unpack(cells.column("data")[0])
-            w = np.stack([leaves.column(n).fill_null(s.zero).to_numpy() for n in names], axis=1) if leaves.num_rows else np.zeros((0, size), s.dtype)
-            symbols, value = sweep.evaluate(s, alpha, *rules, leaves.column("code").to_numpy(), w)
-            inner = symbols >= alpha
-            block = np.full(int(inner.sum()), cells.column("block")[0].as_py(), np.int64)
-            return pa.table([pa.array(block), pa.array(symbols[inner]), *[pa.array(value[inner, i]) for i in range(size)]], names=["block", "sym", *names])
+        def run(batches):
+            of = known = None
+            for b in batches:
+                block, sym, left, right, rep, *w = [b.column(i).to_numpy() for i in range(5 + size)]
+                w, ends = np.stack(w, axis=1), np.flatnonzero(np.diff(block)) + 1
+                for i, j in zip([0, *ends], [*ends, len(block)], strict=True):
+                    if i == j:
+                        continue
+                    if known is None or block[i] != of:
+                        of, known = block[i], sweep.Rising(s, size)
+                    w[i:j] = known.add(sym[i:j], left[i:j], right[i:j], rep[i:j], w[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(sym), *[pa.array(w[:, i]) for i in range(size)]], ["block", "sym", *names])
 
         schema = ", ".join(["block long, sym long", *[f"{n} {kind}" for n in names]])
-        given = leaf.select(F.col("block").alias("of"), "code", *names)
-        symbols = self._blocks(top=False).groupBy("block").cogroup(given.groupBy("of")).applyInArrow(run, schema)
-        symbols = symbols.unionAll(leaf.select("block", F.col("code").alias("sym"), *names))
+        symbols = codes.unionAll(rules).repartition("block").sortWithinPartitions("block", "sym").mapInArrow(run, schema)
         return self.top.select("block", "row", "sym").join(symbols, ["block", "sym"]).select("row", *names)
 
     def _levelled(self, leaf: DataFrame, s: Semiring, size: int, kind: str) -> DataFrame:

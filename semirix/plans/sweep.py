@@ -34,6 +34,37 @@ def evaluate(s: Semiring, alpha: int, sym: np.ndarray, left: np.ndarray, right:
     return symbols, value
 
 
+class Rising:
+    """Values of a block's symbols that come in ascending order, a batch at a time, so a rule's children are there before it. All that is kept
+    is a name and a value for each symbol; a symbol that never came is the identity."""
+
+    def __init__(self, s: Semiring, size: int):
+        self.s, self.n = s, 1
+        self.names, self.value = np.zeros(1 << 12, np.int64), np.empty((1 << 12, size), s.dtype)
+        self.value[0] = s.zero  # the delimiter, for what isn't there
+
+    def add(self, sym: np.ndarray, left: np.ndarray, right: np.ndarray, rep: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The values of the next symbols. left is -1 for a code, which has the value w; right is -1 where there is none."""
+        n, m = self.n, self.n + len(sym)
+        if m > len(self.names):
+            names, value = self.names, self.value
+            self.names, self.value = np.empty(2 * m, np.int64), np.empty((2 * m, value.shape[1]), value.dtype)
+            self.names[:n], self.value[:n] = names[:n], value[:n]
+        self.names[n:m], self.value[n:m], self.n = sym, w, m
+        l, r = self._at(left), self._at(right)
+        level = levels(np.maximum(l - n + 1, 0), np.maximum(r - n + 1, 0), 1)  # within the batch
+        level[left < 0] = 0
+        for k in range(1, int(level.max(initial=0)) + 1):
+            at = np.flatnonzero(level == k)
+            self.value[n + at] = self.s.add(self.s.repeat(self.value[l[at]], rep[at][:, None]), self.value[r[at]])
+        return self.value[n:m]
+
+    def _at(self, names: np.ndarray) -> np.ndarray:
+        own = self.names[: self.n]
+        at = np.minimum(np.searchsorted(own, names), self.n - 1)
+        return np.where(own[at] == names, at, 0)
+
+
 def descend(s: Semiring, alpha: int, sym: np.ndarray, left: np.ndarray, right: np.ndarray, rep: np.ndarray, row: np.ndarray, top: np.ndarray, given: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The codes below ``top`` (the symbols of the rows ``row``) and, for each, the sum of the values w of the rows ``given`` over its places."""
     order = np.argsort(sym, kind="stable")

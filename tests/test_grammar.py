@@ -260,3 +260,53 @@ def test_long_top_is_summed_for_the_left_product(spark, monkeypatch, semiring):
     assert not in_groups(g.left_multiply(x, semiring)) and pick(g.left_multiply(x, semiring)) == expected
     monkeypatch.setattr(grammar, "RULES_IN_TASK", 3)
     assert pick(g.left_multiply(x, semiring)) == expected
+
+
+def by_batches(spark, g, x, semiring):
+    """The product of a grammar of tables, whose rules no task takes as one group, with batches of two symbols and of all."""
+    plan = g.multiply(x, semiring)._jdf.queryExecution().optimizedPlan().toString()
+    assert "GroupsInArrow" not in plan and "MapInArrow" in plan
+    found, before = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("2", before):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            found.append(sorted((r["row"], r["y"]) for r in g.multiply(x, semiring).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0] == found[1]
+    return found[0]
+
+
+@pytest.mark.parametrize("semiring", ["tropical", "plustimes"])
+def test_rules_of_tables_pass_in_batches(spark, semiring):
+    """Two blocks; column 1 has no value in x, so its codes have no leaf."""
+    g = two_blocks(spark)
+    for cells in ([(0, 3.0), (1, 5.0)], [(0, None)]):
+        x = spark.createDataFrame(cells, "col long, x double")
+        assert by_batches(spark, g, x, semiring) == sorted((r["row"], r["y"]) for r in g.matrix().multiply(x, semiring).collect())
+
+
+def test_rising_values_are_those_of_the_sweep():
+    """Rules over many batches and a deep chain within one; kept are a name and a value for each symbol, in room for twice as many."""
+    from semirix.functions.semiring import PLUS_TIMES, TROPICAL
+
+    rng, n, alpha = np.random.default_rng(4), 20_000, 40
+    sym = alpha + 3 * np.arange(n)
+    names = np.concatenate([np.arange(1, alpha), sym])
+    below = lambda: names[(rng.random(n) ** 0.3 * (alpha - 1 + np.arange(n))).astype(int)]
+    left, right, rep = below(), below(), np.ones(n, np.int64)
+    left[5000:5200] = sym[4999:5199]
+    right[::11], rep[::11] = -1, 2
+    for s in (TROPICAL, PLUS_TIMES):
+        codes = np.arange(1, alpha, 2)
+        leaves = rng.integers(0, 9, (len(codes), 2)).astype(s.dtype)
+        symbols, value = sweep.evaluate(s, alpha, sym, left, right, rep, codes, leaves)
+        for size in (700, n):
+            known, got = sweep.Rising(s, 2), []
+            none, one = np.full(len(codes), -1), np.ones(len(codes), np.int64)
+            assert (known.add(codes, none, none, one, leaves) == leaves).all()
+            for i in range(0, n, size):
+                at = slice(i, i + size)
+                got.append(known.add(sym[at], left[at], right[at], rep[at], np.zeros((len(sym[at]), 2), s.dtype)).copy())
+            assert np.array_equal(np.concatenate(got), value[symbols >= alpha])
+            assert known.names.nbytes + known.value.nbytes <= 2 * 24 * (n + alpha)
