@@ -310,3 +310,12 @@ def test_rising_values_are_those_of_the_sweep():
                 got.append(known.add(sym[at], left[at], right[at], rep[at], np.zeros((len(sym[at]), 2), s.dtype)).copy())
             assert np.array_equal(np.concatenate(got), value[symbols >= alpha])
             assert known.names.nbytes + known.value.nbytes <= 2 * 24 * (n + alpha)
+
+
+def test_rules_of_a_file_pass_in_batches(spark, tmp_path):
+    """Pairs of runs of three, which have names between others', written and read again."""
+    g, x = two_blocks(spark), spark.createDataFrame([(0, 3.0), (1, 5.0)], "col long, x double")
+    binary.write_grammar(g.paired(), f"{tmp_path}/m")
+    read = binary.read_grammar(spark, f"{tmp_path}/m", g.rows, g.cols)
+    assert read.rules.count() == 8
+    assert by_batches(spark, read, x, "plustimes") == sorted((r["row"], r["y"]) for r in g.matrix().multiply(x).collect())
