@@ -16,11 +16,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from semirix.plans.grammar import GrammarMatrix
+from semirix.plans.grammar import TOP, GrammarMatrix
 from semirix.plans.prefix import running
+from semirix.runtime import discard, table
 
 KINDS = {"bool": ("u1", "long"), "i32": ("<i4", "long"), "f32": ("<f4", "double"), "f64": ("<f8", "double")}
 CHUNK = 4 << 20
+#: Records of a piece that leave a task at once.
+STEP = 1 << 16
+#: Rows that a task sorts for an array whose length is known, where the session's partitions would have more.
+SORTED = 1_000_000
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -53,10 +58,10 @@ def stale(path: str, *sources: str) -> bool:
     return not built or any(t > min(built) for s in sources for t in times(s))
 
 
-def read_array(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(idx, value) of an array of ``kind``. Bytes at a file's end that are no whole record are an error."""
-    dtype, name = KINDS[kind]
-    size, rows, first = np.dtype(dtype).itemsize, [], 0
+def _pieces(spark: SparkSession, path: str, size: int) -> DataFrame | None:
+    """(file, total, begin, offset): the pieces of an array of records of ``size`` bytes, dealt out to tasks; None where it is empty. Bytes at
+    a file's end that are no whole record are an error."""
+    rows, first = [], 0
     for file, total in _files(path):
         if total % size:
             raise ValueError(f"{file} has {total} bytes, which are no whole number of records of {size}")
@@ -64,23 +69,38 @@ def read_array(spark: SparkSession, path: str, kind: str) -> DataFrame:
             rows.append((file, total, first))
         first += total // size
     if not rows:
+        return None
+    pieces = spark.createDataFrame(rows, "file string, total long, begin long").withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(CHUNK).cast("long"))))
+    return _dealt(pieces, sum(-(-r[1] // CHUNK) for r in rows))
+
+
+def _dealt(pieces: DataFrame, count: int) -> DataFrame:
+    return pieces.repartition(min(count, 8 * pieces.sparkSession.sparkContext.defaultParallelism), "file", "offset")
+
+
+def _read(b: pa.RecordBatch, dtype: str, chunk: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The place of each piece's first record, and its records."""
+    size = np.dtype(dtype).itemsize
+    for file, total, begin, offset in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+        system, where = _at(file)
+        with system.open_input_file(where) as f:
+            yield begin + offset // size, np.frombuffer(f.read_at(min(chunk, total - offset), offset), dtype)
+
+
+def read_array(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(idx, value) of an array of ``kind``. Bytes at a file's end that are no whole record are an error."""
+    dtype, name = KINDS[kind]
+    pieces = _pieces(spark, path, np.dtype(dtype).itemsize)
+    if pieces is None:
         return spark.createDataFrame([], f"idx long, value {name}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, total, begin, offset in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                system, where = _at(file)
-                with system.open_input_file(where) as f:
-                    data = f.read_at(min(CHUNK, total - offset), offset)
-                values = np.frombuffer(data, dtype).astype(np.int64 if name == "long" else np.float64)
-                at = begin + offset // size
-                for i in range(0, len(values), 1 << 16):
-                    part = values[i : i + (1 << 16)]
+            for at, values in _read(b, dtype, CHUNK):
+                for i in range(0, len(values), STEP):
+                    part = values[i : i + STEP].astype(np.int64 if name == "long" else np.float64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(at + i, at + i + len(part))), pa.array(part)], ["idx", "value"])
 
-    pieces = spark.createDataFrame(rows, "file string, total long, begin long").withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(CHUNK).cast("long"))))
-    count = sum(-(-r[1] // CHUNK) for r in rows)
-    pieces = pieces.repartition(min(count, 8 * spark.sparkContext.defaultParallelism), "file", "offset")
     return pieces.mapInArrow(run, f"idx long, value {name}")
 
 
@@ -108,8 +128,42 @@ def read_rules(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
 
 
 def read_top(spark: SparkSession, path: str) -> DataFrame:
-    """(block, row, pos, sym) of a .C file, whose rows end with 0. Symbols behind the last 0 are in the next row."""
-    return rows_of(read_array(spark, path, "i32").withColumnRenamed("value", "sym"))
+    """(block, row, pos, sym) of a .C file, whose rows end with 0. Symbols behind the last 0 are in the next row.
+
+    The pieces are read twice, and no row is sorted or shuffled: first for how many rows end in each and where the last does, a row for
+    each piece, then for the symbols, which are numbered on from there."""
+    dtype, _ = KINDS["i32"]
+    pieces = _pieces(spark, path, np.dtype(dtype).itemsize)
+    if pieces is None:
+        return spark.createDataFrame([], TOP)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            count, after = [], []
+            for at, sym in _read(b, dtype, CHUNK):
+                zero = np.flatnonzero(sym == 0)
+                count.append(len(zero))
+                after.append(at + int(zero[-1]) + 1 if len(zero) else 0)  # where a row begins
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(count, pa.int64()), pa.array(after, pa.int64())], [*b.schema.names, "ends", "after"])
+
+    found = table(pieces.mapInArrow(ends, "file string, total long, begin long, offset long, ends long, after long"), "ends")
+    before = Window.orderBy("begin", "offset").rowsBetween(Window.unboundedPreceding, -1)  # one row for each piece
+    zero = F.lit(0).cast("long")
+    known = found.select("file", "total", "begin", "offset", F.coalesce(F.sum("ends").over(before), zero).alias("row"), F.coalesce(F.max("after").over(before), zero).alias("start"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for (at, symbols), row, start in zip(_read(b, dtype, CHUNK), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                for i in range(0, len(symbols), STEP):
+                    sym = symbols[i : i + STEP].astype(np.int64)
+                    idx, end = np.arange(at + i, at + i + len(sym)), sym == 0
+                    rows, begun = row + np.cumsum(end), np.maximum.accumulate(np.where(end, idx + 1, start))
+                    row, start, own = int(rows[-1]), int(begun[-1]), ~end
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[own]), pa.array((idx - begun)[own]), pa.array(sym[own])], ["row", "pos", "sym"])
+
+    top = table(_dealt(known, found.count()).mapInArrow(run, "row long, pos long, sym long"), "top")  # else Spark takes it for as small as the pieces' list
+    discard(found)
+    return top.select(zero.alias("block"), "row", "pos", "sym")
 
 
 def rows_of(stream: DataFrame) -> DataFrame:
@@ -131,9 +185,9 @@ def read_dense(spark: SparkSession, path: str, cols: int, kind: str = "i32") ->
     return cells.select(F.expr(f"idx div {cols}").alias("row"), (F.col("idx") % cols).alias("col"), F.col("value").cast("double").alias("val"))
 
 
-def write_array(df: DataFrame, order: str | list[str], value: str, kind: str, path: str) -> None:
+def write_array(df: DataFrame, order: str | list[str], value: str, kind: str, path: str, rows: int = 0) -> None:
     """A column in ``order`` as a folder of arrays that follow each other. A task writes its file under another name first, so one that
-    is lost or runs twice leaves no half."""
+    is lost or runs twice leaves no half. Of as many ``rows``, where they are known, a task sorts about SORTED at most."""
     dtype, _ = KINDS[kind]
     system, name = _at(path)
     system.create_dir(name, recursive=True)
@@ -155,7 +209,10 @@ def write_array(df: DataFrame, order: str | list[str], value: str, kind: str, pa
             system.delete_file(own)
         yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], ["n"])
 
-    df.orderBy(*([order] if isinstance(order, str) else order)).select(value).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+    order, tasks = [order] if isinstance(order, str) else order, -(-rows // SORTED)
+    few = tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.orderBy(*order) if few else df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    ordered.select(value).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 def write_values(values: DataFrame, path: str) -> None:
@@ -178,6 +235,8 @@ def write_grammar(g: GrammarMatrix, base: str) -> None:
     write_values(g.values, f"{base}.val")
     head = g.spark.createDataFrame([(-1, 0, g.alpha)], "sym long, side int, word long")
     words = g.rules.select("sym", F.posexplode(F.array("left", "right")).alias("side", "word"))
-    write_array(head.unionAll(words), ["sym", "side"], "word", "i32", f"{base}.vc.R")
+    write_array(head.unionAll(words), ["sym", "side"], "word", "i32", f"{base}.vc.R", 2 * rules["n"] + 1)
     ends = g.spark.range(g.rows).select(F.col("id").alias("row"), F.lit((1 << 62)).alias("pos"), F.lit(0).cast("long").alias("sym"))
-    write_array(g.top.select("row", "pos", "sym").unionAll(ends), ["row", "pos"], "sym", "i32", f"{base}.vc.C")
+    top = table(g.top.select("row", "pos", "sym"), "top")
+    write_array(top.unionAll(ends), ["row", "pos"], "sym", "i32", f"{base}.vc.C", top.count() + g.rows)
+    discard(top)

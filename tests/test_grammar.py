@@ -319,3 +319,41 @@ def test_rules_of_a_file_pass_in_batches(spark, tmp_path):
     read = binary.read_grammar(spark, f"{tmp_path}/m", g.rows, g.cols)
     assert read.rules.count() == 8
     assert by_batches(spark, read, x, "plustimes") == sorted((r["row"], r["y"]) for r in g.matrix().multiply(x).collect())
+
+
+def test_a_top_is_numbered_as_its_pieces_are_read(spark, tmp_path, monkeypatch):
+    """Rows that cross files and pieces, empty rows, a file without an end, symbols behind the last; no row is sorted or shuffled for it."""
+    monkeypatch.setattr(binary, "CHUNK", 64)
+    monkeypatch.setattr(binary, "STEP", 5)
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 3, n).astype("<i4") for n in (1, 7, 0, 900, 3)] + [np.ones(5, "<i4"), np.zeros(4, "<i4"), np.full(6, 8, "<i4")]
+    (tmp_path / "C").mkdir()
+    for i, p in enumerate(parts):
+        p.tofile(tmp_path / "C" / f"{i}.bin")
+    top = binary.read_top(spark, str(tmp_path / "C"))
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert not [w for w in ("Exchange", "Sort", "Window", "Broadcast") if w in plan]
+    sym = np.concatenate(parts)
+    ends = sym == 0
+    begins = np.maximum.accumulate(np.concatenate([[0], np.where(ends, np.arange(len(sym)) + 1, 0)]))[:-1]
+    want = np.stack([np.cumsum(ends) - ends, np.arange(len(sym)) - begins, sym])[:, ~ends]
+    got = top.orderBy("row", "pos").toPandas()
+    assert np.array_equal(got[["row", "pos", "sym"]].to_numpy().T, want) and (got["block"] == 0).all()
+    old = binary.rows_of(binary.read_array(spark, str(tmp_path / "C"), "i32").withColumnRenamed("value", "sym"))
+    assert top.dtypes == old.dtypes and top.exceptAll(old).count() == old.exceptAll(top).count() == 0
+    (tmp_path / "empty").write_bytes(b"")
+    assert binary.read_top(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_an_array_of_known_length_is_sorted_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """However few partitions the session has."""
+    monkeypatch.setattr(binary, "SORTED", 500)
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    try:
+        binary.write_array(spark.range(10_000).selectExpr("id * 7919 % 10000 as v"), "v", "v", "i32", f"{tmp_path}/v", 10_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+    files = sorted((tmp_path / "v").iterdir())
+    assert len(files) > 10 and max(f.stat().st_size for f in files) <= 4 * 1000
+    assert np.array_equal(np.concatenate([np.fromfile(f, "<i4") for f in files]), np.arange(10_000))
