@@ -29,6 +29,8 @@ TOP = "block long, row long, pos long, sym long"
 _BLOCKS = "block long, data binary, codes array<long>"
 #: A block of tables with more rules than this, some 300 MB in a task of the left product, is evaluated level by level.
 RULES_IN_TASK = 2_000_000
+#: Rows of a top that a task joins, where the session's partitions would have more.
+ROWS_IN_TASK = 1_000_000
 
 
 def _numpy(t: pa.Table, *names: str) -> list[np.ndarray]:
@@ -145,9 +147,17 @@ class GrammarMatrix:
             F.lit(0).cast("long").alias("block"), F.col("id").alias("sym"), F.lit("BINARY").alias("kind"), F.when(F.col("step") == 1, F.col("left")).otherwise(F.col("id") - 1).cast("long").alias("left"),
             F.coalesce("right", "left").alias("right"), F.lit(1).alias("rep"),
         )
-        top = renamed(self.top, "sym").select(F.lit(0).cast("long").alias("block"), "row", "pos", "sym")
+        top = renamed(self._dealt("sym"), "sym").select(F.lit(0).cast("long").alias("block"), "row", "pos", "sym")
         return GrammarMatrix(pairs, top, self.values, self.alpha, self.rows, self.cols)
 
+    def _dealt(self, *keys: str) -> DataFrame:
+        """The top, for a join by ``keys``: dealt out to tasks of about ROWS_IN_TASK rows if the session has fewer partitions. A symbol with more
+        rows is left to Spark, which splits the tasks of its own shuffles only."""
+        tasks = -(-self.top.count() // ROWS_IN_TASK)
+        if tasks <= int(self.spark.conf.get("spark.sql.shuffle.partitions")) or self.top.groupBy(*keys).count().filter(F.col("count") > ROWS_IN_TASK).limit(1).count():
+            return self.top
+        return self.top.repartition(tasks, *keys)
+
     # structure
 
     def children(self) -> DataFrame:
@@ -443,7 +453,7 @@ class GrammarMatrix:
 
         schema = ", ".join(["block long, sym long", *[f"{n} {kind}" for n in names]])
         symbols = codes.unionAll(rules).repartition("block").sortWithinPartitions("block", "sym").mapInArrow(run, schema)
-        return self.top.select("block", "row", "sym").join(symbols, ["block", "sym"]).select("row", *names)
+        return self._dealt("block", "sym").select("block", "row", "sym").join(symbols, ["block", "sym"]).select("row", *names)
 
     def _levelled(self, leaf: DataFrame, s: Semiring, size: int, kind: str) -> DataFrame:
         names = [f"w{b}" for b in range(size)]

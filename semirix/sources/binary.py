@@ -161,9 +161,10 @@ def read_top(spark: SparkSession, path: str) -> DataFrame:
                     row, start, own = int(rows[-1]), int(begun[-1]), ~end
                     yield pa.RecordBatch.from_arrays([pa.array(rows[own]), pa.array((idx - begun)[own]), pa.array(sym[own])], ["row", "pos", "sym"])
 
-    top = table(_dealt(known, found.count()).mapInArrow(run, "row long, pos long, sym long"), "top")  # else Spark takes it for as small as the pieces' list
+    top = _dealt(known, found.count()).mapInArrow(run, "row long, pos long, sym long").select(zero.alias("block"), "row", "pos", "sym")
+    top = table(top, "top")  # else Spark takes it for as small as the pieces' list
     discard(found)
-    return top.select(zero.alias("block"), "row", "pos", "sym")
+    return top
 
 
 def rows_of(stream: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Grammars: the four-rule fixture, codes, compression, expansion, files."""
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -357,3 +359,29 @@ def test_an_array_of_known_length_is_sorted_in_tasks_of_bounded_size(spark, tmp_
     files = sorted((tmp_path / "v").iterdir())
     assert len(files) > 10 and max(f.stat().st_size for f in files) <= 4 * 1000
     assert np.array_equal(np.concatenate([np.fromfile(f, "<i4") for f in files]), np.arange(10_000))
+
+
+def test_a_top_is_joined_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """However few partitions the session has, unless one symbol has more rows than a task; the product and pairs stay the same."""
+    g, x = two_blocks(spark), spark.createDataFrame([(0, 3.0), (1, 5.0)], "col long, x double")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    want = sorted((r["row"], r["y"]) for r in g.matrix().multiply(x).collect())
+    most = g.top.groupBy("block", "sym").count().agg({"count": "max"}).first()[0]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    binary.write_grammar(g.paired(), f"{tmp_path}/m")
+    try:
+        for size, dealt in ((most, True), (most - 1, False), (1_000_000, False)):
+            monkeypatch.setattr(grammar, "ROWS_IN_TASK", size)
+            tasks = -(-g.top.count() // size)
+            read = binary.read_grammar(spark, f"{tmp_path}/m", g.rows, g.cols)
+            for h in (g, read):  # the join's sides meet as they are dealt out, with no second shuffle
+                ways = re.findall(rf"hashpartitioning\(block#\d+L?, sym#\d+L?, {tasks}\), (\w+)", plan(h.multiply(x)))
+                assert sorted(ways) == ["ENSURE_REQUIREMENTS", "REPARTITION_BY_NUM"] if dealt else "REPARTITION_BY_NUM" not in ways
+            assert sorted((r["row"], r["y"]) for r in read.multiply(x).collect()) == want
+            assert sorted((r["row"], r["y"]) for r in g.multiply(x).collect()) == want
+            assert sorted((r["row"], r["y"]) for r in g.paired().multiply(x).collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
